@@ -469,8 +469,8 @@ def _(spark, sf):
     "join_backlog_anti",
     "marked analysis",
     """
-SELECT source, count(*) AS backlog FROM marked m LEFT JOIN documents d USING (doc_id)
-WHERE d.text <> '' AND NOT EXISTS (SELECT 1 FROM analysis a WHERE a.listing_id = m.listing_id) GROUP BY source
+SELECT m.source, count(*) AS backlog FROM marked m LEFT JOIN documents d USING (doc_id)
+WHERE d.text <> '' AND NOT EXISTS (SELECT 1 FROM analysis a WHERE a.listing_id = m.listing_id) GROUP BY m.source
 """,
 )
 def _(spark, sf):

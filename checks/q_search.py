@@ -281,7 +281,8 @@ def _(spark, sf):
     """
 SELECT listing_id, price - market_price AS diff_amount, CASE WHEN price_diff_pct > 15 THEN 'hot' WHEN price_diff_pct > 5 THEN 'good'
   WHEN price_diff_pct > 0 THEN 'ok' WHEN price_diff_pct > -10 THEN 'neutral' WHEN price_diff_pct IS NOT NULL THEN 'bad' END AS band,
-  CAST(floor((greatest(least(price_diff_pct, 30.0), -30.0) + 30) / 60 * 100) AS INTEGER) AS bar
+  CASE WHEN price_diff_pct IS NOT NULL
+    THEN CAST(floor((greatest(least(price_diff_pct, 30.0), -30.0) + 30) / 60 * 100) AS INTEGER) END AS bar
 FROM scored
 """,
 )

@@ -91,7 +91,7 @@ def nearest_profiles(listings: DataFrame, candidates: DataFrame, k: int) -> tupl
     first = F.col("upto") - F.least(F.col("below"), F.lit(k)) + 1
     last = F.col("upto") + F.least(F.col("above"), F.lit(k))
     wanted = counted.filter(first <= last).select(
-        *in_class, "y", "vol", F.col("at").alias("km"), F.explode(F.sequence(first, last)).cast("int").alias("pos")
+        *in_class, "y", "vol", F.col("at").alias("km"), F.explode(F.sequence(first, last)).alias("pos")
     )
     by_mileage = wanted.join(numbered, [*in_class, "pos"]).select(
         *MODEL, "y", "km", "vol", "cy", "ckm", "cvol", "size"
