@@ -1 +1,138 @@
+"""Streaming jobs run to completion over the events table, checked against their batch meaning."""
 
+import uuid
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from checks.q_alerts import ALERTS, filters, muted, users
+from checks.registry import query
+from kerbside.common import shared_folder
+from kerbside.operators import lifecycle
+from kerbside.sources import driver_tables as D
+from kerbside.sources.writers import SnapshotTable
+from kerbside.streaming import jobs as J
+
+EVENTS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
+    ]
+)
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+
+
+def _event_files(spark, sf) -> str:
+    """The events as several files in time order, as a stream of arriving files."""
+    key = (spark.sparkContext.applicationId, sf, "event_files")
+    if key not in D._written:
+        path = f"{_folder(spark)}/events"
+        D.table(spark, sf, "events").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+        D._written[key] = path
+    return D._written[key]
+
+
+def _ads(spark, sf, per_batch=1):
+    """Events as ads: user = ad id, value = price."""
+    events = J.read_ads_stream(spark, _event_files(spark, sf), EVENTS, per_batch)
+    return events.select(
+        F.lit("src_a").alias("source"), F.col("user_id").cast("string").alias("external_id"),
+        F.col("user_id").alias("listing_id"), F.round(F.col("value") * 100).cast("int").alias("price"), F.col("ts").alias("seen_at"),
+    )
+
+
+@query("stream_new_listings", None, "SELECT event_id, ts, user_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
+def _(spark, sf):
+    stream = J.read_ads_stream(spark, _event_files(spark, sf), EVENTS)
+    fresh = J.stream_new_listings(stream, F.to_timestamp(F.lit("2024-01-20 00:00:00")), "ts")
+    out = _folder(spark)
+    J.to_files(fresh.select("event_id", "ts", "user_id"), f"{out}/data", f"{out}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{out}/data")
+
+
+@query("stream_seen_dedup", None, "SELECT DISTINCT user_id, value FROM events")
+def _(spark, sf):
+    stream = J.read_ads_stream(spark, _event_files(spark, sf), EVENTS)
+    once = J.stream_seen_dedup(stream, ["user_id", "value"], "ts", "90 days")
+    out = _folder(spark)
+    J.to_files(once.select("user_id", "value"), f"{out}/data", f"{out}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{out}/data")
+
+
+def _start_table(spark, sf, path):
+    """Version 0: the ads with an even id, at a price of 1."""
+    table = SnapshotTable(spark, path)
+    users_seen = D.table(spark, sf, "events").filter(F.col("user_id") % 2 == 0).select("user_id").distinct()
+    table.write(
+        users_seen.select(
+            F.lit("src_a").alias("source"), F.col("user_id").cast("string").alias("external_id"), F.col("user_id").alias("listing_id"),
+            F.lit(1).alias("price"), D.as_of().alias("created_at"), D.as_of().alias("updated_at"),
+            F.array().cast("array<struct<price:int,date:date>>").alias("price_history"),
+        )
+    )
+    return table
+
+
+LAST = """(SELECT user_id, CAST(round(value * 100) AS INTEGER) AS price FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+  ORDER BY ts DESC, round(value * 100)) AS rn FROM events) t WHERE rn = 1)"""
+
+
+@query("stream_upsert", None, f"SELECT CAST(user_id AS VARCHAR) AS external_id, price FROM {LAST} l")
+def _(spark, sf):
+    out = _folder(spark)
+    table = _start_table(spark, sf, f"{out}/table")
+    J.stream_upsert(_ads(spark, sf), table, D.as_of(), f"{out}/ckpt", "seen_at").awaitTermination()
+    return table.read().select("external_id", "price")
+
+
+@query(
+    "stream_price_changes",
+    None,
+    f"""
+SELECT CAST(user_id AS VARCHAR) AS external_id, 1 AS old_price, price AS new_price FROM {LAST} l
+WHERE user_id % 2 = 0 AND price <> 1
+""",
+)
+def _(spark, sf):
+    out = _folder(spark)
+    table = _start_table(spark, sf, f"{out}/table")
+    # one batch holding every file, so that "old" is the stored price
+    ads = _ads(spark, sf, per_batch=1000)
+    J.stream_price_changes(ads, table, D.as_of(), f"{out}/changes", f"{out}/ckpt", "seen_at").awaitTermination()
+    return J.read_batches(spark, f"{out}/changes").select("external_id", "old_price", "new_price")
+
+
+# the stream starts with an empty sent log
+STREAM_ALERTS = ALERTS[: ALERTS.index("AND NOT EXISTS (SELECT 1 FROM (SELECT c_custkey AS user_id, url")]
+
+
+@query("stream_alerts", "scored", STREAM_ALERTS)
+def _(spark, sf):
+    out = _folder(spark)
+    fresh = D.scored(spark, sf).filter(F.col("created_at") >= F.to_timestamp(F.lit("2001-07-01 00:00:00"))).select(
+        "listing_id", "url", "brand", "model", "year", "price", "city", "price_diff_pct", "deal_score", "is_duplicate"
+    )
+    fresh.repartitionByRange(3, "listing_id").write.parquet(f"{out}/in")
+    stream = J.read_ads_stream(spark, f"{out}/in", fresh.schema, 1)
+    J.stream_alerts(
+        stream, filters(spark, sf), muted(spark, sf), f"{out}/alerts", f"{out}/ckpt", users(spark, sf)
+    ).awaitTermination()
+    return J.read_batches(spark, f"{out}/alerts").select("user_id", "listing_id", "url", "price")
+
+
+@query(
+    "stream_stale",
+    None,
+    """
+SELECT user_id AS listing_id, max(ts) < TIMESTAMP '2024-01-29 00:00:00' AND min(ts) < TIMESTAMP '2024-01-29 00:00:00' AS is_stale FROM events GROUP BY user_id
+""",
+)
+def _(spark, sf):
+    seen = D.table(spark, sf, "events").groupBy(F.col("user_id").alias("listing_id")).agg(
+        F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.lit(False).alias("is_duplicate")
+    )
+    as_of = F.to_timestamp(F.lit("2024-01-30 00:00:00"))
+    return lifecycle.mark_stale(seen, as_of, 1).select("listing_id", "is_stale")

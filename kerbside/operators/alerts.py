@@ -12,7 +12,8 @@ OCTAVES = 32
 
 
 def price_octave(price: Column) -> Column:
-    return F.when(price >= 1, F.floor(F.log2(price.cast("double")))).otherwise(F.lit(0)).cast("int")
+    """NULL stays NULL; anything below one falls into octave 0."""
+    return F.when(price >= 1, F.floor(F.log2(price.cast("double")))).when(price < 1, F.lit(0)).cast("int")
 
 
 def matches() -> Column:

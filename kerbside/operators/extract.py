@@ -99,20 +99,20 @@ def spec_table(html: Column) -> Column:
 
 
 def last_wins(pairs: Column) -> Column:
-    """Array of (k, v) structs to a map; of equal keys the last stays."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(
-        keys,
-        F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]),
+    """Array of (k, v) structs to a map; of equal keys the last stays. The array is read once."""
+    return F.aggregate(
+        pairs,
+        F.create_map().cast("map<string,string>"),
+        lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])),
     )
 
 
 def first_wins(pairs: Column) -> Column:
-    """Array of (k, v) structs to a map; of equal keys the first stays."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(
-        keys,
-        F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), 1)["v"]),
+    """Array of (k, v) structs to a map; of equal keys the first stays. The array is read once."""
+    return F.aggregate(
+        pairs,
+        F.create_map().cast("map<string,string>"),
+        lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))),
     )
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside import fixed_values as fixed
+from kerbside.common import settle
 from kerbside.functions.text import keyword_flags, tokens
 
 
@@ -35,58 +36,91 @@ def tfidf_pipeline(max_terms: int = 5000, min_df: int = 5, max_df: float = 0.8)
     )
 
 
+def _entries(weighted: DataFrame) -> DataFrame:
+    """Non-zero entries of each row as (indices, values)."""
+    dense = vector_to_array(F.col("tfidf"))
+    numbered = F.filter(F.transform(dense, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0)
+    return weighted.withColumn("__e", numbered).withColumns({"__i": F.col("__e.i"), "__v": F.col("__e.v")}).drop("__e")
+
+
+def _times_gram(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """(A^T A) basis in one pass: each task sums its own rows, terms meet in a map-side combined aggregate.
+
+    Only terms x components numbers (at most 5000 x 20 or so) reach the driver.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+    k = basis.shape[1]
+
+    def partial(batches):
+        m = shared.value
+        total = np.zeros_like(m)
+        for batch in batches:
+            for index, value in zip(batch["__i"], batch["__v"]):
+                if len(index):
+                    i, v = np.asarray(index, dtype=int), np.asarray(value)
+                    total[i] += np.outer(v, v @ m[i])
+        used = np.flatnonzero(total.any(axis=1))
+        yield pd.DataFrame({"term": used, **{f"c{c}": total[used, c] for c in range(k)}})
+
+    parts = rows.select("__i", "__v").mapInPandas(partial, "term int, " + ", ".join(f"c{c} double" for c in range(k)))
+    summed = parts.groupBy("term").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(k)]).toPandas()
+    out = np.zeros_like(basis)
+    out[summed["term"].to_numpy(dtype=int)] = summed[[f"c{c}" for c in range(k)]].to_numpy()
+    return out
+
+
 class DescriptionFeatures:
     """Fitted TF-IDF plus the right singular vectors of the training matrix (terms x components, small)."""
 
-    def __init__(self, model: PipelineModel, components: list[list[float]], singular_values: list[float], rows: int):
-        self.model, self.components, self.singular_values, self.rows = model, components, singular_values, rows
+    def __init__(self, model: PipelineModel, components: np.ndarray, singular_values: np.ndarray):
+        self.model, self.components, self.singular_values = model, components, singular_values
 
     def transform(self, rows: DataFrame, text: str) -> DataFrame:
-        """Add ``svd``: the projection on each component. The matrix is terms x 20, at most 5000 x 20 numbers."""
-        from pyspark.ml.linalg import DenseMatrix, Vectors
-
-        weighted = self.model.transform(rows.withColumn("words", tokens(F.col(text))))
-        terms, k = len(self.components[0]), len(self.components)
-        matrix = DenseMatrix(k, terms, [self.components[c][t] for t in range(terms) for c in range(k)])
-        shared = rows.sparkSession.sparkContext.broadcast(matrix.toArray())
+        """Add ``svd``: the projection on each component, padded with zeros when the vocabulary is smaller."""
+        weighted = _entries(self.model.transform(rows.withColumn("words", tokens(F.col(text)))))
+        shared = rows.sparkSession.sparkContext.broadcast(self.components)
 
         @F.pandas_udf("array<double>")
-        def project(indices, values):
-            import numpy as np
-            import pandas as pd
-
+        def project(indices: pd.Series, values: pd.Series) -> pd.Series:
             m = shared.value
-            return pd.Series([m[:, np.asarray(i, dtype=int)] @ np.asarray(v) for i, v in zip(indices, values)])
+            return pd.Series([np.asarray(v) @ m[np.asarray(i, dtype=int)] for i, v in zip(indices, values)])
 
-        sparse = weighted.withColumn("__a", vector_to_array("tfidf"))
-        numbered = F.filter(F.transform("__a", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0)
-        return (
-            sparse.withColumn("__e", numbered)
-            .withColumn("svd", project(F.col("__e.i"), F.col("__e.v")))
-            .select(*rows.columns, "svd")
-        )
-
-    def explained_variance(self) -> list[float]:
-        return [s * s / max(self.rows - 1, 1) for s in self.singular_values]
+        return weighted.withColumn("svd", project("__i", "__v")).select(*rows.columns, "svd")
 
 
 def fit_description_features(
-    rows: DataFrame, text: str, components: int = 20, max_terms: int = 5000, min_df: int = 5, max_df: float = 0.8
+    rows: DataFrame,
+    text: str,
+    components: int = 20,
+    max_terms: int = 5000,
+    min_df: int = 5,
+    max_df: float = 0.8,
+    passes: int = 4,
 ) -> DescriptionFeatures:
-    """Fit TF-IDF and a truncated SVD. The distributed Gram matrix is terms x terms, bounded by ``max_terms``."""
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
+    """Fit TF-IDF and a truncated SVD by subspace iteration: a few passes, each one aggregate over the rows."""
     words = rows.withColumn("words", tokens(F.col(text)))
     model = tfidf_pipeline(max_terms, min_df, max_df).fit(words)
-    weighted = model.transform(words).select("tfidf")
-    # computeSVD is only offered on row matrices of the RDD API
-    matrix = RowMatrix(weighted.rdd.map(lambda r: OldVectors.fromML(r[0])))
-    svd = matrix.computeSVD(min(components, matrix.numCols()), computeU=False)
-    v = svd.V.toArray()
-    return DescriptionFeatures(
-        model, [list(map(float, v[:, c])) for c in range(v.shape[1])], list(map(float, svd.s.toArray())), matrix.numRows()
-    )
+    matrix = settle(_entries(model.transform(words)).select("__i", "__v"))
+    terms = len(model.stages[2].vocabulary)
+    width = min(components + 10, terms)
+    basis = np.linalg.qr(np.random.default_rng(42).standard_normal((terms, width)))[0]
+    for _ in range(passes):
+        basis = np.linalg.qr(_times_gram(matrix, basis))[0]
+    projected = basis.T @ _times_gram(matrix, basis)
+    values, vectors = np.linalg.eigh((projected + projected.T) / 2)
+    best = np.argsort(values)[::-1][:components]
+    v = np.zeros((terms, components))
+    v[:, : len(best)] = basis @ vectors[:, best]
+    sizes = np.zeros(components)
+    sizes[: len(best)] = np.sqrt(np.maximum(values[best], 0))
+    return DescriptionFeatures(model, v, sizes)
+
+
+def explained_variance(projected: DataFrame, weighted_variance: float, components: int = 20) -> DataFrame:
+    """Variance of each projected component as a share of the total variance of the TF-IDF columns."""
+    spreads = projected.agg(*[F.var_pop(F.get("svd", c)).alias(f"c{c}") for c in range(components)])
+    entries = [F.struct(F.lit(c).alias("component"), (F.col(f"c{c}") / weighted_variance).alias("share")) for c in range(components)]
+    return spreads.select(F.inline(F.array(*entries)))
 
 
 def cumulative_explained_variance(components: DataFrame) -> DataFrame:

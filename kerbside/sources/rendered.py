@@ -204,7 +204,7 @@ def catalogue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     # at most 500 ids per page
-    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("listing_id", F.col("item")))).alias("entries"))
+    pages = rows.groupBy("page_id").agg(F.collect_list(F.struct("item")).alias("entries"))
     return _catalogue_html(pages, blob)
 
 
@@ -253,7 +253,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(
             F.lit("S").alias("name"), F.struct(F.struct(F.col("city").alias("name")).alias("region_info")).alias("location")
         ).alias("seller"),
-        F.struct((F.unix_seconds("listing_date") * 1000).cast("string").alias("creation_date")).alias("additional_info"),
+        F.struct(((F.unix_seconds("listing_date") + 3650 * 86_400) * 1000).cast("string").alias("creation_date")).alias("additional_info"),
         vehicle.alias("vehicle_info"),
     )
     return tables.listings(spark, sf_dir).select("listing_id", F.to_json(offer).alias("offer"))
