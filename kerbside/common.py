@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,6 +56,24 @@ def blank_to_null(column: Column) -> Column:
     return F.nullif(column, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row, however often the body names it.
+
+    Catalyst does not share sub-expressions between the branches of CASE, COALESCE or NULLIF, so a costly regex
+    named twice there would run twice.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def computed(df: DataFrame, keep: Sequence[str], **values: Column) -> DataFrame:
+    """``keep`` plus the named values, each worked out once per row.
+
+    The values pass through a one-row generator, which the optimizer does not see through: without it every later
+    access to a field of a parsed struct would be pushed down as a parse of its own.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+
+
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
     """True when the text holds any phrase; one alternation-free scan per phrase, all inside codegen."""
     if not phrases:
@@ -78,15 +96,17 @@ def attach_groups(
     rows: str | None = None,
     spread_by: Column | None = None,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    settled: bool = False,
 ) -> DataFrame:
-    """Left-join one narrow row per key back onto the rows.
+    """Left-join one narrow row per key back onto the rows. ``settled``: the groups are a checkpoint already.
 
     The group table is computed once and counted. Small: broadcast, so the rows do not move. Large: shuffle
     join in which the heaviest ``HOT_KEYS`` keys (by the count column ``rows``) are spread over ``HOT_SALTS``
     tasks; the salt comes from ``spread_by`` (a row id), so a retried task salts the same way.
     """
     keys = list(keys)
-    groups = settle(groups)
+    if not settled:
+        groups = settle(groups)
     if groups.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
         out = df.join(F.broadcast(groups.drop(rows) if rows else groups), keys, "left")
         return out

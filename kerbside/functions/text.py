@@ -9,12 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kerbside import fixed_values as fixed
-from kerbside.common import blank_to_null, contains_any, lookup
+from kerbside.common import blank_to_null, contains_any, let, lookup
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """Regex group, NULL when the pattern does not occur."""
-    return blank_to_null(F.regexp_extract(text, pattern, group))
+    return let(F.regexp_extract(text, pattern, group), blank_to_null)
 
 
 def first_found(text: Column, patterns: Sequence[str], group: int = 1) -> Column:

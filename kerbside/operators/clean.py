@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside import fixed_values as fixed
-from kerbside.common import attach_groups, group_quantiles
+from kerbside.common import attach_groups, group_quantiles, settle
 from kerbside.operators.lifecycle import days_before
 
 SEGMENT = ["brand", "model"]
@@ -40,8 +40,8 @@ def iqr_bounds(rows: DataFrame, rules: CleaningRules = CleaningRules()) -> DataF
     )
 
 
-def _attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return attach_groups(rows, groups, SEGMENT, rows="n", spread_by=F.col("listing_id"))
+def _attach(rows: DataFrame, groups: DataFrame, settled: bool = False) -> DataFrame:
+    return attach_groups(rows, groups, SEGMENT, rows="n", spread_by=F.col("listing_id"), settled=settled)
 
 
 def with_iqr_flag(rows: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
@@ -98,35 +98,37 @@ def cleaning_reasons(
 ) -> DataFrame:
     """Every row with the first step that removes it in ``removed_by`` (NULL = kept).
 
-    Each step's statistics come from the survivors of the steps before it. They are small tables, computed once
-    and joined back, so the full rows are never shuffled by segment.
+    Each step's statistics come from the survivors of the steps before it. They are worked out on a narrow copy of
+    the rows that is computed once; the statistics are small tables joined onto the full rows, which are therefore
+    read once and never shuffled by segment.
     """
     reason = F.when(~fresh(F.col("created_at"), as_of, rules.max_age_days), "stale")
-    out = rows.withColumn("removed_by", reason)
+    full = rows.withColumn("removed_by", reason)
+    narrow = settle(full.select("listing_id", *SEGMENT, "price", "mileage", "year", "removed_by"))
 
-    def flag_rows(frame: DataFrame, stats: DataFrame, flag: str, test: Column, extra: list[str]) -> DataFrame:
-        joined = _attach(frame, stats)
+    def alive() -> DataFrame:
+        return narrow.filter(F.col("removed_by").isNull())
+
+    def mark(frame: DataFrame, flag: str, test: Column) -> DataFrame:
         hit = F.col("removed_by").isNull() & F.coalesce(test, F.lit(False))
-        return joined.withColumn("removed_by", F.when(hit, flag).otherwise(F.col("removed_by"))).drop(*extra)
+        return frame.withColumn("removed_by", F.when(hit, flag).otherwise(F.col("removed_by")))
 
-    def alive(frame: DataFrame) -> DataFrame:
-        return frame.filter(F.col("removed_by").isNull())
+    def step(flag: str, stats: DataFrame, test: Column) -> None:
+        nonlocal full, narrow
+        stats = settle(stats)
+        added = [c for c in stats.columns if c not in (*SEGMENT, "n")]
+        narrow = mark(_attach(narrow, stats, settled=True), flag, test).drop(*added)
+        full = mark(_attach(full, stats, settled=True), flag, test).drop(*added)
 
-    out = flag_rows(
-        out, iqr_bounds(alive(out), rules), "iqr_outlier",
-        ~F.col("price").between(F.col("low"), F.col("high")), ["low", "high"],
-    )
-    out = flag_rows(
-        out, mad_stats(alive(out), rules), "mad_outlier",
-        F.abs(F.ln("price") - F.col("median_ln")) / F.col("mad") > rules.mad_limit, ["median_ln", "mad"],
-    )
-    worn = F.col("removed_by").isNull() & bad_mileage(current_year, rules.km_per_year)
-    out = out.withColumn("removed_by", F.when(worn, "bad_mileage").otherwise(F.col("removed_by")))
-    enough = alive(out).agg(F.count("*") > rules.sanity_min_rows).scalar()
-    return flag_rows(
-        out, segment_medians(alive(out)), "price_suspicious",
-        enough & (F.col("price") < F.col("median_price") * rules.sanity_share), ["median_price"],
-    )
+    step("iqr_outlier", iqr_bounds(alive(), rules), ~F.col("price").between(F.col("low"), F.col("high")))
+    far = F.abs(F.ln("price") - F.col("median_ln")) / F.col("mad") > rules.mad_limit
+    step("mad_outlier", mad_stats(alive(), rules), far)
+    worn = bad_mileage(current_year, rules.km_per_year)
+    narrow, full = mark(narrow, "bad_mileage", worn), mark(full, "bad_mileage", worn)
+    enough = settle(alive().agg((F.count("*") > rules.sanity_min_rows).alias("enough"))).scalar()
+    cheap = enough & (F.col("price") < F.col("median_price") * rules.sanity_share)
+    step("price_suspicious", segment_medians(alive()), cheap)
+    return full
 
 
 def clean_training_set(

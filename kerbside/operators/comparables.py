@@ -81,13 +81,23 @@ def nearest_profiles(listings: DataFrame, candidates: DataFrame, k: int) -> tupl
         probes.select(*in_class, F.col("km").alias("at"), "y", "vol", F.lit(0).alias("is_candidate")),
         allowMissingColumns=True,
     )
+    # running counts only: frames that start at the class' first row are updated row by row, never recomputed
     by_km = Window.partitionBy(*in_class).orderBy("at")
-    counted = line.select(
-        "*",
-        F.sum("is_candidate").over(by_km.rangeBetween(Window.unboundedPreceding, 0)).alias("upto"),
-        F.sum("is_candidate").over(by_km.rangeBetween(-MILEAGE_REACH, 0)).alias("below"),
-        F.coalesce(F.sum("is_candidate").over(by_km.rangeBetween(1, MILEAGE_REACH)), F.lit(0)).alias("above"),
-    ).filter(F.col("is_candidate") == 0)
+
+    def counted_to(shift: int) -> Column:
+        frame = by_km.rangeBetween(Window.unboundedPreceding, shift)
+        return F.coalesce(F.sum("is_candidate").over(frame), F.lit(0))
+
+    counted = (
+        line.select(
+            "*",
+            counted_to(0).alias("upto"),
+            counted_to(-MILEAGE_REACH - 1).alias("before"),
+            counted_to(MILEAGE_REACH).alias("after"),
+        )
+        .filter(F.col("is_candidate") == 0)
+        .withColumns({"below": F.col("upto") - F.col("before"), "above": F.col("after") - F.col("upto")})
+    )
     first = F.col("upto") - F.least(F.col("below"), F.lit(k)) + 1
     last = F.col("upto") + F.least(F.col("above"), F.lit(k))
     wanted = counted.filter(first <= last).select(
@@ -240,8 +250,12 @@ def comparables_join(listings: DataFrame, as_of: Column, max_age_days: int = 60,
     line = profiles.filter(F.col("km").isNotNull()).withColumnRenamed("km", "at").unionByName(
         probes.withColumnRenamed("km", "at").withColumn("size", F.lit(0).cast("bigint")), allowMissingColumns=True
     )
-    window = Window.partitionBy("b", "m", "cy").orderBy("at").rangeBetween(-MILEAGE_REACH, MILEAGE_REACH)
-    near = line.withColumn("found", F.sum("size").over(window)).filter(F.col("y").isNotNull())
+    by_km = Window.partitionBy("b", "m", "cy").orderBy("at")
+
+    def sized_to(shift: int) -> Column:
+        return F.coalesce(F.sum("size").over(by_km.rangeBetween(Window.unboundedPreceding, shift)), F.lit(0))
+
+    near = line.withColumn("found", sized_to(MILEAGE_REACH) - sized_to(-MILEAGE_REACH - 1)).filter(F.col("y").isNotNull())
     near = near.select(*MODEL, "y", F.col("at").alias("km"), "found")
     unknown = (
         probes.join(profiles.filter(F.col("km").isNull()).drop("km"), ["b", "m", "cy"])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside import fixed_values as fixed
-from kerbside.common import blank_to_null, contains_any, lookup
+from kerbside.common import blank_to_null, computed, contains_any, let, lookup
 from kerbside.functions import text as T
 from kerbside.schema import ATTRIBUTE_JSON, CAR_JSON, CATALOGUE_STATE, OFFER, PHOTO_SIZES, STATE_JSON, VEHICLE
 
@@ -135,7 +135,6 @@ def card_photos(html: Column) -> Column:
 def card_seller(html: Column) -> Column:
     """Seller type, name and dealer flag from the visible text and dealer links of a card page."""
     text = F.lower(html_text(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " ")))
-    dealer_text = contains_any(text, fixed.PAGE_DEALER_WORDS)
     names = F.filter(
         F.transform(
             all_found(
@@ -145,24 +144,36 @@ def card_seller(html: Column) -> Column:
         ),
         lambda n: F.length(n) > 2,
     )
-    name = F.try_element_at(names, F.lit(1))
-    return F.struct(
-        F.when(dealer_text, "дилер")
-        .when(F.contains(text, F.lit("частное лицо")), "частное лицо")
-        .when(name.isNotNull(), "дилер")
-        .alias("seller_type"),
-        name.alias("seller_name"),
-        (dealer_text | name.isNotNull()).alias("is_dealer"),
-    )
+
+    def seller(found: Column) -> Column:
+        dealer, private, name = found["dealer"], found["private"], found["name"]
+        return F.struct(
+            F.when(dealer, "дилер").when(private, "частное лицо").when(name.isNotNull(), "дилер").alias("seller_type"),
+            name.alias("seller_name"),
+            (dealer | name.isNotNull()).alias("is_dealer"),
+        )
+
+    def signs(t: Column) -> Column:
+        return F.struct(
+            contains_any(t, fixed.PAGE_DEALER_WORDS).alias("dealer"),
+            F.contains(t, F.lit("частное лицо")).alias("private"),
+            F.try_element_at(names, F.lit(1)).alias("name"),
+        )
+
+    return let(text, lambda t: let(signs(t), seller))
 
 
-def card_date(html: Column, car: Column) -> Column:
+# Meta tags that carry a publication date.
+META_DATES = ["article:published_time", "datePublished", "og:updated_time"]
+
+
+def card_date(car: Column, meta_date: Column) -> Column:
     return F.coalesce(
         blank_to_null(F.get_json_object(car["offers"], "$.validFrom")),
         blank_to_null(F.get_json_object(car["offers"], "$.availabilityStarts")),
         blank_to_null(car["datePosted"]),
         blank_to_null(car["datePublished"]),
-        meta_content(html, ["article:published_time", "datePublished", "og:updated_time"]),
+        meta_date,
     )
 
 
@@ -177,14 +188,15 @@ def _engine_fields(engine: Column, power: Column) -> dict[str, Column]:
 
 def extract_jsonld_car(pages: DataFrame, site: str = "cars.example", card_url: str = CARD_URL) -> DataFrame:
     """Card page with an embedded vehicle object -> one ad row; pages without id or brand yield nothing."""
-    base = pages.select(
-        "page_id",
-        "url",
-        jsonld_car(F.col("html")).alias("car"),
-        spec_table(F.col("html")).alias("specs"),
-        card_photos(F.col("html")).alias("gallery"),
-        card_seller(F.col("html")).alias("seller"),
-        "html",
+    html = F.col("html")
+    base = computed(
+        pages,
+        ["page_id", "url"],
+        car=jsonld_car(html),
+        specs=spec_table(html),
+        gallery=card_photos(html),
+        seller=card_seller(html),
+        meta_date=meta_content(html, META_DATES),
     ).filter(F.col("car").isNotNull())
     car, specs = F.col("car"), F.col("specs")
 
@@ -234,7 +246,7 @@ def extract_jsonld_car(pages: DataFrame, site: str = "cars.example", card_url: s
         F.col("seller.seller_type").alias("seller_type"),
         F.col("seller.seller_name").alias("seller_name"),
         F.col("seller.is_dealer").alias("is_dealer"),
-        card_date(F.col("html"), car).alias("listing_date"),
+        card_date(car, F.col("meta_date")).alias("listing_date"),
         specs.alias("attrs"),
     )
     return rows.filter(F.col("external_id").isNotNull() & F.col("brand").isNotNull()).withColumn(
@@ -247,7 +259,7 @@ def extract_preloaded_state(
 ) -> DataFrame:
     """Fallback carrier: a state object in a script -> one ad row."""
     body = F.regexp_extract("html", rf"(?s)window\.{variable}\s*=\s*(\{{.*?\}});", 1)
-    base = pages.select("page_id", "url", F.from_json(blank_to_null(body), STATE_JSON).alias("s")).filter(
+    base = computed(pages, ["page_id", "url"], s=let(body, lambda b: F.from_json(blank_to_null(b), STATE_JSON))).filter(
         F.col("s").isNotNull()
     )
     desc, seller = F.col("s.bullDescription"), F.col("s.seller")
@@ -259,7 +271,7 @@ def extract_preloaded_state(
             ),
         )
     )
-    base = base.withColumn("fields", fields)
+    base = computed(base, ["page_id", "url", "s"], fields=fields)
 
     def field(*keys: str) -> Column:
         return F.coalesce(*[blank_to_null(F.try_element_at(F.col("fields"), F.lit(k))) for k in keys])
@@ -324,24 +336,25 @@ def extract_cards(pages: DataFrame, site: str = "cars.example", card_url: str =
 
 
 # ------------------------------------------------------------------ detail pages
-def attribute_pairs(html: Column) -> Column:
-    """(title, description) pairs of attribute blocks, in page order, as an array of (k, v)."""
-    blocks = F.regexp_extract_all(unescape(html), F.lit(r'\{"attributeId"\s*:\s*\d+[^}]*\}'), 0)
+def attribute_pairs(page: Column) -> Column:
+    """(title, description) pairs of attribute blocks of an unescaped page, in page order, as an array of (k, v)."""
+    blocks = F.regexp_extract_all(page, F.lit(r'\{"attributeId"\s*:\s*\d+[^}]*\}'), 0)
     return F.transform(
         blocks,
-        lambda b: F.struct(
-            F.coalesce(F.from_json(b, ATTRIBUTE_JSON)["title"], T.found(b, r'"title"\s*:\s*"([^"]*)"')).alias("k"),
-            F.coalesce(
-                F.from_json(b, ATTRIBUTE_JSON)["description"], T.found(b, r'"description"\s*:\s*"([^"]*)"')
-            ).alias("v"),
+        lambda b: let(
+            F.from_json(b, ATTRIBUTE_JSON),
+            lambda o: F.struct(
+                F.coalesce(o["title"], T.found(b, r'"title"\s*:\s*"([^"]*)"')).alias("k"),
+                F.coalesce(o["description"], T.found(b, r'"description"\s*:\s*"([^"]*)"')).alias("v"),
+            ),
         ),
     )
 
 
-def described_pairs(html: Column) -> Column:
+def described_pairs(page: Column) -> Column:
     """The second spelling: "descriptions":["V"],"title":"T"."""
     spots = F.regexp_extract_all(
-        unescape(html), F.lit(r'"descriptions"\s*:\s*\["[^"]+"\]\s*,\s*"title"\s*:\s*"[^"]+"'), 0
+        page, F.lit(r'"descriptions"\s*:\s*\["[^"]+"\]\s*,\s*"title"\s*:\s*"[^"]+"'), 0
     )
     return F.transform(
         spots,
@@ -360,15 +373,14 @@ def _usable(pairs: Column) -> Column:
 
 def attribute_fields(html: Column, fields: dict[str, str] = fixed.ATTRIBUTE_FIELD) -> Column:
     """Known attributes as a map field -> text; the first value of a field wins, blocks before the second spelling."""
-    known = F.filter(
-        _usable(F.concat(attribute_pairs(html), described_pairs(html))), lambda p: p["k"].isin(list(fields))
-    )
+    pairs = let(unescape(html), lambda page: F.concat(attribute_pairs(page), described_pairs(page)))
+    known = F.filter(_usable(pairs), lambda p: p["k"].isin(list(fields)))
     return first_wins(F.transform(known, lambda p: F.struct(lookup(p["k"], fields).alias("k"), p["v"].alias("v"))))
 
 
 def extract_unmapped_attributes(html: Column, fields: dict[str, str] = fixed.ATTRIBUTE_FIELD) -> Column:
     """Attributes without a field of their own, title -> text."""
-    return first_wins(F.filter(_usable(attribute_pairs(html)), lambda p: ~p["k"].isin(list(fields))))
+    return first_wins(F.filter(_usable(attribute_pairs(unescape(html))), lambda p: ~p["k"].isin(list(fields))))
 
 
 def extract_description(html: Column) -> Column:
@@ -385,7 +397,10 @@ def extract_description(html: Column) -> Column:
 
 def extract_photos(html: Column) -> Column:
     """Photo addresses: sized image objects, then full-image fields, then image-server links; no repeats."""
-    page = unescape(html)
+    return let(unescape(html), _extract_photos)
+
+
+def _extract_photos(page: Column) -> Column:
     sized = all_found(page, r'\{[^{}]*"(?:1280x960|640x480)"\s*:\s*"(https?://[^"]+)"[^{}]*\}')
     named = all_found(page, r'"(?:\w*[Ff]ull[Ii]mage(?:Url)?|origImage|image1280x960)"\s*:\s*"(https?://[^"]+)"')
     linked = all_found(page, CDN_PHOTO_URL)
@@ -395,7 +410,10 @@ def extract_photos(html: Column) -> Column:
 
 def extract_seller(html: Column) -> Column:
     """Seller struct: name, type, is_dealer, id, rating, reviews_count, registered_date."""
-    page = unescape(html)
+    return let(unescape(html), _extract_seller)
+
+
+def _extract_seller(page: Column) -> Column:
     name = T.first_found(
         page,
         [
@@ -429,7 +447,10 @@ def extract_seller(html: Column) -> Column:
 
 def extract_location(html: Column) -> Column:
     """City and region struct."""
-    page = unescape(html)
+    return let(unescape(html), _extract_location)
+
+
+def _extract_location(page: Column) -> Column:
     address = T.found(page, r'"address"\s*:\s*"([^"]+)"')
     return F.struct(
         F.coalesce(
@@ -456,14 +477,21 @@ def epoch_seconds(value: Column) -> Column:
 
 def extract_listing_date(html: Column) -> Column:
     """Publication time as text: an ISO value when there is one, else the first plausible epoch, in ISO form."""
-    page = unescape(html)
+    return let(unescape(html), _extract_listing_date)
+
+
+def _extract_listing_date(page: Column) -> Column:
     iso = [rf'"{key}"\s*:\s*"(\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}[^"]*)"' for key in ("publishedAt", "createdAt", "created")]
     stamps = [
-        epoch_seconds(T.found(page, rf'"{key}"\s*:\s*(\d{{10,13}})').try_cast("bigint"))
+        T.found(page, rf'"{key}"\s*:\s*(\d{{10,13}})').try_cast("bigint")
         for key in ("sortTimeStamp", "time", "createTime")
     ]
     low, high = EPOCH_RANGE
-    plausible = F.coalesce(*[F.when((s > low) & (s < high), s) for s in stamps])
+
+    def within(stamp: Column) -> Column:
+        return let(let(stamp, epoch_seconds), lambda s: F.when((s > low) & (s < high), s))
+
+    plausible = F.coalesce(*[within(s) for s in stamps])
     return F.coalesce(
         T.first_found(page, iso), F.date_format(F.timestamp_seconds(plausible), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     )
@@ -483,7 +511,10 @@ ESTIMATE_RANGE = (10_000, 50_000_000)
 
 def extract_price_estimate(html: Column) -> Column:
     """The source's own valuation: first pattern with a plausible value."""
-    page = F.replace(html, F.lit('\\"'), F.lit('"'))
+    return let(F.replace(html, F.lit('\\"'), F.lit('"')), _extract_price_estimate)
+
+
+def _extract_price_estimate(page: Column) -> Column:
     values = [
         T.found(page, pattern).try_cast("bigint")
         for pattern in (
@@ -495,7 +526,7 @@ def extract_price_estimate(html: Column) -> Column:
         )
     ]
     low, high = ESTIMATE_RANGE
-    return F.coalesce(*[F.when((v > low) & (v < high), v) for v in values]).cast("int")
+    return F.coalesce(*[let(v, lambda x: F.when((x > low) & (x < high), x)) for v in values]).cast("int")
 
 
 def extract_view_counts(html: Column) -> Column:
@@ -516,16 +547,17 @@ def extract_seller_slug(item: Column) -> Column:
 def detail_fields(pages: DataFrame) -> DataFrame:
     """Everything a detail page gives, one row per page."""
     html = F.col("html")
-    base = pages.select(
-        "page_id",
-        attribute_fields(html).alias("a"),
-        extract_seller(html).alias("seller"),
-        extract_location(html).alias("loc"),
-        extract_description(html).alias("description"),
-        extract_photos(html).alias("photos"),
-        extract_listing_date(html).alias("listing_date"),
-        extract_price_estimate(html).alias("source_estimate"),
-        extract_unmapped_attributes(html).alias("extra_attrs"),
+    base = computed(
+        pages,
+        ["page_id"],
+        a=attribute_fields(html),
+        seller=extract_seller(html),
+        loc=extract_location(html),
+        description=extract_description(html),
+        photos=extract_photos(html),
+        listing_date=extract_listing_date(html),
+        source_estimate=extract_price_estimate(html),
+        extra_attrs=extract_unmapped_attributes(html),
     )
 
     def attr(name: str) -> Column:
@@ -598,8 +630,8 @@ def enrich_from_detail(ads: DataFrame, pages: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ offers and catalogue items
 def flatten_offer_json(offers: DataFrame, column: str = "offer", page_url: str = "https://cars.example") -> DataFrame:
     """Nested offer JSON -> flat ad row; rows without price or brand are dropped."""
-    parsed = offers.select(F.from_json(column, OFFER).alias("o")).filter(F.col("o").isNotNull())
-    base = parsed.withColumn("v", F.from_json(F.coalesce("o.vehicle_info", "o.car_info"), VEHICLE))
+    parsed = computed(offers, [], o=F.from_json(column, OFFER)).filter(F.col("o").isNotNull())
+    base = computed(parsed, ["o"], v=F.from_json(F.coalesce("o.vehicle_info", "o.car_info"), VEHICLE))
     o, v = F.col("o"), F.col("v")
 
     def first_of(*values: Column) -> Column:
