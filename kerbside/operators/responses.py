@@ -96,10 +96,8 @@ def parse_model_batch_response(responses: DataFrame, raw: str = "raw") -> DataFr
 def first_object(text: Column) -> Column:
     """From the first brace to its matching one (two levels deep), or to the end when the text is cut."""
     balanced = F.regexp_extract(text, r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}", 0)
-    start = F.locate("{", text)
+    start = F.instr(text, "{")
     return F.when(
         start > 0,
-        F.when((balanced != "") & (F.locate(balanced, text) == start), balanced).otherwise(
-            F.substring(text, start, F.length(text))
-        ),
+        F.when((balanced != "") & (F.position(balanced, text) == start), balanced).otherwise(F.substr(text, start)),
     )
