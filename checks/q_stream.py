@@ -84,7 +84,7 @@ LAST = """(SELECT user_id, CAST(round(value * 100) AS INTEGER) AS price FROM (SE
 def _(spark, sf):
     out = _folder(spark)
     table = _start_table(spark, sf, f"{out}/table")
-    J.stream_upsert(_ads(spark, sf), table, D.as_of(), f"{out}/ckpt", "seen_at").awaitTermination()
+    J.stream_upsert(_ads(spark, sf), table, f"{out}/ckpt", "seen_at").awaitTermination()
     return table.read().select("external_id", "price")
 
 
@@ -101,7 +101,7 @@ def _(spark, sf):
     table = _start_table(spark, sf, f"{out}/table")
     # one batch holding every file, so that "old" is the stored price
     ads = _ads(spark, sf, per_batch=1000)
-    J.stream_price_changes(ads, table, D.as_of(), f"{out}/changes", f"{out}/ckpt", "seen_at").awaitTermination()
+    J.stream_price_changes(ads, table, f"{out}/changes", f"{out}/ckpt", "seen_at").awaitTermination()
     return J.read_batches(spark, f"{out}/changes").select("external_id", "old_price", "new_price")
 
 

@@ -36,6 +36,7 @@ def upsert_apply(incoming: DataFrame, stored: DataFrame, as_of: Column) -> DataF
 
     Stored rows keep their columns; a re-seen ad gets ``updated_at = as_of``; a changed price pushes
     ``{old price, day}`` to the end of ``price_history``. New ads are inserted with both times set to ``as_of``.
+    ``as_of`` may name a column of the incoming row as ``new.<column>``.
     """
     old = stored.select(*KEYS, F.struct(*[c for c in stored.columns if c not in KEYS]).alias("old"))
     new = incoming.select(*KEYS, F.struct(*[c for c in incoming.columns if c not in KEYS]).alias("new"))

@@ -50,29 +50,40 @@ def latest_in_batch(batch: DataFrame, time: str) -> DataFrame:
     return first_per_key(batch, ["source", "external_id"], [newest, F.col("price")])
 
 
-def stream_upsert(stream: DataFrame, table: SnapshotTable, as_of: Column, checkpoint: str, time: str) -> StreamingQuery:
-    """Merge each micro-batch into the snapshot table. Batch n writes version n + 1 from version n: replays repeat it.
+def not_late(latest: DataFrame, stored: DataFrame, time: str) -> DataFrame:
+    """Drop sightings older than what is stored, so the table does not depend on the order files arrive in."""
+    known = stored.select("source", "external_id", F.col("updated_at").alias("__known"))
+    joined = latest.join(known, ["source", "external_id"], "left")
+    return joined.filter(F.col("__known").isNull() | (F.col(time) >= F.col("__known"))).drop("__known")
 
-    The table must hold version 0 before the first batch.
+
+def stream_upsert(stream: DataFrame, table: SnapshotTable, checkpoint: str, time: str) -> StreamingQuery:
+    """Merge each micro-batch into the snapshot table, the sighting time taking the place of "now".
+
+    Batch n writes version n + 1 from version n, so replays repeat it. Version 0 must exist before the first batch.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         before = table.read(batch_id)
-        table.write(upsert_apply(latest_in_batch(batch, time), before, as_of), batch_id + 1)
+        latest = not_late(latest_in_batch(batch, time), before, time)
+        table.write(upsert_apply(latest, before, F.col(f"new.{time}")), batch_id + 1)
 
     return for_each_batch(stream, merge, checkpoint)
 
 
-def stream_price_changes(stream: DataFrame, table: SnapshotTable, as_of: Column, path: str, checkpoint: str, time: str) -> StreamingQuery:
+def stream_price_changes(
+    stream: DataFrame, table: SnapshotTable, path: str, checkpoint: str, time: str
+) -> StreamingQuery:
     """(key, old price, new price) of every re-priced ad, one folder per batch; the table moves along."""
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        before, latest = table.read(batch_id), latest_in_batch(batch, time)
+        before = table.read(batch_id)
+        latest = not_late(latest_in_batch(batch, time), before, time)
         changes = upsert_classify(latest, before).filter(F.col("change") == "price_changed")
         changes.select("source", "external_id", "old_price", F.col("price").alias("new_price")).withColumn(
             "batch", F.lit(batch_id)
         ).write.mode("overwrite").parquet(f"{path}/b{batch_id}")
-        table.write(upsert_apply(latest, before, as_of), batch_id + 1)
+        table.write(upsert_apply(latest, before, F.col(f"new.{time}")), batch_id + 1)
 
     return for_each_batch(stream, emit, checkpoint)
 
