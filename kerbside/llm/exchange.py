@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,3 +71,15 @@ def ask_and_answer(blocks: DataFrame, ask: Callable, answer: Callable) -> DataFr
 def with_answers(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """``finish(texts, letters)`` for every block."""
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+
+
+def joined(parts: list[bytes]) -> bytes:
+    """Several byte strings as one."""
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def split(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    sizes = np.frombuffer(data, np.int64, n, 8)
+    ends = np.cumsum(sizes) + 8 * (n + 1)
+    return [data[e - s : e] for e, s in zip(ends, sizes, strict=True)]

@@ -195,13 +195,13 @@ def score(
             cut = np.append(np.searchsorted(k, lower), len(k))
             packed.append([A.pack(k[a:b], SHIFT if n else 0, counts[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
         for bucket in range(buckets):
-            rows.append((block, bucket, _joined([p[bucket] for p in packed])))
+            rows.append((block, bucket, X.joined([p[bucket] for p in packed])))
         return X.letters(rows)
 
     def answer(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         senders = table["block"].to_pylist()
-        parts = [_split(x) for x in table["data"].to_pylist()]
+        parts = [X.split(x) for x in table["data"].to_pylist()]
         replies: list[list[bytes]] = [[] for _ in senders]
         tokens = kinds = 0
         for n in range(order):
@@ -217,13 +217,13 @@ def score(
                 kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(own) or own.max() <= np.iinfo(t).max)
                 replies[i].append(np.dtype(kind).str.encode() + A.zlib.compress(own.astype(kind).tobytes(), 1))
         head = np.array([tokens, kinds], np.int64).tobytes()
-        return X.letters([(block, bucket, _joined([head, *r])) for block, r in zip(senders, replies, strict=True)])
+        return X.letters([(block, bucket, X.joined([head, *r])) for block, r in zip(senders, replies, strict=True)])
 
     def finish(table: pa.Table, right: pa.Table) -> pa.Table:
         table = X.one_per_id(table)
         keys, first = _sequences(table, order)
         ids = [at for _, at in _distinct(keys)]
-        got = [_split(x) for x in X.by_bucket(right).values()]
+        got = [X.split(x) for x in X.by_bucket(right).values()]
         totals = np.sum([np.frombuffer(g[0], np.int64) for g in got], axis=0)
         counts = [np.concatenate([np.frombuffer(A.zlib.decompress(g[n + 1][3:]), np.dtype(g[n + 1][:3].decode())).astype(np.int64) for g in got]) for n in range(order)]
         tokens, kinds = int(totals[0]), int(totals[1])
@@ -242,14 +242,3 @@ def score(
         )
 
     return X.with_answers(blocks, X.ask_and_answer(blocks, ask, answer), finish, SCHEMA)
-
-
-def _joined(parts: list[bytes]) -> bytes:
-    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
-
-
-def _split(data: bytes) -> list[bytes]:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    sizes = np.frombuffer(data, np.int64, n, 8)
-    ends = np.cumsum(sizes) + 8 * (n + 1)
-    return [data[e - s : e] for e, s in zip(ends, sizes, strict=True)]

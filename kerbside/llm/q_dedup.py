@@ -1,7 +1,10 @@
 """Queries of the near-duplicate and substring operators."""
 
+from pyspark.sql import functions as F
+
 from kerbside.llm.jaccard_join import linked_classes
 from kerbside.llm.registry import query
+from kerbside.llm.suffix_dedup import without_repeats
 
 
 def documents(spark, sf):
@@ -11,3 +14,12 @@ def documents(spark, sf):
 @query("op2_ngram_jaccard")
 def _(spark, sf):
     return linked_classes(documents(spark, sf))
+
+
+@query("op4_suffix_dedup")
+def _(spark, sf):
+    out = without_repeats(documents(spark, sf))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
