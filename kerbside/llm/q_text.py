@@ -1,6 +1,8 @@
 """Queries that score texts."""
 
-from kerbside.llm import lm_scoring
+from pyspark.sql import functions as F
+
+from kerbside.llm import language_id, lm_scoring, quality_rules
 from kerbside.llm.q_dedup import documents
 from kerbside.llm.registry import query
 
@@ -8,3 +10,13 @@ from kerbside.llm.registry import query
 @query("op3_lm_scoring")
 def _(spark, sf):
     return lm_scoring.score(documents(spark, sf))
+
+
+@query("op6_quality_rules")
+def _(spark, sf):
+    return quality_rules.classify(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query("op8_language_id")
+def _(spark, sf):
+    return language_id.identify(documents(spark, sf)).select("doc_id", "held_out", F.col("lang").alias("lang_pred"), "score", "rejected")
