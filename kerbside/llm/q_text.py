@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kerbside.llm import language_id, lm_scoring, quality_rules
+from kerbside.llm import language_id, lm_scoring, quality_rules, toxicity
 from kerbside.llm.q_dedup import documents
 from kerbside.llm.registry import query
 
@@ -20,3 +20,8 @@ def _(spark, sf):
 @query("op8_language_id")
 def _(spark, sf):
     return language_id.identify(documents(spark, sf)).select("doc_id", "held_out", F.col("lang").alias("lang_pred"), "score", "rejected")
+
+
+@query("op10_toxicity")
+def _(spark, sf):
+    return toxicity.classify(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
