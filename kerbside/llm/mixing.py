@@ -25,7 +25,7 @@ from kerbside.llm.storage import stage
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 #: Blocks of a source: one for every BLOCK_DOCS documents, at most MOST_BLOCKS; more documents make larger blocks.
-BLOCK_DOCS = 64
+BLOCK_DOCS = 8
 MOST_BLOCKS = 512
 #: Width of the ranges of the 32-bit permutation that are added up where a block is cut.
 RANGE = 1 << 20
@@ -66,10 +66,10 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most:
         "weights_before": F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
         "weights": F.sum("weight").over(everything),
     })
-    # the level if exactly the sources before this one are at their limit; the largest feasible is the one
+    # the level if exactly the sources before this one are at their limit; of the feasible ones the highest holds
     level = (F.col("share") - F.col("limits_before")) / (F.col("weights") - F.col("weights_before"))
     rows = rows.withColumn("level", F.when(level * F.col("weight") <= F.col("limit"), level))
-    rows = rows.withColumn("level", F.min("level").over(everything))
+    rows = rows.withColumn("level", F.max("level").over(everything))
     target = F.least("limit", F.coalesce(F.col("level") * F.col("weight"), "limit"))
     return rows.select("source", "source_size", "docs", "weight", target.alias("target"))
 
@@ -203,3 +203,12 @@ def mix(
         lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), dice(SEED, F.lit("place"), F.col("doc_id"), x["pass"]).alias("place")),
     )
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), copies.alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it, with the output shard, the place that orders the
+    shard, the pass, and size, target and taken words. Rows without an id and documents that are not taken go; ids must be
+    unique."""
+    taken = mix(docs, id_col, **options).filter(F.size("copies") > 0)
+    taken = taken.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken", F.inline("copies"))
+    return docs.join(taken, id_col)

@@ -26,9 +26,9 @@ sized AS (
 ), levels AS (
   SELECT *, CASE WHEN (share - limits_before) / (weights - weights_before) * weight <= lim THEN (share - limits_before) / (weights - weights_before) END AS lv FROM summed
 ), targets AS (
-  SELECT source, source_size, docs, least(lim, coalesce(min(lv) OVER () * weight, lim)) AS target FROM levels
+  SELECT source, source_size, docs, least(lim, coalesce(max(lv) OVER () * weight, lim)) AS target FROM levels
 ), parts AS (
-  SELECT *, CAST(least(ceil(docs / 64.0), 512) AS BIGINT) AS blocks_of,
+  SELECT *, CAST(least(ceil(docs / 8.0), 512) AS BIGINT) AS blocks_of,
     CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM targets
 ), rests AS (
   SELECT *, target - passes * source_size AS rest FROM parts
