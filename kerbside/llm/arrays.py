@@ -145,3 +145,33 @@ def flags(bits: np.ndarray) -> bytes:
 
 def unflags(packed: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=n).astype(bool)
+
+
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def letter_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters: where each begins and ends, and where each text's runs begin."""
+    inside = LETTER[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    full = np.flatnonzero(starts[1:] > starts[:-1])
+    at, to = starts[full], starts[full + 1] - 1
+    begins[at], ends[to] = inside[at], inside[to]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return begins, ends, np.searchsorted(begins, starts)
+
+
+def run_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes, A-Z lower-cased."""
+    if not len(begins):
+        return np.empty(0, np.uint64)
+    length = ends - begins
+    offset = np.zeros(len(length), np.int64)
+    np.cumsum(length[:-1], out=offset[1:])
+    place = np.arange(int(length.sum())) - np.repeat(offset, length)
+    letters = _LOWER[data[place + np.repeat(begins, length)]].astype(np.uint64) + np.uint64(1)
+    letters *= powers(int(length.max()))[place]
+    return mix(np.add.reduceat(letters, offset) + length.astype(np.uint64))

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LETTERS = "block int, bucket int, data binary"
 _LETTERS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
@@ -68,7 +69,7 @@ def ask_and_answer(blocks: DataFrame, ask: Callable, answer: Callable) -> DataFr
     return asked.groupBy("bucket").applyInArrow(answer, LETTERS)
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
+def with_answers(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str | StructType) -> DataFrame:
     """``finish(texts, letters)`` for every block."""
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 

@@ -23,19 +23,21 @@ def fit_sample(labels: DataFrame, label: str, rows: int = FIT_ROWS, id_col: str
     return known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def per_text(docs: DataFrame, id_col: str, text_col: str, names: list[str], measure: Callable, most: int = 1 << 20) -> DataFrame:
-    """(doc_id, one double per name): ``measure(data, starts)`` of portions of whole texts gives one row per text."""
+def per_text(docs: DataFrame, text_col: str, names: list[str], measure: Callable, keep: list[str], most: int = 1 << 20) -> DataFrame:
+    """Columns ``keep`` and one double per name: ``measure(data, starts)`` of portions of whole texts gives one row per text."""
 
     def run(batches):
         for batch in batches:
-            data, starts = A.text_bytes(batch.column(1))
+            data, starts = A.text_bytes(batch.column(0))
             found = [measure(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]) for a, b in A.portions(starts, most)]
             values = np.concatenate([*found, np.empty((0, len(names)))]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in values.T]], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(np.ascontiguousarray(c)) for c in values.T]], names=[*keep, *names])
 
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{n} double" for n in names]]))
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
+    schema = rows.drop("__text").schema
+    for name in names:
+        schema = schema.add(name, "double")
+    return rows.mapInArrow(run, schema)
 
 
 def byte_counts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:

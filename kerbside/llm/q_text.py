@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kerbside.llm import language_id, lm_scoring, quality_rules, toxicity
+from kerbside.llm import decontaminate, language_id, lm_scoring, quality_rules, toxicity
 from kerbside.llm.q_dedup import documents
 from kerbside.llm.registry import query
 
@@ -25,3 +25,10 @@ def _(spark, sf):
 @query("op10_toxicity")
 def _(spark, sf):
     return toxicity.classify(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query("op5_decontaminate")
+def _(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = decontaminate.marked(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return found.select("doc_id", F.inline("leaks")).dropDuplicates(["doc_id", "item_id"])

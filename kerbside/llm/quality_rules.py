@@ -131,18 +131,32 @@ def fit(rows: DataFrame, names: list[str], trees: int = TREES, depth: int = DEPT
     return Model(float(lasso.intercept), tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if w != 0.0))
 
 
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
+    """Model of at most ``fit_rows`` labelled documents that are not held out (crc32 of the id by 5 is not 0)."""
+    sample = fit_sample(labels, label, fit_rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    return fit(stage(per_text(rows, "text", STATISTICS, statistics, ["y"]), "quality-fit"), STATISTICS)
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.3, fit_rows: int = FIT_ROWS
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``; ``score`` is the probability of label 1.
 
-    The model is fitted on at most ``fit_rows`` labelled documents that are not held out (crc32 of the id by 5 is not 0).
     Null and empty texts have statistics of 0 and a score like any other; a row without an id is scored and not held out;
-    repeated rows are each scored. Without usable labels every score is the share of label 1, or 0.5.
+    repeated rows are each scored; other columns are ignored. Without both labels in the sample every score is the share of
+    label 1 (0.5 without labels), within 0.01 and 0.99.
     """
-    found = stage(per_text(docs, id_col, text_col, STATISTICS, statistics), "quality-statistics")
-    sample = fit_sample(labels, label, fit_rows)
-    rows = found.join(F.broadcast(sample), found["doc_id"].cast("long") == sample["doc_id"]).select("y", *STATISTICS)
-    model = fit(stage(rows, "quality-fit"), STATISTICS)
+    model = fit_on(docs, labels, id_col, text_col, label, fit_rows)
+    found = per_text(docs.withColumnRenamed(id_col, "doc_id"), text_col, STATISTICS, statistics, ["doc_id"])
     score = found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), model.score(STATISTICS).alias("score"))
     return score.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold."""
+    prefix = "__quality_"
+    model = fit_on(docs, labels, id_col, text_col)
+    names = [prefix + s for s in STATISTICS]
+    found = per_text(docs, text_col, names, statistics, docs.columns)
+    return found.filter(model.score(names) >= threshold).select(*docs.columns)

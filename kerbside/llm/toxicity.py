@@ -42,9 +42,7 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 
 FEATURES = ["plain", "plain_density", "weight", "top_weight", "hidden", "hidden_density", "near_second", "second_density", "capitals", "marks", "exclamations", "obfuscated", "words"]
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_DIGIT_OR_MARK = ~_LETTER
+_DIGIT_OR_MARK = ~A.LETTER
 _DIGIT_OR_MARK[[32, *range(9, 14)]] = False
 _READ = np.arange(256, dtype=np.uint8)
 for _k, _v in LOOKALIKES.items():
@@ -52,19 +50,6 @@ for _k, _v in LOOKALIKES.items():
 _READS = _READ != np.arange(256)
 
 
-def letter_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of letters: where each begins and ends, and where each text's runs begin."""
-    inside = _LETTER[data]
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
-    full = np.flatnonzero(starts[1:] > starts[:-1])
-    at, to = starts[full], starts[full + 1] - 1
-    begins[at], ends[to] = inside[at], inside[to]
-    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return begins, ends, np.searchsorted(begins, starts)
-
-
 def prefix_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Hash of every word with capital A-Z lower-cased, and of its beginnings (0 where it is no longer than that)."""
     if not len(begins):
@@ -92,7 +77,7 @@ def prefix_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tup
 
 def terms_of(data: np.ndarray, starts: np.ndarray):
     """For each text the distinct hashes of its words and their beginnings, and a key that near copies mostly share."""
-    begins, ends, first = letter_words(data, starts)
+    begins, ends, first = A.letter_words(data, starts)
     whole, parts = prefix_hashes(data, begins, ends)
     for x, y in zip(first[:-1], first[1:], strict=True):
         own = np.unique(np.concatenate([whole[x:y], *[p[x:y] for p in parts]]))
@@ -143,7 +128,7 @@ def features(lexicon: dict[int, float]):
     weights = np.array([lexicon[int(np.array([k], np.uint64).view(np.int64)[0])] for k in keys])
     text = " ".join(SECOND_PERSON).encode()
     data = np.frombuffer(text, np.uint8)
-    begins, ends, _ = letter_words(data, np.array([0, len(data)]))
+    begins, ends, _ = A.letter_words(data, np.array([0, len(data)]))
     second = np.sort(prefix_hashes(data, begins, ends)[0])
 
     def found(hashes: np.ndarray) -> np.ndarray:
@@ -160,20 +145,20 @@ def features(lexicon: dict[int, float]):
         return best, whole
 
     def measure(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        begins, ends, first = letter_words(data, starts)
+        begins, ends, first = A.letter_words(data, starts)
         weight, whole = hits(data, begins, ends)
         you = np.isin(whole, second)
         # words that mix letters with digits or marks inside, read with the letters these stand for
         read = _READ[data]
         inner = _READS[data].copy()
-        inner[1:] &= _LETTER[data[:-1]]
-        inner[:-1] &= _LETTER[data[1:]]
+        inner[1:] &= A.LETTER[data[:-1]]
+        inner[:-1] &= A.LETTER[data[1:]]
         if len(inner):
             inner[0] = inner[-1] = False
         for s in starts[1:-1]:
             inner[max(s - 1, 0)] = inner[min(s, len(inner) - 1)] = False
         shown = np.where(inner, read, data)
-        begins_2, ends_2, first_2 = letter_words(shown, starts)
+        begins_2, ends_2, first_2 = A.letter_words(shown, starts)
         many = np.concatenate([[0], np.cumsum(inner)])
         mixed = many[ends_2] > many[begins_2] if len(begins_2) else np.empty(0, bool)
         hidden, _ = hits(shown, begins_2[mixed], ends_2[mixed])
@@ -223,7 +208,7 @@ def classify(
         share = F.lit(positive / total if total else 0.0)
         return docs.select(F.col(id_col).alias("doc_id")).select("doc_id", flagged, share.alias("score"), (share >= threshold).cast("int").alias("predicted"))
     measure = features(learn_lexicon(rows))
-    fitted = per_text(rows, "doc_id", "text", FEATURES, measure).join(rows.select("doc_id", "y").dropDuplicates(["doc_id"]), "doc_id")
+    fitted = per_text(rows, "text", FEATURES, measure, ["doc_id", "y"])
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     fitted = stage(fitted, "toxicity-features")
     part = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(1000)) < int(1000 * CALIBRATE)
@@ -237,7 +222,7 @@ def classify(
 
     isotonic = IsotonicRegression(labelCol="y", featuresCol="margin", predictionCol="score")
     calibrated = isotonic.fit(margins(rest).select("margin", "y").coalesce(2))
-    scored = margins(per_text(docs, id_col, text_col, FEATURES, measure)).select("doc_id", "margin")
+    scored = margins(per_text(docs.withColumnRenamed(id_col, "doc_id"), text_col, FEATURES, measure, ["doc_id"])).select("doc_id", "margin")
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score")
     scored = calibrated.transform(scored).select("doc_id", flagged, score)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
