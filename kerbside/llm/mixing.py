@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.common import let
 from kerbside.llm.storage import stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -75,21 +76,32 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most:
 
 
 def _hypergeometric(good: Column, others: Column, draws: Column, u: Column) -> Column:
-    """Number of good ones among ``draws`` without replacement from good + others, by inversion at ``u``."""
+    """Number of good ones among ``draws`` without replacement from good + others, by inversion at ``u``.
+
+    Logarithms of the probabilities, relative to that of the smallest number, come from the ratio of neighbours; a first
+    walk adds them up, a second one stops where the sum passes ``u``. Linear in the number of blocks.
+    """
     low, high = F.greatest(F.lit(0), draws - others), F.least(good, draws)
     steps = F.when(high > low, F.sequence(low.cast("int"), (high - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    # logarithms of the probabilities relative to the first, by the ratio of neighbours
-    ratio = lambda x: F.log(((good - x) * (draws - x)).cast("double") / ((x + 1) * (others - draws + x + 1)).cast("double"))
-    start = F.struct(F.lit(0.0).alias("last"), F.array(F.lit(0.0)).alias("all"))
-    logs = F.aggregate(steps, start, lambda a, x: F.struct((a["last"] + ratio(x)).alias("last"), F.concat(a["all"], F.array(a["last"] + ratio(x))).alias("all")))["all"]
-    top = F.array_max(logs)
-    weight = F.transform(logs, lambda v: F.exp(v - top))
-    total = F.aggregate(weight, F.lit(0.0), lambda a, v: a + v)
-    walk = F.aggregate(
-        weight, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("passed")),
-        lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["passed"] + F.when(a["sum"] + v <= u * total, 1).otherwise(0)).alias("passed")),
-    )["passed"]
-    return F.least(low + walk, high).cast("int")
+
+    def following(last: Column, x: Column) -> Column:
+        return last + F.log(((good - x) * (draws - x)).cast("double") / ((x + 1) * (others - draws + x + 1)).cast("double"))
+
+    def added(a: Column, x: Column) -> Column:
+        entry = lambda v, top: F.struct(v.alias("last"), top.alias("top"), (a["sum"] * F.exp(a["top"] - top) + F.exp(v - top)).alias("sum"))
+        return let(following(a["last"], x), lambda v: let(F.greatest(a["top"], v), lambda top: entry(v, top)))
+
+    start = F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("top"), F.lit(1.0).alias("sum"))
+
+    def passed(goal: Column, top: Column) -> Column:
+        count = lambda v: F.when(v <= goal, 1).otherwise(0)
+        walk = lambda a, x: let(following(a["last"], x), lambda v: let(a["sum"] + F.exp(v - top), lambda c: F.struct(
+            v.alias("last"), c.alias("sum"), (a["passed"] + count(c)).alias("passed"))))
+        begin = F.struct(F.lit(0.0).alias("last"), F.exp(-top).alias("sum"), count(F.exp(-top)).alias("passed"))
+        return F.aggregate(steps, begin, walk)["passed"]
+
+    found = let(F.aggregate(steps, start, added), lambda z: let(u * z["sum"], lambda goal: passed(goal, z["top"])))
+    return F.least(low + found, high).cast("int")
 
 
 def shard_quotas(quotas: DataFrame, depth: int = DEPTH, seed: str = SEED) -> DataFrame:
@@ -207,8 +219,8 @@ def mix(
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it, with the output shard, the place that orders the
-    shard, the pass, and size, target and taken words. Rows without an id and documents that are not taken go; ids must be
-    unique."""
+    shard, the pass, and size, target and taken words (columns of ``docs`` with these names are replaced). Rows without an
+    id and documents that are not taken go; ids must be unique."""
     taken = mix(docs, id_col, **options).filter(F.size("copies") > 0)
     taken = taken.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken", F.inline("copies"))
-    return docs.join(taken, id_col)
+    return docs.drop(*[c for c in taken.columns if c != id_col]).join(taken, id_col)
