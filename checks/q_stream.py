@@ -76,33 +76,50 @@ def _start_table(spark, sf, path):
     return table
 
 
-LAST = """(SELECT user_id, CAST(round(value * 100) AS INTEGER) AS price FROM (SELECT *, row_number() OVER (PARTITION BY user_id
-  ORDER BY ts DESC, round(value * 100)) AS rn FROM events) t WHERE rn = 1)"""
+# all sightings of an ad in time order behind its stored price, and every step between two of them
+STEPS = """
+WITH seen AS (
+  SELECT DISTINCT user_id, ts, CAST(round(value * 100) AS INTEGER) AS price FROM events WHERE value IS NOT NULL
+  UNION SELECT DISTINCT user_id, {as_of}, 1 FROM events WHERE user_id % 2 = 0
+), steps AS (
+  SELECT user_id, ts, price, lag(price) OVER (PARTITION BY user_id ORDER BY ts, price) AS old_price,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, price DESC) AS back FROM seen
+)
+""".format(as_of=f"TIMESTAMP '{D.AS_OF}'")
 
 
-@query("stream_upsert", None, f"SELECT CAST(user_id AS VARCHAR) AS external_id, price FROM {LAST} l")
+@query(
+    "stream_upsert",
+    None,
+    STEPS
+    + """
+SELECT CAST(user_id AS VARCHAR) AS external_id, max(price) FILTER (back = 1) AS price,
+  coalesce(string_agg(CAST(old_price AS VARCHAR) || '@' || strftime(ts, '%Y-%m-%d'), ',' ORDER BY ts, price) FILTER (old_price <> price), '') AS history
+FROM steps GROUP BY user_id
+""",
+)
 def _(spark, sf):
     out = _folder(spark)
     table = _start_table(spark, sf, f"{out}/table")
     J.stream_upsert(_ads(spark, sf), table, f"{out}/ckpt", "seen_at").awaitTermination()
-    return table.read().select("external_id", "price")
+    entries = F.transform("price_history", lambda h: F.concat(h["price"].cast("string"), F.lit("@"), F.date_format(h["date"], "yyyy-MM-dd")))
+    return table.read().select("external_id", "price", F.coalesce(F.array_join(entries, ","), F.lit("")).alias("history"))
 
 
 @query(
     "stream_price_changes",
     None,
-    f"""
-SELECT CAST(user_id AS VARCHAR) AS external_id, 1 AS old_price, price AS new_price FROM {LAST} l
-WHERE user_id % 2 = 0 AND price <> 1
+    STEPS
+    + """
+SELECT CAST(user_id AS VARCHAR) AS external_id, ts AS changed_at, old_price, price AS new_price FROM steps WHERE old_price <> price
 """,
 )
 def _(spark, sf):
     out = _folder(spark)
     table = _start_table(spark, sf, f"{out}/table")
-    # one batch holding every file, so that "old" is the stored price
-    ads = _ads(spark, sf, per_batch=1000)
-    J.stream_price_changes(ads, table, f"{out}/changes", f"{out}/ckpt", "seen_at").awaitTermination()
-    return J.read_batches(spark, f"{out}/changes").select("external_id", "old_price", "new_price")
+    J.stream_price_changes(_ads(spark, sf), table, f"{out}/changes", f"{out}/ckpt", "seen_at").awaitTermination()
+    changes = J.net_changes(J.read_batches(spark, f"{out}/changes"))
+    return changes.select("external_id", F.col("at").alias("changed_at"), "old_price", "new_price")
 
 
 # the stream starts with an empty sent log

@@ -1,8 +1,11 @@
 """Text functions, keyword features and model answers."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
+from kerbside import fixed_values as fixed
 from kerbside.functions import text as T
 from kerbside.operators import responses as R
 from kerbside.operators import text_features as TF
@@ -174,10 +177,11 @@ def _(spark, sf):
     return _with_photos(spark, sf).select("listing_id", T.first_photo(F.col("photos")).alias("photo"))
 
 
-# Latin stand-in patterns for the keyword features, read over the whole documents
-PATTERNS = {"kw_one": r"outre|eauou", "kw_two": r"tion\w*\s*en", "kw_three": r"the\s*(?:er|on)", "kw_four": r"zzzz"}
+# All keyword patterns, and Latin stand-ins that the documents do hold
+PATTERNS = fixed.KEYWORD_PATTERNS | {"kw_one": r"outre|eauou", "kw_two": r"tion\w*\s*en", "kw_three": r"the\s*(?:er|on)", "kw_four": r"zzzz"}
+# the SQL engine knows no look-behind; without it a pattern holds no less, and on Latin texts not more
 KW_SQL = ", ".join(
-    f"CAST(regexp_matches(text, '{p.replace(chr(92) + 'w', '[' + chr(92) + 'pL' + chr(92) + 'pN_]')}', 'i') AS INTEGER) AS {n}"
+    f"CAST(regexp_matches(text, '{re.sub(r'[(][?]<[!=][^)]*[)]', '', p).replace(chr(92) + 'w', '[' + chr(92) + 'pL' + chr(92) + 'pN_]')}', 'i') AS INTEGER) AS {n}"
     for n, p in PATTERNS.items()
 )
 
@@ -199,30 +203,38 @@ def _(spark, sf):
     return TF.keyword_support(D.documents(spark, sf), "description", PATTERNS)
 
 
+STAND_IN_FLAGS = {"first": "outre", "second": "THINTION", "third": "inging"}
+FLAG_SQL = ", ".join(
+    f"CASE WHEN regexp_matches(text, '{p.replace(chr(92) + 'w', '[' + chr(92) + 'pL' + chr(92) + 'pN_]')}', 'i') THEN '{n}' END"
+    for n, p in (fixed.CONDITION_FLAGS | STAND_IN_FLAGS).items()
+)
+
+
 @query(
     "condition_flags",
     None,
-    """
-SELECT flags, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN contains(lower(text), 'outre') THEN 'first' END,
-  CASE WHEN contains(lower(text), 'thintion') THEN 'second' END, CASE WHEN contains(lower(text), 'inging') THEN 'third' END) AS flags
-  FROM documents) t GROUP BY flags
-""",
+    f"SELECT flags, count(*) AS n FROM (SELECT concat_ws(',', {FLAG_SQL}) AS flags FROM documents) t GROUP BY flags",
 )
 def _(spark, sf):
-    flags = T.condition_flags(F.col("description"), {"first": "outre", "second": "THINTION", "third": "inging"})
+    flags = T.condition_flags(F.col("description"), fixed.CONDITION_FLAGS | STAND_IN_FLAGS)
     return D.documents(spark, sf).groupBy(F.array_join(flags, ",").alias("flags")).agg(F.count("*").alias("n"))
 
 
+# all stop words, and two that the documents do hold
+STOPPED = [*fixed.STOP_WORDS, "the", "les"]
+
+
 @query(
     "tokenise_text",
     None,
     """
 WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[а-яёa-z0-9]+')) AS w FROM documents)
-SELECT w AS token, count(*) AS n FROM t WHERE length(w) > 2 AND w NOT IN ('the', 'les') GROUP BY w
-""",
+SELECT w AS token, count(*) AS n FROM t WHERE length(w) > 2 AND w NOT IN ("""
+    + ", ".join(f"'{w}'" for w in STOPPED)
+    + ") GROUP BY w",
 )
 def _(spark, sf):
-    words = D.documents(spark, sf).select(F.explode(T.tokens(F.col("description"), ["the", "les"])).alias("token"))
+    words = D.documents(spark, sf).select(F.explode(T.tokens(F.col("description"), STOPPED)).alias("token"))
     return words.groupBy("token").agg(F.count("*").alias("n"))
 
 

@@ -483,11 +483,13 @@ KEYWORD_PATTERNS = {
     "kw_camera": r"камер\w*\s*(?:задн|парков)|парктроник",
 }
 # Stop words of the description tokeniser.
-STOP_WORDS = (
-    "и в на с по для от до не из за к о у как все что это так или но а при уже если вы мы он она вас вам нас нам "
-    "его её был была были быть есть будет также только можно нужно очень более менее "
-    "автомобиль авто машина продаж продажа"
-).split()
+STOP_WORDS = [
+    "и", "в", "на", "с", "по", "для", "от", "до", "не", "из", "за", "к",
+    "о", "у", "как", "все", "что", "это", "так", "или", "но", "а", "при", "уже",
+    "если", "вы", "мы", "он", "она", "вас", "вам", "нас", "нам", "его", "её", "был",
+    "была", "были", "быть", "есть", "будет", "также", "только", "можно", "нужно", "очень", "более", "менее",
+    "автомобиль", "авто", "машина", "продаж", "продажа",
+]
 
 # ---------------------------------------------------------------- price model
 # Premium makes, smoothing strengths, blend weights, neighbour weights.

@@ -399,7 +399,7 @@ def extract_description(html: Column) -> Column:
 
     The closing quote is found by look-behind over a lazy scan, which runs in constant stack on texts of any length.
     """
-    bodies = all_found(html, r'(?s)"description"\s*:\s*"(.*?(?<!\\)(?:\\\\){0,50})"')
+    bodies = all_found(html, r'(?s)"description"\s*:\s*"(.*?(?<!\\)(?:\\\\)*+)"')
     long_enough = F.filter(bodies, lambda d: F.length(F.regexp_replace(d, r"(?s)\\.", "x")) >= 20)
     raw = F.try_element_at(long_enough, F.lit(1))
     text = F.get_json_object(F.concat(F.lit('{"d":"'), raw, F.lit('"}')), "$.d")

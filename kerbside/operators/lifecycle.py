@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.common import blank_to_null, newest_first
+from kerbside.operators.upsert import first_per_key
 
 
 def days_before(as_of: Column, days: int) -> Column:
@@ -83,6 +84,6 @@ def analysis_run_metrics(workers: DataFrame, keep_errors: int = 10) -> DataFrame
 
 
 def insert_analysis(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Append analysis rows whose listing has none yet."""
-    fresh = incoming.dropDuplicates(["listing_id"]).join(stored.select("listing_id"), "listing_id", "left_anti")
+    """Append analysis rows whose listing has none yet; of several for one listing the smallest row."""
+    fresh = first_per_key(incoming, ["listing_id"]).join(stored.select("listing_id"), "listing_id", "left_anti")
     return stored.unionByName(fresh, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside import fixed_values as fixed
-from kerbside.common import lookup
+from kerbside.common import let, lookup
 from kerbside.schema import CATEGORY_RESULT, CATEGORY_RESULT_WITH_ID
 
 
@@ -54,6 +54,7 @@ def parsed_response(raw: Column, repair: bool = False) -> Column:
         text,
         F.regexp_extract(text, r'(?s)\{[^{}]*"category"[^{}]*\}', 0),
         F.regexp_extract(text, r'(?s)\{.*?"category"\s*:.*?\}', 0),
+        F.when(F.contains(text, F.lit('"category"')), first_object(text)),
     ]
     if repair:
         candidates.append(closed(F.regexp_extract(text, r"(?s)\{.*$", 0)))
@@ -94,10 +95,19 @@ def parse_model_batch_response(responses: DataFrame, raw: str = "raw") -> DataFr
 
 
 def first_object(text: Column) -> Column:
-    """From the first brace to its matching one (two levels deep), or to the end when the text is cut."""
-    balanced = F.regexp_extract(text, r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}", 0)
-    start = F.instr(text, "{")
-    return F.when(
-        start > 0,
-        F.when((balanced != "") & (F.position(balanced, text) == start), balanced).otherwise(F.substr(text, start)),
-    )
+    """From the first brace to its matching one, at any depth, or to the end when the text is cut.
+
+    The text is taken apart at its braces and folded once over the running depth.
+    """
+    rest = F.substr(text, F.instr(text, "{"))
+    pieces = F.regexp_extract_all(rest, F.lit(r"[{}][^{}]*"), F.lit(0))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(F.startswith(piece, F.lit("{")), 1).otherwise(-1)
+        end = F.when(state["end"] > 0, state["end"]).when(depth == 0, state["seen"] + 1).otherwise(0)
+        return F.struct(depth.alias("depth"), (state["seen"] + 1).alias("seen"), end.alias("end"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+    end = F.aggregate(pieces, start, step)["end"]
+    whole = let(end, lambda n: F.when(n > 0, F.concat(F.array_join(F.slice(pieces, F.lit(1), n - 1), ""), F.lit("}"))).otherwise(rest))
+    return F.when(F.instr(text, "{") > 0, whole)

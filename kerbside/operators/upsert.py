@@ -12,22 +12,34 @@ from kerbside.common import blank_to_null
 KEYS = ["source", "external_id"]
 
 
-def first_per_key(ads: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First ad per key in the given (total) order, as a map-side combined min(struct) rather than a window."""
+def first_per_key(ads: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """First ad per key in the given order, as a map-side combined minimum rather than a window.
+
+    Ties go to the smallest row; columns with maps, which have no order, come along without deciding anything.
+    """
     values = [c for c in ads.columns if c not in keys]
+    comparable = [c for c, kind in ads.dtypes if c in values and "map<" not in kind]
     ranked = [o.alias(f"__o{i}") for i, o in enumerate(order)]
-    best = F.min(F.struct(*ranked, F.struct(*values).alias("row")))
-    return ads.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.row.*").select(*ads.columns)
+    first = F.struct(F.lit(0).alias("__any"), *ranked, *[F.col(c).alias(f"__t{i}") for i, c in enumerate(comparable)])
+    best = F.min_by(F.struct(F.lit(0).alias("__any"), *values), first)
+    return ads.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*").select(*ads.columns)
 
 
 def upsert_classify(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Label each incoming ad ``new``, ``price_changed`` or ``unchanged``; carries the stored price."""
-    known = stored.select(*KEYS, F.col("price").alias("old_price"))
-    return incoming.join(known, KEYS, "left").withColumn(
-        "change",
-        F.when(F.col("old_price").isNull(), "new")
-        .when(F.col("old_price") != F.col("price"), "price_changed")
-        .otherwise("unchanged"),
+    """Label each incoming ad ``new``, ``price_changed`` or ``unchanged``; carries the stored price.
+
+    An ad is known when its key is stored, with a price or without; without one no change can be told.
+    """
+    known = stored.select(*KEYS, F.col("price").alias("old_price"), F.lit(True).alias("__known"))
+    return (
+        incoming.join(known, KEYS, "left")
+        .withColumn(
+            "change",
+            F.when(F.col("__known").isNull(), "new")
+            .when(F.col("old_price") != F.col("price"), "price_changed")
+            .otherwise("unchanged"),
+        )
+        .drop("__known")
     )
 
 
@@ -36,8 +48,10 @@ def upsert_apply(incoming: DataFrame, stored: DataFrame, as_of: Column) -> DataF
 
     Stored rows keep their columns; a re-seen ad gets ``updated_at = as_of``; a changed price pushes
     ``{old price, day}`` to the end of ``price_history``. New ads are inserted with both times set to ``as_of``.
-    ``as_of`` may name a column of the incoming row as ``new.<column>``.
+    ``as_of`` may name a column of the incoming row as ``new.<column>``. Of incoming rows that repeat a key the smallest
+    counts, so a key is never stored twice.
     """
+    incoming = first_per_key(incoming, KEYS)
     old = stored.select(*KEYS, F.struct(*[c for c in stored.columns if c not in KEYS]).alias("old"))
     new = incoming.select(*KEYS, F.struct(*[c for c in incoming.columns if c not in KEYS]).alias("new"))
     joined = old.join(new, KEYS, "full")
@@ -65,6 +79,76 @@ def upsert_apply(incoming: DataFrame, stored: DataFrame, as_of: Column) -> DataF
     return joined.select(*out)
 
 
+TIMELINE = "array<struct<at:timestamp,price:int>>"
+
+
+def price_steps(timeline: Column) -> Column:
+    """(at, old_price, new_price) wherever the price differs from the sighting before."""
+    rest = F.greatest(F.size(timeline) - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice(timeline, F.lit(1), rest), F.slice(timeline, F.lit(2), rest),
+        lambda a, b: F.struct(b["at"].alias("at"), a["price"].alias("old_price"), b["price"].alias("new_price")),
+    )
+    return F.filter(pairs, lambda p: p["old_price"] != p["new_price"])
+
+
+def with_timeline(stored: DataFrame) -> DataFrame:
+    """Stored listings with the sightings known of each; a table that has none yet starts from its present price."""
+    if "timeline" in stored.columns:
+        return stored
+    first = F.when(F.col("price").isNotNull(), F.array(F.struct(F.col("updated_at").alias("at"), F.col("price").cast("int").alias("price"))))
+    return stored.withColumn("timeline", F.coalesce(first, F.array()).cast(TIMELINE))
+
+
+def merge_sightings(sightings: DataFrame, stored: DataFrame, time: str) -> DataFrame:
+    """New snapshot from any number of sightings per ad: every price change is kept, in the order of time.
+
+    The table remembers the distinct (time, price) sightings of each ad, so the result depends neither on how sightings
+    are cut into batches nor on the order they arrive in, and merging a batch twice changes nothing. Price and
+    ``updated_at`` are those of the latest sighting, ``created_at`` that of the earliest; ``price_history`` is what was
+    stored before tracking began plus one ``{old price, day}`` for each change. Sightings at one time count in the order of
+    their prices; a sighting without a price only moves the times. The other columns come from the ad's first snapshot.
+    """
+    old = with_timeline(stored)
+    seen = F.when(F.col("price").isNotNull(), F.struct(F.col(time).cast("timestamp").alias("at"), F.col("price").cast("int").alias("price")))
+    rest = [c for c in sightings.columns if c not in KEYS and c in stored.columns]
+    newest = F.struct(F.lit(0).alias("__any"), *rest)
+    batch = sightings.groupBy(*KEYS).agg(
+        F.collect_set(seen).alias("fresh"), F.min(time).cast("timestamp").alias("from"), F.max(time).cast("timestamp").alias("to"),
+        F.min_by(newest, F.struct((-F.unix_micros(F.col(time).cast("timestamp"))).alias("t"), F.col("price").alias("p"))).alias("new"),
+    )
+    joined = old.select(*KEYS, F.struct(*[c for c in old.columns if c not in KEYS]).alias("old")).join(batch, KEYS, "full")
+    none = F.array().cast(TIMELINE)
+    timeline = F.array_sort(F.array_union(F.coalesce("old.timeline", none), F.coalesce("fresh", none)))
+    joined = joined.withColumn("line", timeline)
+    last_price = F.try_element_at("line", F.lit(-1))["price"]
+    own = {
+        "price": F.coalesce(last_price, F.col("old.price")),
+        "updated_at": F.greatest("old.updated_at", "to"),
+        "created_at": F.least("old.created_at", "from"),
+        "timeline": F.col("line"),
+    }
+    out = []
+    for field in old.schema.fields:
+        name = field.name
+        if name in KEYS:
+            value = F.col(name)
+        elif name in own:
+            value = own[name]
+        elif name == "price_history":
+            known = F.coalesce("old.price_history", F.array().cast(field.dataType))
+            before = F.slice(known, F.lit(1), F.size(known) - F.size(price_steps(F.coalesce("old.timeline", none))))
+            steps = F.transform(price_steps(F.col("line")), lambda s: F.struct(s["old_price"].alias("price"), s["at"].cast("date").alias("date")))
+            value = F.concat(before, steps.cast(field.dataType))
+            value = F.when(F.size(value) > 0, value).otherwise(F.col("old.price_history"))
+        else:
+            value = F.when(F.col("old").isNotNull(), F.col(f"old.{name}"))
+            if name in rest:
+                value = F.when(F.col("old").isNull(), F.col(f"new.{name}").cast(field.dataType)).otherwise(F.col(f"old.{name}"))
+        out.append(value.cast(field.dataType).alias(name))
+    return joined.select(*out)
+
+
 def upsert_metrics(fetched: DataFrame, classified: DataFrame) -> DataFrame:
     """Per source: rows fetched, newly saved, unchanged (skipped) and re-priced."""
     counts = classified.groupBy("source").agg(

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from kerbside.operators import alerts as alert_ops
-from kerbside.operators.upsert import first_per_key, upsert_apply, upsert_classify
+from kerbside.operators.upsert import merge_sightings, price_steps, with_timeline
 from kerbside.sources.writers import SnapshotTable
 
 
@@ -44,29 +44,14 @@ def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None],
     )
 
 
-def latest_in_batch(batch: DataFrame, time: str) -> DataFrame:
-    """Last sighting per key in the batch; ties by price, then by the whole row."""
-    newest = (-F.unix_micros(time)).alias("t")
-    return first_per_key(batch, ["source", "external_id"], [newest, F.col("price")])
-
-
-def not_late(latest: DataFrame, stored: DataFrame, time: str) -> DataFrame:
-    """Drop sightings older than what is stored, so the table does not depend on the order files arrive in."""
-    known = stored.select("source", "external_id", F.col("updated_at").alias("__known"))
-    joined = latest.join(known, ["source", "external_id"], "left")
-    return joined.filter(F.col("__known").isNull() | (F.col(time) >= F.col("__known"))).drop("__known")
-
-
 def stream_upsert(stream: DataFrame, table: SnapshotTable, checkpoint: str, time: str) -> StreamingQuery:
-    """Merge each micro-batch into the snapshot table, the sighting time taking the place of "now".
+    """Merge all sightings of each micro-batch into the snapshot table, the sighting time taking the place of "now".
 
     Batch n writes version n + 1 from version n, so replays repeat it. Version 0 must exist before the first batch.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        before = table.read(batch_id)
-        latest = not_late(latest_in_batch(batch, time), before, time)
-        table.write(upsert_apply(latest, before, F.col(f"new.{time}")), batch_id + 1)
+        table.write(merge_sightings(batch, table.read(batch_id), time), batch_id + 1)
 
     return for_each_batch(stream, merge, checkpoint)
 
@@ -74,20 +59,34 @@ def stream_upsert(stream: DataFrame, table: SnapshotTable, checkpoint: str, time
 def stream_price_changes(
     stream: DataFrame, table: SnapshotTable, path: str, checkpoint: str, time: str
 ) -> StreamingQuery:
-    """(key, old price, new price) of every re-priced ad, one folder per batch; the table moves along."""
+    """(key, time, old price, new price, count) of every price change, one folder per batch; the table moves along.
+
+    A batch gives the changes that its sightings bring to light with count 1 and, where a late sighting came in between,
+    the change that no longer holds with count -1. ``net_changes`` adds them up: the same for any cut and any order.
+    """
+    keys = ["source", "external_id"]
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         before = table.read(batch_id)
-        latest = not_late(latest_in_batch(batch, time), before, time)
-        changes = upsert_classify(latest, before).filter(F.col("change") == "price_changed")
-        changes.select("source", "external_id", "old_price", F.col("price").alias("new_price")).withColumn(
-            "batch", F.lit(batch_id)
-        ).write.mode("overwrite").parquet(f"{path}/b{batch_id}")
-        table.write(upsert_apply(latest, before, F.col(f"new.{time}")), batch_id + 1)
+        table.write(merge_sightings(batch, before, time), batch_id + 1)
+        touched = batch.select(*keys).distinct()
+        now = table.read(batch_id + 1).join(touched, keys, "left_semi").select(*keys, price_steps(F.col("timeline")).alias("now"))
+        known = with_timeline(before).join(touched, keys, "left_semi").select(*keys, price_steps(F.col("timeline")).alias("known"))
+        known_or_none = F.coalesce("known", F.slice("now", F.lit(1), F.lit(0)))
+        counted = lambda steps, n: F.transform(steps, lambda s: F.struct(s["at"], s["old_price"], s["new_price"], F.lit(n).alias("count")))
+        both = F.concat(counted(F.array_except("now", known_or_none), 1), counted(F.array_except(known_or_none, F.col("now")), -1))
+        changes = now.join(known, keys, "left").select(*keys, F.inline(both)).withColumn("batch", F.lit(batch_id))
+        changes.write.mode("overwrite").parquet(f"{path}/b{batch_id}")
 
     return for_each_batch(stream, emit, checkpoint)
 
 
+def net_changes(changes: DataFrame) -> DataFrame:
+    """The price changes that hold after all batches of ``stream_price_changes``."""
+    kept = changes.groupBy("source", "external_id", "at", "old_price", "new_price").agg(F.sum("count").alias("n"))
+    return kept.filter("n > 0").drop("n")
+
+
 def stream_alerts(
     stream: DataFrame, filters: DataFrame, muted: DataFrame, path: str, checkpoint: str, users: DataFrame | None = None
 ) -> StreamingQuery:
