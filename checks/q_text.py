@@ -301,12 +301,36 @@ def _(spark, sf):
     return D.document_analysis(spark, sf).select("doc_id", R.resolve_category(raw).alias("category"))
 
 
-# ------------------------------------------------------------------ TF-IDF (fitted, so no SQL)
+# ------------------------------------------------------------------ TF-IDF (the decomposition has no SQL)
+STOP_SQL = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
+
+
+@query(
+    "tfidf_terms",
+    None,
+    f"""
+WITH t AS (
+  SELECT list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({STOP_SQL})) AS w FROM documents
+), terms AS (
+  SELECT unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS term FROM t
+)
+SELECT term, round(ln(((SELECT count(*) FROM t) + 1.0) / (count(*) + 1.0)), 6) AS idf FROM terms GROUP BY term
+HAVING count(*) >= 5 AND count(*) <= 0.8 * (SELECT count(*) FROM t)
+""",
+)
+def _(spark, sf):
+    docs = D.documents(spark, sf).withColumn("words", T.tokens(F.col("description")))
+    fitted = TF.DescriptionFeatures(TF.tfidf_pipeline(max_terms=1 << 18).fit(docs), [], [])
+    idf = fitted.model.stages[3].idf.toArray().tolist()
+    rows = list(zip(fitted.model.stages[2].vocabulary, idf, strict=True))
+    return spark.createDataFrame(rows, "term string, idf double").withColumn("idf", F.round("idf", 6))
+
+
 @query("tfidf_svd")
 def _(spark, sf):
     docs = D.documents(spark, sf)
     fitted = TF.fit_description_features(docs, "description", components=20)
-    return fitted.transform(docs, "description").select(
+    return fitted.transform(docs, "description", "doc_id").select(
         "doc_id", *[F.round(F.get("svd", i), 6).alias(f"tfidf_{i}") for i in range(20)]
     )
 

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbside import fixed_values as fixed
-from kerbside.common import settle
 from kerbside.functions.text import keyword_flags, tokens
 
 
@@ -36,83 +35,45 @@ def tfidf_pipeline(max_terms: int = 5000, min_df: int = 5, max_df: float = 0.8)
     )
 
 
-def _entries(weighted: DataFrame) -> DataFrame:
-    """Non-zero entries of each row as (indices, values)."""
-    dense = vector_to_array(F.col("tfidf"))
-    numbered = F.filter(F.transform(dense, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0)
-    return weighted.withColumn("__e", numbered).withColumns({"__i": F.col("__e.i"), "__v": F.col("__e.v")}).drop("__e")
-
-
-def _times_gram(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """(A^T A) basis in one pass: each task sums its own rows, terms meet in a map-side combined aggregate.
-
-    Only terms x components numbers (at most 5000 x 20 or so) reach the driver.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(basis)
-    k = basis.shape[1]
-
-    def partial(batches):
-        m = shared.value
-        total = np.zeros_like(m)
-        for batch in batches:
-            for index, value in zip(batch["__i"], batch["__v"]):
-                if len(index):
-                    i, v = np.asarray(index, dtype=int), np.asarray(value)
-                    total[i] += np.outer(v, v @ m[i])
-        used = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"term": used, **{f"c{c}": total[used, c] for c in range(k)}})
-
-    parts = rows.select("__i", "__v").mapInPandas(partial, "term int, " + ", ".join(f"c{c} double" for c in range(k)))
-    summed = parts.groupBy("term").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(k)]).toPandas()
-    out = np.zeros_like(basis)
-    out[summed["term"].to_numpy(dtype=int)] = summed[[f"c{c}" for c in range(k)]].to_numpy()
-    return out
-
-
 class DescriptionFeatures:
     """Fitted TF-IDF plus the right singular vectors of the training matrix (terms x components, small)."""
 
     def __init__(self, model: PipelineModel, components: np.ndarray, singular_values: np.ndarray):
         self.model, self.components, self.singular_values = model, components, singular_values
 
-    def transform(self, rows: DataFrame, text: str) -> DataFrame:
-        """Add ``svd``: the projection on each component, padded with zeros when the vocabulary is smaller."""
-        weighted = _entries(self.model.transform(rows.withColumn("words", tokens(F.col(text)))))
-        shared = rows.sparkSession.sparkContext.broadcast(self.components)
+    def terms(self, spark: SparkSession) -> DataFrame:
+        """(term, idf, loadings): one row per term of the vocabulary, which ``max_terms`` bounds."""
+        rows = zip(self.model.stages[2].vocabulary, self.model.stages[3].idf.toArray().tolist(), self.components.tolist(), strict=True)
+        return spark.createDataFrame(list(rows), "term string, idf double, loadings array<double>")
 
-        @F.pandas_udf("array<double>")
-        def project(indices: pd.Series, values: pd.Series) -> pd.Series:
-            m = shared.value
-            return pd.Series([np.asarray(v) @ m[np.asarray(i, dtype=int)] for i, v in zip(indices, values)])
+    def transform(self, rows: DataFrame, text: str, key: str) -> DataFrame:
+        """Add ``svd``: the projection on each component, padded with zeros when the vocabulary is smaller.
 
-        return weighted.withColumn("svd", project("__i", "__v")).select(*rows.columns, "svd")
+        ``key`` identifies the rows. Term counts of a row meet their loadings by a join with the bounded vocabulary.
+        """
+        words = rows.select(key, tokens(F.col(text)).alias("words"))
+        pairs = self.model.stages[1].transform(self.model.stages[0].transform(words))
+        counted = pairs.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+        weighted = counted.join(F.broadcast(self.terms(rows.sparkSession)), "term").withColumn("w", F.col("n") * F.col("idf"))
+        wide = range(self.components.shape[1])
+        sums = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.get("loadings", c)).alias(f"c{c}") for c in wide])
+        projected = sums.select(key, F.array(*[F.coalesce(F.try_divide(f"c{c}", "norm"), F.lit(0.0)) for c in wide]).alias("svd"))
+        return rows.join(projected, key, "left").withColumn("svd", F.coalesce("svd", F.array(*[F.lit(0.0) for _ in wide])))
 
 
 def fit_description_features(
-    rows: DataFrame,
-    text: str,
-    components: int = 20,
-    max_terms: int = 5000,
-    min_df: int = 5,
-    max_df: float = 0.8,
-    passes: int = 4,
+    rows: DataFrame, text: str, components: int = 20, max_terms: int = 5000, min_df: int = 5, max_df: float = 0.8
 ) -> DescriptionFeatures:
-    """Fit TF-IDF and a truncated SVD by subspace iteration: a few passes, each one aggregate over the rows."""
+    """Fit TF-IDF and the truncated SVD of its matrix; vectors stay sparse and in the JVM."""
     words = rows.withColumn("words", tokens(F.col(text)))
     model = tfidf_pipeline(max_terms, min_df, max_df).fit(words)
-    matrix = settle(_entries(model.transform(words)).select("__i", "__v"))
+    vectors = MLUtils.convertVectorColumnsFromML(model.transform(words).select("tfidf"), "tfidf").persist()
     terms = len(model.stages[2].vocabulary)
-    width = min(components + 10, terms)
-    basis = np.linalg.qr(np.random.default_rng(42).standard_normal((terms, width)))[0]
-    for _ in range(passes):
-        basis = np.linalg.qr(_times_gram(matrix, basis))[0]
-    projected = basis.T @ _times_gram(matrix, basis)
-    values, vectors = np.linalg.eigh((projected + projected.T) / 2)
-    best = np.argsort(values)[::-1][:components]
-    v = np.zeros((terms, components))
-    v[:, : len(best)] = basis @ vectors[:, best]
-    sizes = np.zeros(components)
-    sizes[: len(best)] = np.sqrt(np.maximum(values[best], 0))
+    found = RowMatrix(vectors).computeSVD(min(components, terms), computeU=False)
+    vectors.unpersist()
+    v, sizes = np.zeros((terms, components)), np.zeros(components)
+    best = len(found.s)
+    v[:, :best], sizes[:best] = found.V.toArray(), found.s.toArray()
     return DescriptionFeatures(model, v, sizes)
 
 
