@@ -43,7 +43,8 @@ MATCHED = f"""(SELECT DISTINCT f.user_id, s.listing_id, s.url, s.brand, s.price,
   AND (coalesce(f.city, '') = '' OR coalesce(s.city, '') = '' OR contains(lower(s.city), lower(f.city)))
   AND (f.min_year IS NULL OR s.year >= f.min_year) AND (f.min_deal_score IS NULL OR s.deal_score >= f.min_deal_score))"""
 MUTED = "(SELECT DISTINCT c_custkey AS user_id, 'brand#' || CAST(c_custkey % 25 AS VARCHAR) AS brand FROM customer WHERE c_custkey % 2 = 0)"
-SENT = "(SELECT c_custkey AS user_id, url FROM customer JOIN scored ON listing_id % 1000 = c_custkey % 1000)"
+# every listing went to one user
+SENT = "(SELECT c_custkey AS user_id, url FROM customer JOIN scored ON listing_id % (SELECT count(*) FROM customer) + 1 = c_custkey)"
 
 
 def new_listings(spark, sf):
@@ -59,8 +60,9 @@ def muted(spark, sf):
 
 
 def sent(spark, sf):
-    c = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 1000).alias("k"))
-    return c.join(D.scored(spark, sf).select("url", (F.col("listing_id") % 1000).alias("k")), "k").select("user_id", "url")
+    customers = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    many = customers.agg(F.count("*")).scalar()
+    return D.scored(spark, sf).select((F.col("listing_id") % many + 1).alias("user_id"), "url").join(customers, "user_id")
 
 
 @query("filter_match_join", "scored", f"SELECT user_id, listing_id, price FROM {MATCHED} m")

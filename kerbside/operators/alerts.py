@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from kerbside.common import blank_to_null
 
-# Price octaves: 1, 2, 4 ... up to the largest int. Each price lies in exactly one.
-OCTAVES = 32
+# Price octaves: 1, 2, 4 ... up to the largest 64-bit number. Each price lies in exactly one.
+OCTAVES = 64
+# Tasks that share the listings of one octave among the filters without brand and model.
+SALTS = 16
 
 
 def price_octave(price: Column) -> Column:
@@ -37,25 +39,32 @@ def matches() -> Column:
 def filter_match_join(listings: DataFrame, filters: DataFrame) -> DataFrame:
     """(user, listing) rows with at least one matching filter.
 
-    An equi-join, not a nested loop: a filter is keyed by its brand (or '*') and by each price octave up to its
-    limit (at most 32 copies); a listing by its brand and by '*', with its own octave. The octave also splits a
-    hot brand over tasks. The rest of the filter is a residual predicate, so the answer is exact.
+    An equi-join, not a nested loop. A filter is keyed by the most selective equality it has (make and model, make, model,
+    none) and by each price octave up to its limit; a listing by the four keys it can meet, with its own octave. Filters
+    with neither make nor model meet the listings of an octave in ``SALTS`` parts, dealt by listing. The rest of the filter
+    is a residual predicate, so the answer is exact.
     """
     top = F.coalesce(price_octave(F.col("f_max_price")), F.lit(OCTAVES - 1))
     named = filters.select([F.col(c).alias(f"f_{c}") if c != "user_id" else F.col(c) for c in filters.columns])
+    brand, model = (F.lower(blank_to_null(F.col(f"f_{c}"))) for c in ("brand", "model"))
+    open_to_all = brand.isNull() & model.isNull()
     keyed = named.withColumns(
         {
-            "k_brand": F.coalesce(F.lower(blank_to_null(F.col("f_brand"))), F.lit("*")),
+            "k_brand": F.coalesce(brand, F.lit("*")),
+            "k_model": F.coalesce(model, F.lit("*")),
             "k_octave": F.explode(F.sequence(F.lit(0), F.greatest(top, F.lit(0)))),
         }
-    )
-    offered = listings.withColumns(
-        {
-            "k_octave": price_octave(F.col("price")),
-            "k_brand": F.explode(F.array(F.lower("brand"), F.lit("*"))),
-        }
-    )
-    pairs = offered.join(keyed, ["k_brand", "k_octave"]).filter(matches())
+    ).withColumn("k_salt", F.explode(F.sequence(F.lit(0), F.when(open_to_all, F.lit(SALTS - 1)).otherwise(0))))
+    key = lambda b, m, salt: F.struct(b.alias("k_brand"), m.alias("k_model"), salt.alias("k_salt"))
+    any_, zero = F.lit("*"), F.lit(0)
+    own, its = F.coalesce(F.lower("brand"), any_), F.coalesce(F.lower("model"), any_)
+    part = F.pmod(F.xxhash64("listing_id"), F.lit(SALTS)).cast("int")
+    # a listing without make or model has fewer keys
+    keys = F.array_distinct(F.array(key(own, its, zero), key(own, any_, zero), key(any_, its, zero)))
+    keys = F.filter(keys, lambda k: (k["k_brand"] != "*") | (k["k_model"] != "*"))
+    offered = listings.withColumn("k", F.explode(F.concat(keys, F.array(key(any_, any_, part)))))
+    offered = offered.withColumn("k_octave", price_octave(F.col("price"))).select("*", "k.*").drop("k")
+    pairs = offered.join(keyed, ["k_brand", "k_model", "k_octave", "k_salt"]).filter(matches())
     return pairs.select("user_id", *listings.columns).dropDuplicates(["user_id", "listing_id"])
 
 
