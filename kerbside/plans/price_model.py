@@ -19,7 +19,7 @@ from kerbside.operators.features import (
     time_decay_weight,
     training_bounds,
 )
-from kerbside.operators.pricing import price_vs_market, stacked_p50, whole_price, with_sample_confidence
+from kerbside.operators.pricing import confidence_of, price_vs_market, stacked_p50, whole_price, with_sample_confidence
 
 CODED = ["source", "engine_type", "transmission", "drive_type", "body_type"]
 NUMERIC = [
@@ -100,6 +100,20 @@ class PriceModel:
         )
 
 
+class UntrainedPriceModel:
+    """Stands for a model that had too few rows to be fitted: every prediction is NULL, nothing has importance."""
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        empty = {"p10": "int", "p50": "int", "p90": "int", "p_first": "double", "p_second": "double", "p_third": "double"}
+        out = rows.withColumns({name: F.lit(None).cast(kind) for name, kind in empty.items()})
+        out = out.withColumn("samples", F.lit(0).cast("bigint"))
+        out = out.withColumn("confidence_level", confidence_of(F.col("samples")))
+        return out.withColumn("price_vs_market_pct", price_vs_market(F.col("price"), F.col("p50")))
+
+    def feature_importance(self, spark) -> DataFrame:
+        return spark.createDataFrame([], "rank int, feature string, importance double")
+
+
 def _pipeline(learner, encoded: bool) -> Pipeline:
     indexers = [
         StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep", stringOrderType="alphabetAsc") for c in CODED
@@ -112,8 +126,8 @@ def _pipeline(learner, encoded: bool) -> Pipeline:
 
 def train_price_model(
     rows: DataFrame, as_of: Column, options: TrainingOptions = TrainingOptions(), stacked: bool = True, bounds: bool = True
-) -> PriceModel | None:
-    """Fit the model; None when there are fewer than 200 usable rows.
+) -> PriceModel | UntrainedPriceModel:
+    """Fit the model; with fewer than 200 usable rows it stays untrained and predicts NULL.
 
     Boosted trees give P50; with ``stacked`` a forest and a second boosting without brand and city encodings join
     the blend. P10 / P90 are P50 shifted by the segment's residual quantiles of ln(price), which the tree learners
@@ -122,7 +136,7 @@ def train_price_model(
     usable = training_bounds(fill_defaults(rows))
     train = settle(usable)
     if train.count() < MIN_TRAINING_ROWS:
-        return None
+        return UntrainedPriceModel()
     encodings = target_encoding(train)
     reference = F.col("listing_date") if "listing_date" in train.columns else F.col("created_at")
     ready = settle(
@@ -160,12 +174,11 @@ def cross_validate(
     parts = []
     for k in range(folds):
         model = train_price_model(usable.filter(F.col("fold") != k), as_of, options, stacked, bounds=False)
-        if model is not None:
-            parts.append(model.predict(usable.filter(F.col("fold") == k)).select("listing_id", "brand", "fold", "price", "p50"))
+        parts.append(model.predict(usable.filter(F.col("fold") == k)).select("listing_id", "brand", "fold", "price", "p50"))
     return union_all(parts)
 
 
-def price_calculator(model: PriceModel, parameters: DataFrame) -> DataFrame:
+def price_calculator(model: PriceModel | UntrainedPriceModel, parameters: DataFrame) -> DataFrame:
     """Price table for hypothetical cars (one row per parameter set)."""
     with_price = parameters if "price" in parameters.columns else parameters.withColumn("price", F.lit(0))
     return model.predict(with_price)
