@@ -22,7 +22,7 @@ def documents(sf):
     return duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
 
 
-@pytest.mark.parametrize("name", ["op1_exact_topk", "op7_mixing", "op9_chat_format"])
+@pytest.mark.parametrize("name", ["op1_exact_topk", "op2_ngram_jaccard", "op4_suffix_dedup", "op7_mixing", "op9_chat_format"])
 def test_query_equals_sql(spark, sf, name):
     assert compare(entry.queries()[name](spark, sf), duck(sf), entry.oracle_sql()[name]) == []
 
