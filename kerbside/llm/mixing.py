@@ -194,6 +194,8 @@ def mix(
     inside = lambda p: F.filter("ranges", lambda r: (number(p) >= r["first"]) & (number(p) < r["first"] + r["quota"]))
     drawn = F.transform(draws, lambda p: F.struct(p.alias("pass"), F.get(inside(p), 0)["shard"].alias("shard")))
     held = held.select(F.col("source").alias("of"), F.col("block").alias("of_block"), "before", "used", "whole", F.col("passes").alias("whole_passes"), drawn.alias("draws"))
+    # the branches below read the draws several times; the tree is worked out once
+    held = stage(held, "mix-draws")
     rows = rows.join(held, same(F.col("source"), F.col("of")) & (F.col("block") == F.col("of_block")), "left").drop("of", "of_block")
 
     # the one block of a source that is used in part: its documents in permuted order, by ranges of the permutation
