@@ -202,3 +202,18 @@ def test_latent_space_is_the_dominant_one(spark):
     assert np.allclose(space.T @ space, np.eye(4), atol=1e-8)
     exact = np.linalg.svd(dense)[2][:4]
     assert np.allclose(np.abs(np.linalg.svd(exact @ space)[1]), 1, atol=1e-6)
+
+
+def test_leaks_of_common_words(spark):
+    """Copies of an item, and near copies around it, make its words common; they are still found."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    item = " ".join(word() for _ in range(20)) + "."
+    rows = [(i, item) for i in range(60)] + [(100 + i, f"{word()} {word()} {item} {word()}") for i in range(30)]
+    rows += [(200 + i, " ".join(word() for _ in range(60))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.marked(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found if [x.item_id for x in r.leaks] == [1]} == {i for i, _ in rows if i < 200}
+    # a copy counts once
+    frequencies, texts = decontaminate.document_frequencies(docs, "text")
+    assert texts == 131 and frequencies.max() < 60
