@@ -217,3 +217,21 @@ def test_leaks_of_common_words(spark):
     # a copy counts once
     frequencies, texts = decontaminate.document_frequencies(docs, "text")
     assert texts == 131 and frequencies.max() < 60
+
+
+@pytest.mark.parametrize("around", [0, 40, 20_000])
+def test_leaks_among_rare_words(around):
+    """How rare the words around an item are does not matter, also where the item has been edited."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n)]
+    item = words(13)
+    (passage,) = decontaminate.passages_of([(1, " ".join(item))])
+    columns = decontaminate.np.unique(decontaminate.column_of(passage.words))
+    weight = decontaminate.np.full(decontaminate.DIMENSIONS, 12.0)
+    weight[columns] = 3.0
+    search = decontaminate.Search([passage], weight, columns, decontaminate.np.eye(len(columns)))
+    edited = [*item[:6], *words(1), *item[7:]]
+    for inner, share in ((item, 1), (edited, 12 / 13)):
+        data = decontaminate.np.frombuffer(" ".join([*words(around), *inner, *words(around)]).encode(), "uint8")
+        found = search.leaks(decontaminate.hashed_words(data, decontaminate.np.array([0, len(data)]))[0])
+        assert [(x["item_id"], x["common"]) for x in found] == [(1, share)]
