@@ -25,11 +25,6 @@ def stream_new_listings(ads: DataFrame, start: Column, time: str = "created_at")
     return ads.filter(F.col(time) > start)
 
 
-def stream_seen_dedup(ads: DataFrame, keys: list[str], time: str, horizon: str = "60 days") -> DataFrame:
-    """Each (id, price) once within the horizon; the watermark bounds the state."""
-    return ads.withWatermark(time, horizon).dropDuplicatesWithinWatermark(keys)
-
-
 def to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append to Parquet, processing what is there and stopping."""
     return (
@@ -44,6 +39,26 @@ def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None],
     )
 
 
+def stream_seen_dedup(stream: DataFrame, keys: list[str], path: str, checkpoint: str, time: str) -> StreamingQuery:
+    """Each (id, price) once for ever, in whatever order the ads arrive; of a batch's repeats the earliest. Nulls are equal.
+
+    The seen table is the union of the earlier batches' folders; a replayed batch rewrites only its own folder.
+    """
+
+    def once(batch: DataFrame, batch_id: int) -> None:
+        row = F.struct(*batch.columns)
+        first = F.min_by(row, F.struct(F.col(time).isNull(), F.col(time)))
+        fresh = batch.groupBy(*keys).agg(first.alias("__first")).select("__first.*")
+        if batch_id:
+            folders = [f"{path}/b{b}" for b in range(batch_id)]
+            seen = batch.sparkSession.read.schema(batch.schema).parquet(*folders).select(*[F.col(k).alias(f"__seen_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"__seen_{k}")) for k in keys]
+            fresh = fresh.join(seen, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/b{batch_id}")
+
+    return for_each_batch(stream, once, checkpoint)
+
+
 def stream_upsert(stream: DataFrame, table: SnapshotTable, checkpoint: str, time: str) -> StreamingQuery:
     """Merge all sightings of each micro-batch into the snapshot table, the sighting time taking the place of "now".
 

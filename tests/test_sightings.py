@@ -77,3 +77,20 @@ def test_first_object_of_any_depth(spark):
     texts = [f"say {deep} and {{x}}", deep[:-1], "no braces", None, "{}", "} {a} {b}"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", first_object(F.col("t")).alias("o")).collect()
     assert [r.o for r in sorted(rows)] == [deep, deep[:-1], None, None, "{}", "{a}"]
+
+
+def test_seen_once_in_any_order_of_arrival(spark, tmp_path):
+    """Late first sightings come through, repeats do not, however far apart in time; nulls are equal."""
+    schema = "listing_id long, price int, seen_at timestamp"
+    arrivals = [
+        [(1, 100, "2024-06-01"), (1, 100, "2024-05-30"), (2, None, "2024-06-01")],
+        [(1, 100, "2024-12-01"), (2, None, "2024-12-02"), (3, 300, "2024-12-01")],
+        [(4, 400, "2023-01-01"), (1, 200, "2023-01-01"), (1, 100, "2023-01-01"), (5, 500, None)],
+    ]
+    for rows in arrivals:
+        batch = spark.createDataFrame(rows, schema.replace("timestamp", "string")).withColumn("seen_at", F.to_timestamp("seen_at"))
+        batch.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.read_ads_stream(spark, f"{tmp_path}/in", batch.schema, 1)
+        jobs.stream_seen_dedup(stream, ["listing_id", "price"], f"{tmp_path}/out", f"{tmp_path}/ckpt", "seen_at").awaitTermination()
+    found = sorted((r.listing_id, r.price or 0, str(r.seen_at)[:10]) for r in jobs.read_batches(spark, f"{tmp_path}/out").collect())
+    assert found == [(1, 100, "2024-05-30"), (1, 200, "2023-01-01"), (2, 0, "2024-06-01"), (3, 300, "2024-12-01"), (4, 400, "2023-01-01"), (5, 500, "None")]
