@@ -18,8 +18,8 @@ from kerbside.llm.lm_scoring import held_out
 
 #: Texts per language that a dictionary is made of (the smallest hashes of the ids), their length in bytes, and its size.
 DICT_TEXTS, DICT_FROM, DICT_TO, DICT_BYTES = 48, 200, 6000, 96 << 10
-#: Languages at most; those with the most training texts are learned.
-MOST_LANGUAGES = 200
+#: Languages whose dictionaries are collected together and prepared at one time.
+LANGUAGE_GROUP = 200
 PIECE, LEVEL = 2048, 3
 #: Texts of at most so many bytes are compressed at the more thorough level: a few bytes decide.
 SHORT, SHORT_LEVEL = 1024, 19
@@ -39,23 +39,27 @@ def plain(text: str) -> bytes:
     return text.lower().encode().translate(_PLAIN)
 
 
-def dictionaries(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mod: int, remainder: int) -> dict[str, bytes]:
-    """Raw content for each language from a bounded number of whole training texts."""
+def dictionaries(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mod: int, remainder: int) -> list[dict[str, bytes]]:
+    """Raw content for every language, by name and ``LANGUAGE_GROUP`` at a time, from a bounded number of whole training texts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), mod, remainder))
     sizes = rows.select("doc_id", "lang", F.octet_length("text").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("fits").desc(), F.xxhash64("doc_id"), "doc_id")
     picked = sizes.withColumn("fits", F.col("n").between(DICT_FROM, DICT_TO)).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= DICT_TEXTS)
-    common = sizes.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    picked = picked.join(F.broadcast(common), "lang", "left_semi").select("doc_id", "lang", "nth")
-    texts = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "nth", "text")
-    out: dict[str, bytes] = {}
-    # at most DICT_TEXTS texts a language, cut to DICT_BYTES each
-    for lang, content in texts.groupBy("lang").agg(
-        F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", F.substring("text", 1, DICT_TO).alias("text")))), lambda x: x["text"]), "\n").cast("binary"), 1, DICT_BYTES)
-    ).orderBy("lang").collect():
-        out[lang] = plain(bytes(content).decode(errors="ignore"))
-    return out
+    names = [r[0] for r in sizes.select("lang").distinct().orderBy("lang").collect()]
+    groups = []
+    for start in range(0, len(names), LANGUAGE_GROUP):
+        own = picked.filter(F.col("lang").between(names[start], names[min(start + LANGUAGE_GROUP, len(names)) - 1])).select("doc_id", "lang", "nth")
+        texts = rows.join(F.broadcast(own), ["doc_id", "lang"]).select("lang", "nth", "text")
+        out: dict[str, bytes] = {}
+        # at most DICT_TEXTS texts a language, cut to DICT_BYTES each
+        for lang, content in texts.groupBy("lang").agg(
+            F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", F.substring("text", 1, DICT_TO).alias("text")))), lambda x: x["text"]), "\n").cast("binary"), 1, DICT_BYTES)
+        ).orderBy("lang").collect():
+            out[lang] = plain(bytes(content).decode(errors="ignore"))
+        if out:
+            groups.append(out)
+    return groups
 
 
 def compressors(content: dict[str, bytes], level: int = LEVEL) -> list[zstandard.ZstdCompressor]:
@@ -79,29 +83,37 @@ def identify(
     one language, 0 for ``und``); ``rejected`` marks narrow margins and ``und``. Rows without an id are not held out;
     repeated rows are each answered; other columns are ignored.
     """
-    content = dictionaries(docs, id_col, text_col, lang_col, mod, remainder)
-    names = list(content)
+    groups = [docs.sparkSession.sparkContext.broadcast(g) for g in dictionaries(docs, id_col, text_col, lang_col, mod, remainder)]
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        thorough, quick = compressors(content, SHORT_LEVEL), compressors(content, LEVEL)
+        prepared = lambda g: (list(g.value), compressors(g.value, SHORT_LEVEL), compressors(g.value, LEVEL))
+        only = [prepared(groups[0])] if len(groups) == 1 else None
         for batch in batches:
-            langs, scores, rejected = [], [], []
-            for text in batch.column(1).to_pylist():
-                if not text or not names or not _LETTER.search(text):
-                    langs.append("und"), scores.append(0.0), rejected.append(True)
-                    continue
-                data = plain(text)
-                tools = thorough if len(data) <= SHORT else quick
-                data = LEAD + data if len(data) <= SHORT else data
-                pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-                sizes = [sum(len(tool.compress(p)) for p in pieces) for tool in tools]
-                best = min(range(len(sizes)), key=sizes.__getitem__)
-                second = min((s for i, s in enumerate(sizes) if i != best), default=None)
-                lead = 1.0 if second is None else (second - sizes[best]) / second
-                langs.append(names[best]), scores.append(lead), rejected.append(lead < margin)
+            texts = batch.column(1)
+            # smallest size and its language, second smallest size
+            state: list[tuple] = [(None, "und", None)] * len(texts)
+            for names, thorough, quick in only or map(prepared, groups):
+                for row, value in enumerate(texts):
+                    text = value.as_py()
+                    if not text or not _LETTER.search(text):
+                        continue
+                    data = plain(text)
+                    tools = thorough if len(data) <= SHORT else quick
+                    data = LEAD + data if len(data) <= SHORT else data
+                    pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+                    best, lang, second = state[row]
+                    for name, tool in zip(names, tools, strict=True):
+                        size = sum(len(tool.compress(p)) for p in pieces)
+                        if best is None or size < best:
+                            best, lang, second = size, name, best
+                        elif second is None or size < second:
+                            second = size
+                    state[row] = (best, lang, second)
+            scores = [0.0 if best is None else 1.0 if second is None else (second - best) / second for best, _, second in state]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang", "score", "rejected"]
+                [batch.column(0), pa.array([x[1] for x in state], pa.string()), pa.array(scores, pa.float64()), pa.array([x[0] is None or y < margin for x, y in zip(state, scores, strict=True)], pa.bool_())],
+                names=["doc_id", "lang", "score", "rejected"],
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

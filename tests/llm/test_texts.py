@@ -235,3 +235,16 @@ def test_leaks_among_rare_words(around):
         data = decontaminate.np.frombuffer(" ".join([*words(around), *inner, *words(around)]).encode(), "uint8")
         found = search.leaks(decontaminate.hashed_words(data, decontaminate.np.array([0, len(data)]))[0])
         assert [(x["item_id"], x["common"]) for x in found] == [(1, share)]
+
+
+def test_every_language_is_learned(spark):
+    """More languages than one group of dictionaries holds, each with words of its own."""
+    rows = []
+    for n in range(203):
+        rng = random.Random(n)
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)]
+        rows += [(n * 4 + i, " ".join(rng.choices(words, k=60)), f"l{n:03d}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.held_out, r.lang) for r in language_id.identify(docs).collect()}
+    trained = {lang for d, _, lang in rows if not got[d][0]}
+    assert len(trained) > 200 and all(got[d][1] == lang for d, _, lang in rows if lang in trained)
