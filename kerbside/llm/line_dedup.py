@@ -90,7 +90,7 @@ def lines_dropped(
     if set(keep) & {"doc_id", "n_lines", "n_dropped", "kept"}:
         raise ValueError("carry names a column of the result")
     text = F.col(text_col).cast("string")
-    named = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__text"), *keep)
+    named = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__text"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)])
     rows = named.select("__id", "__hash", "__text")
     shared = stage(shared_lines(rows, least_documents, least_chars), "shared-lines")
     number = shared.count()
@@ -118,7 +118,7 @@ def lines_dropped(
         everywhere = cache[0]
         for batch in batches:
             texts, more = whole_texts(batch.column("__text")), batch.column("__more")
-            carried = [batch.column(c) for c in keep]
+            carried = [batch.column(f"__c{i}") for i in range(len(keep))]
             first, size, n_lines, n_dropped, kept = 0, 0, [], [], []
             for i, text in enumerate(texts):
                 gone = everywhere
