@@ -8,14 +8,22 @@ the lengths of the tokens' decoded bytes. (The installed sentencepiece has repla
 holds the same spans, in bytes.) Offsets where both tokenizers end a token cut the tokens into groups; the two tokens that
 end there are linked.
 
-Each text is encoded once: ids and group sizes go to a stage table. Pairs of ids are counted over it, combined per batch
+Texts are encoded in segments: a cut in front of a space between two characters that are no white space is one that both
+tokenizers make, whatever stands around it (A's pattern takes that space to what follows, and no piece of B has one inside
+or at its end; both are looked up in the files, and without them a text is one segment). So a segment's tokens and groups
+are those it has in any text, a worker keeps those of the last ``MOST_SEGMENTS`` distinct ones, and a text is their
+concatenation.
+
+Each text is aligned once: ids and ends of groups go to a stage table. Pairs of ids are counted over it, combined per batch
 before the shuffle. The counts return as a broadcast of the ``most_pairs`` most frequent pairs (16 bytes each, so its size
 is bounded) and, for the others, if there are any, by a join on the pair.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -31,11 +39,16 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 #: Most pairs of ids whose counts are broadcast (32 MB).
 MOST_PAIRS = 1 << 21
-#: Bytes of text that are encoded at once; a longer text is encoded alone.
+#: Bytes of text that are put together at once; a longer text is taken alone.
 PORTION = 1 << 19
-
-_ALIGNED = "row long, doc_id long, a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>"
-_LIST = pa.list_(pa.int32())
+#: Characters of new segments that are encoded at once.
+ENCODED = 1 << 18
+#: Distinct segments whose alignments a worker keeps, about 50 MB.
+MOST_SEGMENTS = 200_000
+#: Before a space between two characters that are no white space by any definition, nor the mark that stands for it.
+_CUT = re.compile("(?<=[^\\s\u2581\u180e\u200b\ufeff])(?= [^\\s\u2581\u180e\u200b\ufeff])")
+
+_ALIGNED = "row long, doc_id long, a binary, b binary, a_last binary, b_last binary"
 _COUNTS = "pair long, n long"
 _LINKS = "row long, pair long, n long"
 _RESULT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -70,6 +83,12 @@ class Codec:
         for i in range(self.b.vocab_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        before = json.loads(a_file).get("pre_tokenizer") or {}
+        a_cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True)
+        b_cuts = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.vocab_size()))
+        self.cuts = bool(a_cuts and b_cuts)
+        self.known: dict[str, int] = {}
+        self.store = [Ragged() for _ in range(4)]
         self.a_lengths = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_lengths = np.array([len(x) for x in self.b_bytes], np.int64)
 
@@ -101,6 +120,27 @@ class Codec:
         return (a_ids, spans[:, 0], spans[:, 1], a_first), (table[:, 0], table[:, 1], table[:, 2], b_first)
 
 
+class Ragged:
+    """Lists of small numbers, one after the other in one growing array."""
+
+    def __init__(self):
+        self.data, self.first = np.empty(1 << 16, np.int32), [0]
+
+    def extend(self, values: np.ndarray, first: np.ndarray) -> None:
+        size = self.first[-1]
+        while size + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        self.data[size : size + len(values)] = values
+        self.first.extend((first[1:] + size).tolist())
+
+    def taken(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen lists one after the other, and where each begins."""
+        first = np.array(self.first, np.int64)
+        begin, size = first[which], first[which + 1] - first[which]
+        at = np.concatenate([[0], np.cumsum(size)])
+        return self.data[np.repeat(begin - at[:-1], size) + np.arange(at[-1])], at
+
+
 def codec(a_file, b_file) -> Codec:
     """The codec of two broadcast files, once per worker."""
     name = hash((a_file.value, b_file.value))
@@ -166,14 +206,51 @@ def aligned_texts(c: Codec, texts: list[str]) -> list[np.ndarray]:
     return [(a, a_first), (b, b_first), (sizes[0], groups), (sizes[1], groups)]
 
 
-def aligned(docs: DataFrame, id_col: str, text_col: str, a_path: str, b_path: str) -> DataFrame:
-    """(row, doc_id, a, b, a_sizes, b_sizes): both encodings and the number of A and B tokens in each group."""
-    context = docs.sparkSession.sparkContext
-    files = []
-    for path in (a_path, b_path):
-        with open(path, "rb") as file:
-            files.append(context.broadcast(file.read()))
-    a_file, b_file = files
+def concatenated(c: Codec, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What ``aligned_texts`` gives for whole texts, put together from their segments."""
+    split = [(_CUT.split(" " + t) if c.cuts else [" " + t]) if t else [] for t in texts]
+    fresh = {s for parts in split for s in parts if s not in c.known}
+    if len(c.known) + len(fresh) > MOST_SEGMENTS:
+        c.known, c.store, fresh = {}, [Ragged() for _ in range(4)], {s for parts in split for s in parts}
+    waiting, size = [], 0
+    for i, segment in enumerate(sorted(fresh)):
+        waiting.append(segment)
+        size += len(segment)
+        if size > ENCODED or i + 1 == len(fresh):
+            for ragged, (values, first) in zip(c.store, aligned_texts(c, [s[1:] for s in waiting]), strict=True):
+                ragged.extend(values, first)
+            for s in waiting:
+                c.known[s] = len(c.known)
+            waiting, size = [], 0
+    which = np.fromiter((c.known[s] for parts in split for s in parts), np.int64)
+    of_text = np.concatenate([[0], np.cumsum([len(parts) for parts in split])])
+    a_first = np.array(c.store[0].first, np.int64)
+    # a segment without tokens is one that a tokenizer does not give back, and then its text has none
+    broken = np.concatenate([[0], np.cumsum(a_first[which + 1] == a_first[which])])
+    whole = broken[of_text[1:]] == broken[of_text[:-1]]
+    which = which[np.repeat(whole, np.diff(of_text))]
+    of_text = np.concatenate([[0], np.cumsum(np.where(whole, np.diff(of_text), 0))])
+    out = []
+    for ragged in c.store:
+        values, at = ragged.taken(which)
+        out.append((values, at[of_text]))
+    return out
+
+
+def narrow(ids: int) -> type:
+    """Type in which ids below a number are kept."""
+    return np.uint16 if ids <= 1 << 16 else np.uint32
+
+
+def aligned(docs: DataFrame, id_col: str, text_col: str, a_file, b_file) -> DataFrame:
+    """(row, doc_id, a, b, a_last, b_last): ids of both encodings, and a bit per token that ends a group."""
+
+    def packed(ids, first, sizes, groups, kind) -> tuple[list[bytes], list[bytes]]:
+        last = np.zeros(len(ids), np.uint8)
+        last[np.cumsum(sizes) - 1] = 1
+        ids = ids.astype(kind)
+        parts = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+        return [ids[x:y].tobytes() for x, y in parts], [np.packbits(last[x:y]).tobytes() for x, y in parts]
 
     def encode(batches):
         c = codec(a_file, b_file)
@@ -181,41 +258,48 @@ def aligned(docs: DataFrame, id_col: str, text_col: str, a_path: str, b_path: st
             data, starts = A.text_bytes(batch.column(2))
             for first, last in A.portions(starts, PORTION):
                 texts = [bytes(data[x:y]).decode("utf-8", "replace") for x, y in zip(starts[first:last], starts[first + 1 : last + 1], strict=True)]
-                lists = []
-                for values, at in aligned_texts(c, texts):
-                    lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32())))
-                part = slice(first, last)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], *lists], names=["row", "doc_id", "a", "b", "a_sizes", "b_sizes"])
+                a, b, a_sizes, b_sizes = concatenated(c, texts)
+                a, a_last = packed(*a, *a_sizes, narrow(len(c.a_bytes)))
+                b, b_last = packed(*b, *b_sizes, narrow(len(c.b_bytes)))
+                columns = [batch.column(0)[first:last], batch.column(1)[first:last], *(pa.array(x, pa.binary()) for x in (a, b, a_last, b_last))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "a", "b", "a_last", "b_last"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(encode, _ALIGNED)
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column one after the other, and where each list begins."""
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return values, np.concatenate([[0], np.cumsum(lengths)])
+def unpacked(batch: pa.RecordBatch, side: str, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all rows of a batch one after the other, where each row begins, and which tokens end a group."""
+    rows = batch.column(side).to_pylist()
+    ids = np.frombuffer(b"".join(rows), kind).astype(np.int64)
+    counts = [len(x) // np.dtype(kind).itemsize for x in rows]
+    bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(batch.column(f"{side}_last").to_pylist(), counts, strict=True)]
+    return ids, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), np.concatenate([np.empty(0, np.uint8), *bits]).astype(bool)
+
 
+def slices(batches, rows: int = 1024):
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
-def linked_pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+
+def linked_pairs(batch: pa.RecordBatch, a_kind: type, b_kind: type) -> tuple[np.ndarray, np.ndarray]:
     """The two last ids of every group as one number, and where each row's groups begin."""
-    a, b = flat(batch.column("a"))[0], flat(batch.column("b"))[0]
-    a_sizes, groups = flat(batch.column("a_sizes"))
-    b_sizes = flat(batch.column("b_sizes"))[0]
-    last_a, last_b = a[np.cumsum(a_sizes) - 1].astype(np.int64), b[np.cumsum(b_sizes) - 1].astype(np.int64)
-    return (last_a << 32) | last_b, groups
+    a, first, a_last = unpacked(batch, "a", a_kind)
+    b, _, b_last = unpacked(batch, "b", b_kind)
+    groups = np.concatenate([[0], np.cumsum(a_last)])[first]
+    return (a[a_last] << 32) | b[b_last], groups
 
 
-def pair_counts(found: DataFrame) -> DataFrame:
+def pair_counts(found: DataFrame, a_kind: type, b_kind: type) -> DataFrame:
     """(pair, n, best): links of every pair of ids, and whether no pair of its B id has more."""
 
     def count(batches):
-        for batch in batches:
-            pairs, n = np.unique(linked_pairs(batch)[0], return_counts=True)
+        for batch in slices(batches, 8192):
+            pairs, n = np.unique(linked_pairs(batch, a_kind, b_kind)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
 
-    counted = found.select("a", "b", "a_sizes", "b_sizes").mapInArrow(count, _COUNTS).groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = found.select("a", "b", "a_last", "b_last").mapInArrow(count, _COUNTS).groupBy("pair").agg(F.sum("n").alias("n"))
     counted = counted.withColumn("b_id", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
     highest = counted.groupBy("b_id").agg(F.max("n").alias("highest"))
     return counted.join(highest, "b_id").select("pair", "n", (F.col("n") == F.col("highest")).alias("best"))
@@ -224,7 +308,8 @@ def pair_counts(found: DataFrame) -> DataFrame:
 def align(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str = BYTE_LEVEL, b_path: str = PIECES, most_pairs: int = MOST_PAIRS
 ) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row.
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row. Group ends are the links: the token
+    of A and the one of B that end there.
 
     ``groups`` is ``a1,a2|b1;a3|b2,b3``: the ids of each group. ``n_best`` counts the links whose pair no other pair of the
     same B id exceeds in the whole table, ``count_sum`` adds up the links' counts. A text that is null, empty, not valid
@@ -233,16 +318,18 @@ def align(
     rows of their own. An empty table gives an empty table; other columns, whatever their names, play no part. Memory
     grows with the longest single text, which the tokenizers take whole.
     """
-    found = stage(aligned(docs, id_col, text_col, a_path, b_path), "aligned")
-    counts = stage(pair_counts(found), "pair-counts")
+    context = docs.sparkSession.sparkContext
+    with open(a_path, "rb") as a, open(b_path, "rb") as b:
+        a_file, b_file = context.broadcast(a.read()), context.broadcast(b.read())
+    both = Codec(a_file.value, b_file.value)
+    a_kind, b_kind, b_base = narrow(len(both.a_bytes)), narrow(len(both.b_bytes)), 2 * len(both.a_bytes)
+    found = stage(aligned(docs, id_col, text_col, a_file, b_file), "aligned")
+    counts = stage(pair_counts(found, a_kind, b_kind), "pair-counts")
     number = counts.count()
     heaviest = counts if number <= most_pairs else stage(counts.orderBy(F.desc("n"), "pair").limit(most_pairs), "heaviest-pairs")
     table = heaviest.select("pair", "n", "best").toArrow().sort_by("pair")
     known = np.stack([table["pair"].to_numpy(), table["n"].to_numpy() * 2 + table["best"].to_numpy(zero_copy_only=False)]).astype(np.int64)
-    context = docs.sparkSession.sparkContext
     sent = context.broadcast(known.tobytes())
-    with open(a_path, "rb") as a, open(b_path, "rb") as b:
-        a_file, b_file = context.broadcast(a.read()), context.broadcast(b.read())
 
     def tables():
         return np.frombuffer(sent.value, np.int64).reshape(2, -1)
@@ -257,8 +344,8 @@ def align(
 
         def others(batches):
             keys, values = tables()
-            for batch in batches:
-                pairs, groups = linked_pairs(batch)
+            for batch in slices(batches):
+                pairs, groups = linked_pairs(batch, a_kind, b_kind)
                 rows = np.repeat(batch.column("row").to_numpy(), np.diff(groups))
                 rare = ~looked_up(pairs, keys, values)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[rare]), pa.array(pairs[rare]), pa.array(np.ones(rare.sum(), np.int64))], names=["row", "pair", "n"])
@@ -268,43 +355,36 @@ def align(
         extra = hits.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("x_best"), F.sum(F.col("n") * F.col("times")).alias("x_sum"))
         found = found.join(extra, "row", "left")
         more_best, more_sum = F.coalesce("x_best", F.lit(0).cast("long")), F.coalesce("x_sum", F.lit(0).cast("long"))
-    found = found.select("doc_id", "a", "b", "a_sizes", "b_sizes", more_best.alias("more_best"), more_sum.alias("more_sum"))
+    found = found.select("doc_id", "a", "b", "a_last", "b_last", more_best.alias("more_best"), more_sum.alias("more_sum"))
 
     def finish(batches):
         keys, values = tables()
         strings = codec(a_file, b_file).strings()
-        b_base = 2 * len(codec(a_file, b_file).a_bytes)
-
-        for big in batches:
-            for start in range(0, big.num_rows, 512):
-                batch = big.slice(start, 512)
-                a, a_first = flat(batch.column("a"))
-                b, b_first = flat(batch.column("b"))
-                a_sizes, groups = flat(batch.column("a_sizes"))
-                b_sizes, _ = flat(batch.column("b_sizes"))
-                # place of every token when each group's A tokens are followed by its B tokens
-                a_to, b_to = np.cumsum(a_sizes), np.cumsum(b_sizes)
-                a_place = np.arange(len(a)) + np.repeat(b_to - b_sizes, a_sizes)
-                b_place = np.arange(len(b)) + np.repeat(a_to, b_sizes)
-                codes = np.empty(len(a) + len(b), np.int64)
-                codes[a_place], codes[b_place] = 2 * a.astype(np.int64), b_base + 2 * b.astype(np.int64)
-                codes[a_place[a_to - 1]] += 1
-                codes[b_place[b_to - 1]] += 1
-                pieces, cuts = strings[codes], a_first + b_first
-                texts = ["".join(pieces[x:y].tolist())[:-1] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                pairs, _ = linked_pairs(batch)
-                hit, value = looked_up(pairs, keys, values)
-                value = np.where(hit, value, 0)
-                best = np.concatenate([[0], np.cumsum(value & 1)])
-                total = np.concatenate([[0], np.cumsum(value >> 1)])
-                n_groups = np.diff(groups)
-                longs = [
-                    np.diff(a_first), np.diff(b_first), n_groups, n_groups,
-                    best[groups[1:]] - best[groups[:-1]] + batch.column("more_best").to_numpy(),
-                    total[groups[1:]] - total[groups[:-1]] + batch.column("more_sum").to_numpy(),
-                ]
-                columns = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in longs], pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_RESULT, "groups"])
+        for batch in slices(batches):
+            a, a_first, a_last = unpacked(batch, "a", a_kind)
+            b, b_first, b_last = unpacked(batch, "b", b_kind)
+            # place of every token when each group's A tokens are followed by its B tokens
+            a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+            a_to, b_to = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
+            a_place = np.arange(len(a)) + np.concatenate([[0], b_to])[a_group]
+            b_place = np.arange(len(b)) + a_to[b_group]
+            codes = np.empty(len(a) + len(b), np.int64)
+            codes[a_place], codes[b_place] = 2 * a + a_last, b_base + 2 * b + b_last
+            pieces, cuts = strings[codes], a_first + b_first
+            texts = ["".join(pieces[x:y].tolist())[:-1] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            pairs, groups = linked_pairs(batch, a_kind, b_kind)
+            hit, value = looked_up(pairs, keys, values)
+            value = np.where(hit, value, 0)
+            best = np.concatenate([[0], np.cumsum(value & 1)])
+            total = np.concatenate([[0], np.cumsum(value >> 1)])
+            n_groups = np.diff(groups)
+            longs = [
+                np.diff(a_first), np.diff(b_first), n_groups, n_groups,
+                best[groups[1:]] - best[groups[:-1]] + batch.column("more_best").to_numpy(),
+                total[groups[1:]] - total[groups[:-1]] + batch.column("more_sum").to_numpy(),
+            ]
+            columns = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in longs], pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_RESULT, "groups"])
 
     schema = StructType().add("doc_id", LongType())
     for name in _RESULT:
