@@ -41,12 +41,15 @@ BYTE_LEVEL, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe
 MOST_PAIRS = 1 << 21
 #: Bytes of text that are put together at once; a longer text is taken alone.
 PORTION = 1 << 19
-#: Characters of new segments that are encoded at once.
-ENCODED = 1 << 18
+#: Characters of new segments that are encoded as one text.
+ENCODED = 1 << 16
 #: Distinct segments whose alignments a worker keeps, about 50 MB.
-MOST_SEGMENTS = 200_000
+MOST_SEGMENTS = 300_000
 #: Before a space between two characters that are no white space by any definition, nor the mark that stands for it.
-_CUT = re.compile("(?<=[^\\s\u2581\u180e\u200b\ufeff])(?= [^\\s\u2581\u180e\u200b\ufeff])")
+_SOLID = "[^\\s\u2581\u180e\u200b\ufeff]"
+_CUT = re.compile(f"(?<={_SOLID})(?= {_SOLID})")
+#: A segment that may stand next to any other one of this kind.
+_LOOSE = re.compile(f" {_SOLID}(?:.*{_SOLID})?", re.DOTALL)
 
 _ALIGNED = "row long, doc_id long, a binary, b binary, a_last binary, b_last binary"
 _COUNTS = "pair long, n long"
@@ -92,14 +95,6 @@ class Codec:
         self.a_lengths = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_lengths = np.array([len(x) for x in self.b_bytes], np.int64)
 
-    def strings(self) -> np.ndarray:
-        """Decimal ids with what follows them: A inside and at the end of a group, then B likewise."""
-        if not hasattr(self, "_strings"):
-            a, b = range(len(self.a_bytes)), range(len(self.b_bytes))
-            all_of = [x for i in a for x in (f"{i},", f"{i}|")] + [x for i in b for x in (f"{i},", f"{i};")]
-            self._strings = np.array(all_of, object)
-        return self._strings
-
     def encode(self, texts: list[str]) -> tuple[tuple, tuple]:
         """(ids, begins, ends, first token of each text) of A in bytes of space+text, and the same of B."""
         found = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
@@ -124,19 +119,22 @@ class Ragged:
     """Lists of small numbers, one after the other in one growing array."""
 
     def __init__(self):
-        self.data, self.first = np.empty(1 << 16, np.int32), [0]
+        self.data, self.first, self.lists = np.empty(1 << 16, np.int32), np.zeros(1 << 12, np.int32), 0
 
     def extend(self, values: np.ndarray, first: np.ndarray) -> None:
-        size = self.first[-1]
+        size, more = int(self.first[self.lists]), len(first) - 1
         while size + len(values) > len(self.data):
             self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        while self.lists + more + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.empty_like(self.first)])
         self.data[size : size + len(values)] = values
-        self.first.extend((first[1:] + size).tolist())
+        self.first[self.lists + 1 : self.lists + 1 + more] = first[1:] + size
+        self.lists += more
 
     def taken(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The chosen lists one after the other, and where each begins."""
-        first = np.array(self.first, np.int64)
-        begin, size = first[which], first[which + 1] - first[which]
+        begin, end = self.first[which].astype(np.int64), self.first[which + 1].astype(np.int64)
+        size = end - begin
         at = np.concatenate([[0], np.cumsum(size)])
         return self.data[np.repeat(begin - at[:-1], size) + np.arange(at[-1])], at
 
@@ -150,6 +148,12 @@ def codec(a_file, b_file) -> Codec:
     return _loaded[name]
 
 
+def id_strings(a_ids: int, b_ids: int) -> np.ndarray:
+    """Decimal ids with what follows them: A inside and at the end of a group, then B likewise."""
+    all_of = [x for i in range(a_ids) for x in (f"{i},", f"{i}|")] + [x for i in range(b_ids) for x in (f"{i},", f"{i};")]
+    return np.array(all_of, object)
+
+
 def refined_ends(begins: np.ndarray, ends: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Ends of tokens in the bytes of their texts.
 
@@ -176,7 +180,10 @@ def refined_ends(begins: np.ndarray, ends: np.ndarray, first: np.ndarray, length
 
 
 def aligned_texts(c: Codec, texts: list[str]) -> list[np.ndarray]:
-    """a ids, b ids, sizes of groups in A and in B, each as (values, first of each text); nothing where bytes differ."""
+    """a ids, b ids, sizes of groups in A and in B, and their ends in bytes of space+text.
+
+    Each as (values, first of each text); nothing where bytes differ.
+    """
     (a, a_begin, a_end, a_first), (b, b_begin, b_end, b_first) = c.encode(texts)
     whole = np.zeros(len(texts), bool)
     for i, text in enumerate(texts):
@@ -203,28 +210,45 @@ def aligned_texts(c: Codec, texts: list[str]) -> list[np.ndarray]:
     b_cut = np.flatnonzero(np.isin(b_ends, a_ends, assume_unique=True))
     sizes = [np.diff(np.concatenate([[-1], cut])) for cut in (a_cut, b_cut)]
     groups = np.searchsorted(a_cut, a_first)
-    return [(a, a_first), (b, b_first), (sizes[0], groups), (sizes[1], groups)]
+    ends = a_ends[a_cut] - np.repeat(base, np.diff(groups))
+    return [(a, a_first), (b, b_first), (sizes[0], groups), (sizes[1], groups), (ends, groups)]
+
+
+def aligned_segments(c: Codec, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The first four parts of ``aligned_texts`` for loose segments, which are encoded as one text and cut apart again."""
+    _, _, _, _, (ends, _) = whole = aligned_texts(c, ["".join(segments)[1:]])
+    borders = np.cumsum([len(s.encode()) for s in segments])
+    last = np.searchsorted(ends, borders)
+    if not len(ends) or last[-1] >= len(ends) or (ends[last] != borders).any():
+        # one of them is not given back, or sticks to its neighbour: each by itself
+        return aligned_texts(c, [s[1:] for s in segments])[:4]
+    groups = np.concatenate([[0], last + 1])
+    tokens = [np.concatenate([[0], np.cumsum(sizes)])[groups] for sizes, _ in whole[2:4]]
+    return [(whole[0][0], tokens[0]), (whole[1][0], tokens[1]), (whole[2][0], groups), (whole[3][0], groups)]
 
 
 def concatenated(c: Codec, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """What ``aligned_texts`` gives for whole texts, put together from their segments."""
     split = [(_CUT.split(" " + t) if c.cuts else [" " + t]) if t else [] for t in texts]
-    fresh = {s for parts in split for s in parts if s not in c.known}
+    fresh = set(chain.from_iterable(split)).difference(c.known)
     if len(c.known) + len(fresh) > MOST_SEGMENTS:
-        c.known, c.store, fresh = {}, [Ragged() for _ in range(4)], {s for parts in split for s in parts}
-    waiting, size = [], 0
-    for i, segment in enumerate(sorted(fresh)):
-        waiting.append(segment)
-        size += len(segment)
-        if size > ENCODED or i + 1 == len(fresh):
-            for ragged, (values, first) in zip(c.store, aligned_texts(c, [s[1:] for s in waiting]), strict=True):
-                ragged.extend(values, first)
-            for s in waiting:
-                c.known[s] = len(c.known)
-            waiting, size = [], 0
-    which = np.fromiter((c.known[s] for parts in split for s in parts), np.int64)
+        c.known, c.store, fresh = {}, [Ragged() for _ in range(4)], set(chain.from_iterable(split))
+    fresh = sorted(fresh)
+    loose = [_LOOSE.fullmatch(s) is not None for s in fresh]
+    for kind, encode in ((True, aligned_segments), (False, lambda c, some: aligned_texts(c, [s[1:] for s in some])[:4])):
+        waiting, size = [], 0
+        chosen = [s for s, is_loose in zip(fresh, loose, strict=True) if is_loose == kind]
+        for i, segment in enumerate(chosen):
+            waiting.append(segment)
+            size += len(segment)
+            if size > ENCODED or i + 1 == len(chosen):
+                for ragged, (values, first) in zip(c.store, encode(c, waiting), strict=True):
+                    ragged.extend(values, first)
+                c.known.update(zip(waiting, range(len(c.known), len(c.known) + len(waiting)), strict=True))
+                waiting, size = [], 0
+    which = np.fromiter(map(c.known.__getitem__, chain.from_iterable(split)), np.int64)
     of_text = np.concatenate([[0], np.cumsum([len(parts) for parts in split])])
-    a_first = np.array(c.store[0].first, np.int64)
+    a_first = c.store[0].first
     # a segment without tokens is one that a tokenizer does not give back, and then its text has none
     broken = np.concatenate([[0], np.cumsum(a_first[which + 1] == a_first[which])])
     whole = broken[of_text[1:]] == broken[of_text[:-1]]
@@ -322,7 +346,9 @@ def align(
     with open(a_path, "rb") as a, open(b_path, "rb") as b:
         a_file, b_file = context.broadcast(a.read()), context.broadcast(b.read())
     both = Codec(a_file.value, b_file.value)
-    a_kind, b_kind, b_base = narrow(len(both.a_bytes)), narrow(len(both.b_bytes)), 2 * len(both.a_bytes)
+    b_base, b_ids = 2 * len(both.a_bytes), len(both.b_bytes)
+    a_kind, b_kind = narrow(b_base // 2), narrow(b_ids)
+    del both
     found = stage(aligned(docs, id_col, text_col, a_file, b_file), "aligned")
     counts = stage(pair_counts(found, a_kind, b_kind), "pair-counts")
     number = counts.count()
@@ -359,7 +385,8 @@ def align(
 
     def finish(batches):
         keys, values = tables()
-        strings = codec(a_file, b_file).strings()
+        _loaded.clear()  # a worker that has encoded before needs its tokenizers no longer
+        strings = id_strings(b_base // 2, b_ids)
         for batch in slices(batches):
             a, a_first, a_last = unpacked(batch, "a", a_kind)
             b, b_first, b_last = unpacked(batch, "b", b_kind)
