@@ -21,9 +21,12 @@ is bounded) and, for the others, if there are any, by a join on the pair.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
+from contextlib import suppress
 from itertools import chain
 
 import numpy as np
@@ -44,7 +47,7 @@ PORTION = 1 << 19
 #: Characters of new segments that are encoded as one text.
 ENCODED = 1 << 16
 #: Distinct segments whose alignments a worker keeps, about 50 MB.
-MOST_SEGMENTS = 300_000
+MOST_SEGMENTS = 200_000
 #: Before a space between two characters that are no white space by any definition, nor the mark that stands for it.
 _SOLID = "[^\\s\u2581\u180e\u200b\ufeff]"
 _CUT = re.compile(f"(?<={_SOLID})(?= {_SOLID})")
@@ -301,7 +304,16 @@ def unpacked(batch: pa.RecordBatch, side: str, kind: type) -> tuple[np.ndarray,
     return ids, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), np.concatenate([np.empty(0, np.uint8), *bits]).astype(bool)
 
 
-def slices(batches, rows: int = 1024):
+def released() -> None:
+    """Give free memory back to the system: a reused worker would keep what an earlier pass has needed."""
+    _loaded.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches, rows: int = 128):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
@@ -319,7 +331,8 @@ def pair_counts(found: DataFrame, a_kind: type, b_kind: type) -> DataFrame:
     """(pair, n, best): links of every pair of ids, and whether no pair of its B id has more."""
 
     def count(batches):
-        for batch in slices(batches, 8192):
+        released()
+        for batch in slices(batches, 2048):
             pairs, n = np.unique(linked_pairs(batch, a_kind, b_kind)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
 
@@ -385,7 +398,7 @@ def align(
 
     def finish(batches):
         keys, values = tables()
-        _loaded.clear()  # a worker that has encoded before needs its tokenizers no longer
+        released()
         strings = id_strings(b_base // 2, b_ids)
         for batch in slices(batches):
             a, a_first, a_last = unpacked(batch, "a", a_kind)
