@@ -46,8 +46,8 @@ MOST_PAIRS = 1 << 21
 PORTION = 1 << 19
 #: Characters of new segments that are encoded as one text.
 ENCODED = 1 << 16
-#: Distinct segments whose alignments a worker keeps, about 50 MB.
-MOST_SEGMENTS = 200_000
+#: Distinct segments whose alignments a worker keeps, about 100 MB.
+MOST_SEGMENTS = 500_000
 #: Before a space between two characters that are no white space by any definition, nor the mark that stands for it.
 _SOLID = "[^\\s\u2581\u180e\u200b\ufeff]"
 _CUT = re.compile(f"(?<={_SOLID})(?= {_SOLID})")
