@@ -304,8 +304,8 @@ def _(spark, sf):
 
     path = f"{shared_folder(spark)}/by_link/{uuid.uuid4().hex}"
     pages = D.table(spark, sf, "pages").select("page_id", "url")
-    W.export_partitioned_by_link(pages.repartition(W.link_key(F.col("url"))), path, link="url")
-    return spark.read.parquet(path).groupBy(F.col("link_key").cast("string").alias("link_key")).agg(F.count("*").alias("n"))
+    W.export_partitioned_by_link(pages, path, link="url")
+    return spark.read.parquet(path).groupBy("link_key").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -343,11 +343,11 @@ def _(spark, sf):
     import uuid
 
     from kerbside.common import shared_folder
-    from kerbside.sources.writers import SnapshotTable
+    from kerbside.sources.bucketed import BucketTable
 
-    table = SnapshotTable(spark, f"{shared_folder(spark)}/snapshots/{uuid.uuid4().hex}")
-    table.write(_stored(spark, sf))
-    table.write(upsert.upsert_apply(_incoming(spark, sf), table.read(), D.as_of()))
+    table = BucketTable(spark, f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}")
+    table.create(_stored(spark, sf), upsert.KEYS)
+    table.merge(_incoming(spark, sf), lambda new, old: upsert.upsert_apply(new, old, D.as_of()))
     return table.read().groupBy("source").agg(
         F.count("*").alias("listings"),
         F.sum("price").alias("price_sum"),

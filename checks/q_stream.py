@@ -8,9 +8,8 @@ from pyspark.sql import types as T
 from checks.q_alerts import ALERTS, filters, muted, users
 from checks.registry import query
 from kerbside.common import shared_folder
-from kerbside.operators import lifecycle
 from kerbside.sources import driver_tables as D
-from kerbside.sources.writers import SnapshotTable
+from kerbside.sources.bucketed import BucketTable
 from kerbside.streaming import jobs as J
 
 EVENTS = T.StructType(
@@ -63,18 +62,14 @@ def _(spark, sf):
     return J.read_batches(spark, f"{out}/data").select("user_id", "value")
 
 
-def _start_table(spark, sf, path):
-    """Version 0: the ads with an even id, at a price of 1."""
-    table = SnapshotTable(spark, path)
+def _stored(spark, sf):
+    """What is known before the stream starts: the ads with an even id, at a price of 1."""
     users_seen = D.table(spark, sf, "events").filter(F.col("user_id") % 2 == 0).select("user_id").distinct()
-    table.write(
-        users_seen.select(
-            F.lit("src_a").alias("source"), F.col("user_id").cast("string").alias("external_id"), F.col("user_id").alias("listing_id"),
-            F.lit(1).alias("price"), D.as_of().alias("created_at"), D.as_of().alias("updated_at"),
-            F.array().cast("array<struct<price:int,date:date>>").alias("price_history"),
-        )
+    return users_seen.select(
+        F.lit("src_a").alias("source"), F.col("user_id").cast("string").alias("external_id"), F.col("user_id").alias("listing_id"),
+        F.lit(1).alias("price"), D.as_of().alias("created_at"), D.as_of().alias("updated_at"),
+        F.array().cast("array<struct<price:int,date:date>>").alias("price_history"),
     )
-    return table
 
 
 # all sightings of an ad in time order behind its stored price, and every step between two of them
@@ -101,7 +96,8 @@ FROM steps GROUP BY user_id
 )
 def _(spark, sf):
     out = _folder(spark)
-    table = _start_table(spark, sf, f"{out}/table")
+    table = BucketTable(spark, f"{out}/table")
+    table.create(_stored(spark, sf), ["source", "external_id"])
     J.stream_upsert(_ads(spark, sf), table, f"{out}/ckpt", "seen_at").awaitTermination()
     entries = F.transform("price_history", lambda h: F.concat(h["price"].cast("string"), F.lit("@"), F.date_format(h["date"], "yyyy-MM-dd")))
     return table.read().select("external_id", "price", F.coalesce(F.array_join(entries, ","), F.lit("")).alias("history"))
@@ -117,8 +113,7 @@ SELECT CAST(user_id AS VARCHAR) AS external_id, ts AS changed_at, old_price, pri
 )
 def _(spark, sf):
     out = _folder(spark)
-    table = _start_table(spark, sf, f"{out}/table")
-    J.stream_price_changes(_ads(spark, sf), table, f"{out}/changes", f"{out}/ckpt", "seen_at").awaitTermination()
+    J.stream_price_changes(_ads(spark, sf), _stored(spark, sf), f"{out}/changes", f"{out}/ckpt", "seen_at").awaitTermination()
     changes = J.net_changes(J.read_batches(spark, f"{out}/changes"))
     return changes.select("external_id", F.col("at").alias("changed_at"), "old_price", "new_price")
 
@@ -149,8 +144,13 @@ SELECT user_id AS listing_id, max(ts) < TIMESTAMP '2024-01-29 00:00:00' AND min(
 """,
 )
 def _(spark, sf):
-    seen = D.table(spark, sf, "events").groupBy(F.col("user_id").alias("listing_id")).agg(
-        F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.lit(False).alias("is_duplicate")
-    )
+    out = _folder(spark)
+    # the scheduler's tick: a row without an ad, which moves the clock to the moment that is asked about
     as_of = F.to_timestamp(F.lit("2024-01-30 00:00:00"))
-    return lifecycle.mark_stale(seen, as_of, 1).select("listing_id", "is_stale")
+    events = D.table(spark, sf, "events").select(F.col("user_id").alias("listing_id"), F.col("ts").cast("timestamp").alias("ts"))
+    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{out}/in")
+    tick = spark.range(1).select(F.lit(None).cast("long").alias("listing_id"), (as_of + F.expr("INTERVAL '1' SECOND")).alias("ts"))
+    tick.coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = J.read_ads_stream(spark, f"{out}/in", events.schema, 1)
+    J.stream_stale(stream, "listing_id", "ts", 1, f"{out}/data", f"{out}/ckpt").awaitTermination()
+    return J.presence(J.read_batches(spark, f"{out}/data"), "listing_id", as_of)

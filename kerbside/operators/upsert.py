@@ -93,11 +93,10 @@ def price_steps(timeline: Column) -> Column:
 
 
 def with_timeline(stored: DataFrame) -> DataFrame:
-    """Stored listings with the sightings known of each; a table that has none yet starts from its present price."""
-    if "timeline" in stored.columns:
-        return stored
+    """Stored listings with the sightings known of each; a listing that has none yet starts from its present price."""
     first = F.when(F.col("price").isNotNull(), F.array(F.struct(F.col("updated_at").alias("at"), F.col("price").cast("int").alias("price"))))
-    return stored.withColumn("timeline", F.coalesce(first, F.array()).cast(TIMELINE))
+    first = F.coalesce(first, F.array()).cast(TIMELINE)
+    return stored.withColumn("timeline", F.coalesce("timeline", first) if "timeline" in stored.columns else first)
 
 
 def merge_sightings(sightings: DataFrame, stored: DataFrame, time: str) -> DataFrame:

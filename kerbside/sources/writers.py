@@ -1,4 +1,4 @@
-"""Snapshots of the listings table and the export files."""
+"""Export files."""
 
 from __future__ import annotations
 
@@ -9,40 +9,6 @@ from kerbside.common import blank_to_null
 from kerbside.operators.extract import largest_image
 
 
-class SnapshotTable:
-    """A table kept as numbered Parquet snapshots; the newest complete one is current.
-
-    A snapshot is written beside the current one and counts only once Spark's commit marker is there, so readers
-    never see half a table, a failed write leaves the old one, and no plan reads the folder it overwrites. Writing
-    the same version again replaces that version, which makes a retried batch harmless.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def version(self) -> int:
-        """Current version, -1 before the first write."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return -1
-        numbers = [-1]
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(hadoop.Path(f"{self.path}/{name}/_SUCCESS")):
-                numbers.append(int(name[1:]))
-        return max(numbers)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version() if version is None else version}")
-
-    def write(self, table: DataFrame, version: int | None = None) -> int:
-        number = self.version() + 1 if version is None else version
-        table.write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        return number
-
-
 def deals_export(listings: DataFrame, min_score: int = 60, limit: int = 500) -> DataFrame:
     """The 13 export columns of the best deals; at most 1000 rows."""
     from kerbside.plans.search import with_diff_or_none
@@ -120,12 +86,24 @@ def link_key(url: Column) -> Column:
     return F.concat(host, F.lit("_"), F.substring(F.md5(url), 1, 10))
 
 
-def export_partitioned_by_link(ads: DataFrame, path: str, link: str = "link", rows_per_file: int = 1_000_000) -> None:
-    """One folder per source link. Rows of a big link go to several tasks and files instead of one."""
-    (
-        ads.withColumn("link_key", link_key(F.col(link)))
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", rows_per_file)
-        .partitionBy("link_key")
-        .parquet(path)
-    )
+def link_bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def export_partitioned_by_link(ads: DataFrame, path: str, link: str = "link", buckets: int = 64, rows_per_file: int = 1_000_000) -> None:
+    """Ads by source link: one folder per hash bucket of links, sorted by link inside, so folders do not grow with links.
+
+    Rows of a big link go to several tasks and files: a bucket is dealt over as many tasks as rows hash to.
+    """
+    keyed = ads.withColumn("link_key", link_key(F.col(link))).withColumn("bucket", link_bucket(F.col("link_key"), buckets))
+    # maps cannot be hashed; the other columns tell rows of one link apart
+    plain = [c for c, kind in ads.dtypes if "map<" not in kind]
+    spread = keyed.repartition("bucket", F.pmod(F.xxhash64(*plain), F.lit(4)))
+    laid = spread.sortWithinPartitions("bucket", "link_key")
+    laid.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("bucket").parquet(path)
+
+
+def read_link(spark: SparkSession, path: str, url: str, buckets: int = 64) -> DataFrame:
+    """The exported ads of one link: one bucket's folder, of which the files' statistics leave the link's row groups."""
+    wanted = spark.range(1).select(link_key(F.lit(url)).alias("k")).select("k", link_bucket(F.col("k"), buckets).alias("b")).first()
+    return spark.read.parquet(path).filter((F.col("bucket") == wanted.b) & (F.col("link_key") == wanted.k))

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs. State lives in Spark's checkpoints and in snapshot tables; every sink is idempotent by
+"""Structured Streaming jobs. State lives in Spark's checkpoints and in a bucketed table; every sink is idempotent by
 batch id, so a replayed micro-batch changes nothing."""
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from kerbside.operators import alerts as alert_ops
-from kerbside.operators.upsert import merge_sightings, price_steps, with_timeline
-from kerbside.sources.writers import SnapshotTable
+from kerbside.operators.upsert import KEYS, merge_sightings
+from kerbside.sources.bucketed import BucketTable
+from kerbside.streaming.stateful import first_ever, presence_changes, price_changes, rocksdb
 
 
 def read_ads_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -42,58 +43,36 @@ def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None],
 def stream_seen_dedup(stream: DataFrame, keys: list[str], path: str, checkpoint: str, time: str) -> StreamingQuery:
     """Each (id, price) once for ever, in whatever order the ads arrive; of a batch's repeats the earliest. Nulls are equal.
 
-    The seen table is the union of the earlier batches' folders; a replayed batch rewrites only its own folder.
+    What has been seen is state per key in RocksDB: a batch looks up its own keys and reads nothing of earlier batches.
     """
+    with rocksdb(stream.sparkSession):
+        return to_files(first_ever(stream, keys, [time]), path, checkpoint)
 
-    def once(batch: DataFrame, batch_id: int) -> None:
-        row = F.struct(*batch.columns)
-        first = F.min_by(row, F.struct(F.col(time).isNull(), F.col(time)))
-        fresh = batch.groupBy(*keys).agg(first.alias("__first")).select("__first.*")
-        if batch_id:
-            folders = [f"{path}/b{b}" for b in range(batch_id)]
-            seen = batch.sparkSession.read.schema(batch.schema).parquet(*folders).select(*[F.col(k).alias(f"__seen_{k}") for k in keys])
-            same = [F.col(k).eqNullSafe(F.col(f"__seen_{k}")) for k in keys]
-            fresh = fresh.join(seen, same, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/b{batch_id}")
 
-    return for_each_batch(stream, once, checkpoint)
+def stream_upsert(stream: DataFrame, table: BucketTable, checkpoint: str, time: str) -> StreamingQuery:
+    """Merge all sightings of each micro-batch into the table, the sighting time taking the place of "now".
 
-
-def stream_upsert(stream: DataFrame, table: SnapshotTable, checkpoint: str, time: str) -> StreamingQuery:
-    """Merge all sightings of each micro-batch into the snapshot table, the sighting time taking the place of "now".
-
-    Batch n writes version n + 1 from version n, so replays repeat it. Version 0 must exist before the first batch.
+    A batch reads and rewrites the buckets of its own ads. Batch n writes version n + 1, so a replay changes nothing. The
+    table must exist, at version 0, before the first batch.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        table.write(merge_sightings(batch, table.read(batch_id), time), batch_id + 1)
+        table.merge(batch, lambda new, old: merge_sightings(new, old, time), batch_id + 1)
 
     return for_each_batch(stream, merge, checkpoint)
 
 
 def stream_price_changes(
-    stream: DataFrame, table: SnapshotTable, path: str, checkpoint: str, time: str
+    stream: DataFrame, stored: DataFrame, path: str, checkpoint: str, time: str, late: str | None = None
 ) -> StreamingQuery:
-    """(key, time, old price, new price, count) of every price change, one folder per batch; the table moves along.
+    """(key, time, old price, new price, count) of every price change, as files; ``stored`` is what was known before.
 
     A batch gives the changes that its sightings bring to light with count 1 and, where a late sighting came in between,
     the change that no longer holds with count -1. ``net_changes`` adds them up: the same for any cut and any order.
+    The timeline of each ad is state in RocksDB; ``late`` bounds how far back sightings may come and with it the state.
     """
-    keys = ["source", "external_id"]
-
-    def emit(batch: DataFrame, batch_id: int) -> None:
-        before = table.read(batch_id)
-        table.write(merge_sightings(batch, before, time), batch_id + 1)
-        touched = batch.select(*keys).distinct()
-        now = table.read(batch_id + 1).join(touched, keys, "left_semi").select(*keys, price_steps(F.col("timeline")).alias("now"))
-        known = with_timeline(before).join(touched, keys, "left_semi").select(*keys, price_steps(F.col("timeline")).alias("known"))
-        known_or_none = F.coalesce("known", F.slice("now", F.lit(1), F.lit(0)))
-        counted = lambda steps, n: F.transform(steps, lambda s: F.struct(s["at"], s["old_price"], s["new_price"], F.lit(n).alias("count")))
-        both = F.concat(counted(F.array_except("now", known_or_none), 1), counted(F.array_except(known_or_none, F.col("now")), -1))
-        changes = now.join(known, keys, "left").select(*keys, F.inline(both)).withColumn("batch", F.lit(batch_id))
-        changes.write.mode("overwrite").parquet(f"{path}/b{batch_id}")
-
-    return for_each_batch(stream, emit, checkpoint)
+    with rocksdb(stream.sparkSession):
+        return to_files(price_changes(stream, stored, KEYS, time, late), path, checkpoint)
 
 
 def net_changes(changes: DataFrame) -> DataFrame:
@@ -102,25 +81,30 @@ def net_changes(changes: DataFrame) -> DataFrame:
     return kept.filter("n > 0").drop("n")
 
 
+def stream_stale(stream: DataFrame, key: str, time: str, stale_days: float, path: str, checkpoint: str, late: str = "0 seconds") -> StreamingQuery:
+    """(key, at, is_stale) as files: a key goes stale once when ``stale_days`` pass without a sighting, by timers on event time."""
+    with rocksdb(stream.sparkSession):
+        return to_files(presence_changes(stream, key, time, stale_days, late), path, checkpoint)
+
+
+def presence(changes: DataFrame, key: str, as_of: Column | None = None) -> DataFrame:
+    """(key, is_stale): the last word on every key, without what went stale at ``as_of`` or later."""
+    told = changes if as_of is None else changes.filter(~F.col("is_stale") | (F.col("at") < as_of))
+    return told.groupBy(key).agg(F.max_by("is_stale", F.struct("at", "is_stale")).alias("is_stale"))
+
+
 def stream_alerts(
-    stream: DataFrame, filters: DataFrame, muted: DataFrame, path: str, checkpoint: str, users: DataFrame | None = None
+    stream: DataFrame, filters: DataFrame, muted: DataFrame, path: str, checkpoint: str, users: DataFrame | None = None, sent: DataFrame | None = None
 ) -> StreamingQuery:
-    """Alerts per micro-batch, one per (user, address) for ever.
+    """Alerts as files, one per (user, address) for ever; of a batch's the smallest listing. ``sent``: the log to start with.
 
-    The sent log is the union of the earlier batches' folders; a replayed batch rewrites only its own folder.
+    Listings meet filters and muted makes as static sides; what has been sent is state per (user, address) in RocksDB.
     """
-    spark = stream.sparkSession
-
-    def notify(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            sent = spark.createDataFrame([], "user_id bigint, url string")
-        else:
-            sent = spark.read.parquet(*[f"{path}/b{b}" for b in range(batch_id)]).select("user_id", "url")
-        alert_ops.alerts(batch, filters, muted, sent, users).write.mode("overwrite").parquet(f"{path}/b{batch_id}")
-
-    return for_each_batch(stream, notify, checkpoint)
+    matched = alert_ops.unmuted_matches(stream, filters, muted, users)
+    with rocksdb(stream.sparkSession):
+        return to_files(first_ever(matched, ["user_id", "url"], alert_ops.ALERT[2:], sent), path, checkpoint)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All batch folders written by the jobs above."""
-    return spark.read.parquet(f"{path}/b*")
+    """What the jobs above have written to files."""
+    return spark.read.parquet(path)

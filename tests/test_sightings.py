@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kerbside.operators import upsert
 from kerbside.operators.responses import first_object
-from kerbside.sources.writers import SnapshotTable
 from kerbside.streaming import jobs
 
 SIGHTING = "source string, external_id string, price int, city string, seen_at timestamp"
@@ -49,19 +48,6 @@ def test_any_cut_and_order(spark, cuts, shuffled):
     assert got == plain(rows)
 
 
-def test_stream_of_any_batch_size(spark, tmp_path):
-    frame(spark, sightings()).repartition(4).write.parquet(f"{tmp_path}/in")
-    found = []
-    for per_batch in (1, 2, 100):
-        table = SnapshotTable(spark, f"{tmp_path}/t{per_batch}")
-        table.write(spark.createDataFrame([], TABLE))
-        stream = jobs.read_ads_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, per_batch)
-        out = f"{tmp_path}/c{per_batch}"
-        jobs.stream_price_changes(stream, table, out, f"{tmp_path}/k{per_batch}", "seen_at").awaitTermination()
-        found.append(sorted(map(str, jobs.net_changes(jobs.read_batches(spark, out)).collect())))
-    assert found[0] == found[1] == found[2] and len(found[0]) == sum(len(h) for _, h in plain(sightings()).values())
-
-
 def test_repeated_keys_and_maps(spark):
     stored = spark.createDataFrame([("s", "1", None, "x", None, None, None)], TABLE)
     twice = spark.createDataFrame([("s", "1", 5, "b"), ("s", "1", 4, "a"), ("s", "2", 7, "c"), ("s", "2", 7, "c")], "source string, external_id string, price int, city string")
