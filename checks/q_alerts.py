@@ -36,9 +36,8 @@ FILTERS = """(SELECT c_custkey AS user_id, CASE WHEN c_custkey % 10 <> 0 THEN 'B
     CAST(NULL AS DOUBLE) AS min_deal_score FROM customer
   UNION ALL SELECT c_custkey, NULL, NULL, CASE WHEN c_custkey % 5 <> 0 THEN 900000.0 END, 25.0,
     'nation_' || CAST(c_nationkey AS VARCHAR), NULL, 75.0 FROM customer)"""
-MATCHED = f"""(SELECT DISTINCT f.user_id, s.listing_id, s.url, s.brand, s.price, s.source FROM scored s, {FILTERS} f
-  WHERE NOT s.is_duplicate AND s.created_at >= TIMESTAMP '2001-07-01 00:00:00'
-  AND (coalesce(f.brand, '') = '' OR lower(f.brand) = lower(s.brand)) AND (coalesce(f.model, '') = '' OR lower(f.model) = lower(s.model))
+MATCHED = f"""(SELECT DISTINCT f.user_id, s.listing_id, s.url, s.brand, s.price, s.source, s.created_at FROM scored s, {FILTERS} f
+  WHERE NOT s.is_duplicate AND (coalesce(f.brand, '') = '' OR lower(f.brand) = lower(s.brand)) AND (coalesce(f.model, '') = '' OR lower(f.model) = lower(s.model))
   AND (f.max_price IS NULL OR s.price <= f.max_price) AND (f.min_discount IS NULL OR coalesce(s.price_diff_pct, 0) >= f.min_discount)
   AND (coalesce(f.city, '') = '' OR coalesce(s.city, '') = '' OR contains(lower(s.city), lower(f.city)))
   AND (f.min_year IS NULL OR s.year >= f.min_year) AND (f.min_deal_score IS NULL OR s.deal_score >= f.min_deal_score))"""
@@ -47,11 +46,13 @@ MUTED = "(SELECT DISTINCT c_custkey AS user_id, 'brand#' || CAST(c_custkey % 25
 SENT = "(SELECT c_custkey AS user_id, url FROM customer JOIN scored ON listing_id % (SELECT count(*) FROM customer) + 1 = c_custkey)"
 
 
-def new_listings(spark, sf):
-    """What came in since the middle of 2001."""
-    return D.scored(spark, sf).filter(
-        ~F.col("is_duplicate") & (F.col("created_at") >= F.to_timestamp(F.lit("2001-07-01 00:00:00")))
-    )
+NEW_SINCE = "2001-07-01 00:00:00"
+
+
+def offered(spark, sf):
+    """All listings that are no duplicates, with what a filter or an alert looks at."""
+    kept = ["listing_id", "url", "brand", "model", "year", "price", "city", "price_diff_pct", "deal_score", "created_at"]
+    return D.scored(spark, sf).filter(~F.col("is_duplicate")).select(*kept)
 
 
 def muted(spark, sf):
@@ -67,7 +68,7 @@ def sent(spark, sf):
 
 @query("filter_match_join", "scored", f"SELECT user_id, listing_id, price FROM {MATCHED} m")
 def _(spark, sf):
-    return A.filter_match_join(new_listings(spark, sf), filters(spark, sf)).select("user_id", "listing_id", "price")
+    return A.filter_match_join(offered(spark, sf), filters(spark, sf)).select("user_id", "listing_id", "price")
 
 
 @query(
@@ -76,7 +77,7 @@ def _(spark, sf):
     f"SELECT user_id, listing_id FROM {MATCHED} m WHERE NOT EXISTS (SELECT 1 FROM {MUTED} x WHERE x.user_id = m.user_id AND x.brand = lower(m.brand))",
 )
 def _(spark, sf):
-    matched = A.filter_match_join(new_listings(spark, sf), filters(spark, sf))
+    matched = A.filter_match_join(offered(spark, sf), filters(spark, sf))
     return A.without_muted(matched, muted(spark, sf)).select("user_id", "listing_id")
 
 
@@ -86,11 +87,12 @@ def _(spark, sf):
     f"SELECT user_id, listing_id FROM {MATCHED} m WHERE NOT EXISTS (SELECT 1 FROM {SENT} x WHERE x.user_id = m.user_id AND x.url = m.url)",
 )
 def _(spark, sf):
-    matched = A.filter_match_join(new_listings(spark, sf), filters(spark, sf))
+    matched = A.filter_match_join(offered(spark, sf), filters(spark, sf))
     return A.without_sent(matched, sent(spark, sf)).select("user_id", "listing_id")
 
 
 ALERTS = f"""SELECT user_id, listing_id, url, price FROM {MATCHED} m WHERE user_id % 7 <> 0
+  AND created_at >= TIMESTAMP '2001-07-01 00:00:00'
   AND NOT EXISTS (SELECT 1 FROM {MUTED} x WHERE x.user_id = m.user_id AND x.brand = lower(m.brand))
   AND NOT EXISTS (SELECT 1 FROM {SENT} x WHERE x.user_id = m.user_id AND x.url = m.url)"""
 
@@ -103,7 +105,8 @@ def users(spark, sf):
 
 @query("alerts", "scored", ALERTS)
 def _(spark, sf):
-    out = A.alerts(new_listings(spark, sf), filters(spark, sf), muted(spark, sf), sent(spark, sf), users(spark, sf))
+    fresh = offered(spark, sf).filter(F.col("created_at") >= F.to_timestamp(F.lit(NEW_SINCE)))
+    out = A.alerts(fresh, filters(spark, sf), muted(spark, sf), sent(spark, sf), users(spark, sf), offered(spark, sf))
     return out.select("user_id", "listing_id", "url", "price")
 
 

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kerbside.common import blank_to_null
 
-# Price octaves: 1, 2, 4 ... up to the largest 64-bit number. Each price lies in exactly one.
-OCTAVES = 64
-# Tasks that share the listings of one octave among the filters without brand and model.
+# Cells of a numeric bound: about equally many listings lie in each. Cells come in groups of GROUP.
+CELLS, GROUP = 64, 8
+# Tasks that share the listings of one cell among the filters without brand, model and city.
 SALTS = 16
+# Key of a filter field that may be anything, and of a listing without the field.
+ANY, NONE = "*", "!"
 
+#: Columns of an alert; the last ones also say which of several listings at one address is told.
+ALERT = ["user_id", "url", "listing_id", "brand", "model", "year", "price", "price_diff_pct", "deal_score"]
 
-def price_octave(price: Column) -> Column:
-    """NULL stays NULL; anything below one falls into octave 0."""
-    return F.when(price >= 1, F.floor(F.log2(price.cast("double")))).when(price < 1, F.lit(0)).cast("int")
+# bound -> (filter column, value of a listing, whether the bound is a maximum)
+BOUNDS = {
+    "price": ("f_max_price", lambda: F.col("price"), True),
+    "year": ("f_min_year", lambda: F.col("year"), False),
+    "discount": ("f_min_discount", lambda: F.coalesce("price_diff_pct", F.lit(0.0)), False),
+    "score": ("f_min_deal_score", lambda: F.col("deal_score"), False),
+}
 
 
 def matches() -> Column:
@@ -36,35 +44,143 @@ def matches() -> Column:
     return F.coalesce(keep, F.lit(False))
 
 
-def filter_match_join(listings: DataFrame, filters: DataFrame) -> DataFrame:
-    """(user, listing) rows with at least one matching filter.
+def cell_limits(rows: DataFrame, values: dict[str, Column]) -> dict[str, list[float]]:
+    """CELLS - 1 limits per value between cells with about equally many rows; one small aggregate per task."""
+    parts = [i / CELLS for i in range(1, CELLS)]
+    found = rows.agg(*[F.percentile_approx(v.cast("double"), parts, 1_000).alias(n) for n, v in values.items()]).first()
+    return {n: [float(x) for x in found[n] or []] for n in values}
 
-    An equi-join, not a nested loop. A filter is keyed by the most selective equality it has (make and model, make, model,
-    none) and by each price octave up to its limit; a listing by the four keys it can meet, with its own octave. Filters
-    with neither make nor model meet the listings of an octave in ``SALTS`` parts, dealt by listing. The rest of the filter
-    is a residual predicate, so the answer is exact.
-    """
-    top = F.coalesce(price_octave(F.col("f_max_price")), F.lit(OCTAVES - 1))
+
+def cell_of(value: Column, limits: list[float]) -> Column:
+    """Number of limits below the value: grows with the value, so it keeps the order of any two values."""
+    return F.size(F.filter(F.lit(limits), lambda x: x < value)) if limits else F.lit(0)
+
+
+def nodes_of(value: Column, limits: list[float]) -> Column:
+    """Where a listing is found: its cell, and the group of its cell. NULL, which meets no bound, is nowhere."""
+    cell = cell_of(value, limits)
+    return F.when(value.isNotNull(), F.array(cell, F.lit(CELLS) + F.floor(cell / GROUP).cast("int")))
+
+
+def cover(bound: Column, limits: list[float], at_most: bool) -> Column:
+    """Cells and groups that together hold every value within the bound, each once."""
+    cell = cell_of(bound, limits)
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    if at_most:
+        whole = F.floor((cell + 1) / GROUP).cast("int")
+        groups, cells = run(F.lit(0), whole - 1), run(whole * GROUP, cell)
+    else:
+        whole = F.ceil(cell / GROUP).cast("int")
+        groups, cells = run(whole, F.lit(CELLS // GROUP - 1)), run(cell, whole * GROUP - 1)
+    return F.concat(cells, F.transform(groups, lambda g: g + CELLS))
+
+
+def share_within(bound: Column, limits: list[float], at_most: bool) -> Column:
+    """About which share of the listings lies within the bound."""
+    below = cell_of(bound, limits) / CELLS
+    return below if at_most else 1 - below
+
+
+def keyed_filters(filters: DataFrame, limits: dict[str, list[float]]) -> DataFrame:
+    """Filters with one row per key: make, model and city or anything, and the cover of the tightest bound."""
     named = filters.select([F.col(c).alias(f"f_{c}") if c != "user_id" else F.col(c) for c in filters.columns])
-    brand, model = (F.lower(blank_to_null(F.col(f"f_{c}"))) for c in ("brand", "model"))
-    open_to_all = brand.isNull() & model.isNull()
+    field = lambda c: F.coalesce(F.concat(F.lit("="), F.lower(blank_to_null(F.col(f"f_{c}")))), F.lit(ANY))
+    tightness, covers = [], F.array(F.lit(0))
+    for bound, (column, _, at_most) in BOUNDS.items():
+        number = F.col(column).cast("double")
+        share = F.when(number.isNotNull(), share_within(number, limits[bound], at_most))
+        tightness.append(F.struct(share.alias("share"), F.lit(bound).alias("bound")))
+    known = F.filter(F.array(*tightness), lambda t: t["share"].isNotNull())
     keyed = named.withColumns(
-        {
-            "k_brand": F.coalesce(brand, F.lit("*")),
-            "k_model": F.coalesce(model, F.lit("*")),
-            "k_octave": F.explode(F.sequence(F.lit(0), F.greatest(top, F.lit(0)))),
-        }
-    ).withColumn("k_salt", F.explode(F.sequence(F.lit(0), F.when(open_to_all, F.lit(SALTS - 1)).otherwise(0))))
-    key = lambda b, m, salt: F.struct(b.alias("k_brand"), m.alias("k_model"), salt.alias("k_salt"))
-    any_, zero = F.lit("*"), F.lit(0)
-    own, its = F.coalesce(F.lower("brand"), any_), F.coalesce(F.lower("model"), any_)
+        {"k_brand": field("brand"), "k_model": field("model"), "own_city": field("city"), "k_bound": F.coalesce(F.array_min(known)["bound"], F.lit(ANY))}
+    )
+    for bound, (column, _, at_most) in BOUNDS.items():
+        covers = F.when(F.col("k_bound") == bound, cover(F.col(column).cast("double"), limits[bound], at_most)).otherwise(covers)
+    open_to_all = (F.col("k_brand") == ANY) & (F.col("k_model") == ANY) & (F.col("own_city") == ANY)
+    cities = F.when(F.col("own_city") == ANY, F.array(F.lit(ANY))).otherwise(F.array("own_city", F.lit(NONE)))
+    keyed = keyed.withColumn("k_node", F.explode(covers)).withColumn("k_city", F.explode(cities))
+    return keyed.withColumn("k_salt", F.explode(F.sequence(F.lit(0), F.when(open_to_all, F.lit(SALTS - 1)).otherwise(0)))).drop("own_city")
+
+
+def named_cities(filters: DataFrame) -> DataFrame:
+    """(named): the distinct cities of the filters, in lower case."""
+    return filters.select(F.lower(blank_to_null(F.col("city"))).alias("named")).filter("named IS NOT NULL").distinct()
+
+
+def substrings(text: Column) -> Column:
+    """All distinct substrings of a short text."""
+    ends = lambda i: F.transform(F.sequence(F.lit(1), F.char_length(text) - i + 1), lambda n: F.substr(text, i, n))
+    starts = F.when(F.char_length(text) > 0, F.sequence(F.lit(1), F.char_length(text)))
+    return F.array_distinct(F.flatten(F.transform(starts, ends)))
+
+
+def with_named_city(listings: DataFrame, filters: DataFrame) -> DataFrame:
+    """Listings once per city of the filters that their own city contains, as ``named``.
+
+    An equi-join on substrings, done on the distinct cities of a table and on the rows of a stream.
+    """
+    city = F.lower(blank_to_null(F.col("city")))
+    if listings.isStreaming:
+        rows = listings.withColumn("named", F.explode(substrings(city)))
+        return rows.join(named_cities(filters), "named")
+    held = listings.select(city.alias("__city")).filter("__city IS NOT NULL").distinct()
+    held = held.withColumn("named", F.explode(substrings(F.col("__city")))).join(named_cities(filters), "named")
+    return listings.withColumn("__city", city).join(held, "__city").drop("__city")
+
+
+def candidate_pairs(listings: DataFrame, filters: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """Listings beside the filters that they may match: same make, model and city where named, and the tightest bound.
+
+    An equi-join, not a nested loop. Every filter is keyed by what it names and by cells that cover its tightest bound; a
+    listing by what it has, under the kinds of key that some filter uses (at most 60), and by its own cell and group. A
+    pair meets under one key only. The cells come from ``profile`` (by default the listings themselves; the filters' own
+    bounds for a stream without one); they decide how many candidates there are, not which of them match. Filters that name
+    nothing meet the listings of a cell in ``SALTS`` parts, dealt by listing.
+    """
+    profile = listings if profile is None and not listings.isStreaming else profile
+    if profile is not None:
+        limits = cell_limits(profile, {b: value() for b, (_, value, _) in BOUNDS.items()})
+    else:
+        limits = cell_limits(filters, {b: F.col(column[2:]) for b, (column, _, _) in BOUNDS.items()})
+    keyed = keyed_filters(filters, limits)
+    flag = lambda c: (F.col(c) != ANY).alias(c)
+    kinds = keyed.filter(F.col("k_city") != NONE).select(flag("k_brand"), flag("k_model"), flag("k_city"), "k_bound").distinct().collect()
+    own = lambda c: F.concat(F.lit("="), F.lower(F.col(c)))
     part = F.pmod(F.xxhash64("listing_id"), F.lit(SALTS)).cast("int")
-    # a listing without make or model has fewer keys
-    keys = F.array_distinct(F.array(key(own, its, zero), key(own, any_, zero), key(any_, its, zero)))
-    keys = F.filter(keys, lambda k: (k["k_brand"] != "*") | (k["k_model"] != "*"))
-    offered = listings.withColumn("k", F.explode(F.concat(keys, F.array(key(any_, any_, part)))))
-    offered = offered.withColumn("k_octave", price_octave(F.col("price"))).select("*", "k.*").drop("k")
-    pairs = offered.join(keyed, ["k_brand", "k_model", "k_octave", "k_salt"]).filter(matches())
+
+    def keys(kind) -> Column:
+        """Keys of a listing under one kind; none where the listing lacks what the kind names."""
+        brand, model = own("brand") if kind.k_brand else F.lit(ANY), own("model") if kind.k_model else F.lit(ANY)
+        city = F.coalesce(F.concat(F.lit("="), F.col("named")), F.lit(NONE)) if kind.k_city else F.lit(ANY)
+        salt = part if not (kind.k_brand or kind.k_model or kind.k_city) else F.lit(0)
+        nodes = F.array(F.lit(0)) if kind.k_bound == ANY else nodes_of(BOUNDS[kind.k_bound][1]().cast("double"), limits[kind.k_bound])
+        fields = {"k_brand": brand, "k_model": model, "k_city": city, "k_bound": F.lit(kind.k_bound), "k_salt": salt}
+        found = F.transform(nodes, lambda n: F.struct(*[v.alias(k) for k, v in fields.items()], n.alias("k_node")))
+        return F.when(brand.isNotNull() & model.isNotNull(), found)
+
+    def offered(rows: DataFrame, some: list) -> DataFrame:
+        every = F.flatten(F.filter(F.array(*[keys(k) for k in some]), lambda k: k.isNotNull()))
+        return rows.withColumn("k", F.explode(every)).select(*listings.columns, "k.*")
+
+    plain, by_city = [k for k in kinds if not k.k_city], [k for k in kinds if k.k_city]
+    parts = [offered(listings.withColumn("named", F.lit(None).cast("string")), plain)] if plain else []
+    if by_city:
+        nowhere = listings.filter(blank_to_null(F.col("city")).isNull()).withColumn("named", F.lit(None).cast("string"))
+        parts += [offered(with_named_city(listings, filters), by_city), offered(nowhere, by_city)]
+    if not parts:
+        parts = [offered(listings.filter(F.lit(False)).withColumn("named", F.lit(None).cast("string")), [_NO_KIND])]
+    both = parts[0]
+    for more in parts[1:]:
+        both = both.unionByName(more)
+    return both.join(keyed, ["k_brand", "k_model", "k_city", "k_bound", "k_node", "k_salt"])
+
+
+_NO_KIND = Row(k_brand=False, k_model=False, k_city=False, k_bound=ANY)
+
+
+def filter_match_join(listings: DataFrame, filters: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """(user, listing) rows with at least one matching filter: the candidates that pass the whole filter."""
+    pairs = candidate_pairs(listings, filters, profile).filter(matches())
     return pairs.select("user_id", *listings.columns).dropDuplicates(["user_id", "listing_id"])
 
 
@@ -81,15 +197,26 @@ def without_sent(matched: DataFrame, sent: DataFrame) -> DataFrame:
     return matched.join(sent.select("user_id", "url"), ["user_id", "url"], "left_anti")
 
 
-def alerts(
-    listings: DataFrame, filters: DataFrame, muted: DataFrame, sent: DataFrame, users: DataFrame | None = None
+def unmuted_matches(
+    listings: DataFrame, filters: DataFrame, muted: DataFrame, users: DataFrame | None = None, profile: DataFrame | None = None
 ) -> DataFrame:
-    """One row per (user, address) to notify; duplicates of listings are not offered, inactive users not served."""
+    """The columns of an alert for every match, some more than once; a stream stays a stream.
+
+    Duplicates of listings are not offered, inactive users not served, muted makes left out.
+    """
     if users is not None:
         filters = filters.join(users.filter("is_active").select("user_id"), "user_id", "left_semi")
     fresh = listings.filter(~F.col("is_duplicate")) if "is_duplicate" in listings.columns else listings
-    matched = without_sent(without_muted(filter_match_join(fresh, filters), muted), sent)
-    first = F.min(F.struct("listing_id", "brand", "model", "year", "price", "price_diff_pct", "deal_score"))
+    pairs = candidate_pairs(fresh, filters, profile).filter(matches()).select("user_id", *fresh.columns)
+    return without_muted(pairs, muted).select(*ALERT)
+
+
+def alerts(
+    listings: DataFrame, filters: DataFrame, muted: DataFrame, sent: DataFrame, users: DataFrame | None = None, profile: DataFrame | None = None
+) -> DataFrame:
+    """One row per (user, address) to notify: the smallest of the listings that match."""
+    matched = without_sent(unmuted_matches(listings, filters, muted, users, profile), sent)
+    first = F.min(F.struct(*ALERT[2:]))
     return matched.groupBy("user_id", "url").agg(first.alias("a")).select("user_id", "url", "a.*")
 
 
