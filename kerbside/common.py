@@ -8,9 +8,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-# A broadcast side is at most this many narrow rows (a key, a few numbers): about 20 MB.
-MAX_BROADCAST_ROWS = 200_000
+# A broadcast side takes at most this many bytes, by the sizes of its values.
+MAX_BROADCAST_BYTES = 32 << 20
 # At most this many keys are treated as hot; any other key holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 1_000
 HOT_SALTS = 64
@@ -89,28 +90,47 @@ def all_of(predicates: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, predicates, F.lit(True))
 
 
+def value_bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes: strings by length, arrays by their elements, other values eight."""
+    eight = F.lit(8).cast("long")
+    if isinstance(kind, StringType | BinaryType):
+        return eight + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, StructType):
+        return reduce(lambda a, b: a + b, [value_bytes(value[f.name], f.dataType) for f in kind.fields], eight)
+    if isinstance(kind, ArrayType):
+        return eight + F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + value_bytes(x, kind.elementType)), F.lit(0))
+    if isinstance(kind, MapType):
+        return eight + value_bytes(F.map_keys(value), ArrayType(kind.keyType)) + value_bytes(F.map_values(value), ArrayType(kind.valueType))
+    return eight
+
+
+def table_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of a settled table take."""
+    row = reduce(lambda a, b: a + b, [value_bytes(F.col(f.name), f.dataType) for f in df.schema.fields], F.lit(16).cast("long"))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
 def attach_groups(
     df: DataFrame,
     groups: DataFrame,
     keys: Sequence[str],
     rows: str | None = None,
     spread_by: Column | None = None,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     settled: bool = False,
 ) -> DataFrame:
-    """Left-join one narrow row per key back onto the rows. ``settled``: the groups are a checkpoint already.
+    """Left-join one row per key back onto the rows. ``settled``: the groups are a checkpoint already.
 
-    The group table is computed once and counted. Small: broadcast, so the rows do not move. Large: shuffle
+    The group table is computed once and its bytes are added up. Small: broadcast, so the rows do not move. Large: shuffle
     join in which the heaviest ``HOT_KEYS`` keys (by the count column ``rows``) are spread over ``HOT_SALTS``
-    tasks; the salt comes from ``spread_by`` (a row id), so a retried task salts the same way.
+    tasks; the salt comes from ``spread_by`` (a row id), so a retried task salts the same way. NULL keys meet nothing.
     """
     keys = list(keys)
     if not settled:
         groups = settle(groups)
-    if groups.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        out = df.join(F.broadcast(groups.drop(rows) if rows else groups), keys, "left")
-        return out
     values = groups.drop(rows) if rows else groups
+    if table_bytes(values) <= max_broadcast_bytes:
+        return df.join(F.broadcast(values), keys, "left")
     if rows is None or spread_by is None:
         return df.join(values, keys, "left")
     hot = groups.orderBy(F.desc(rows), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("__hot"))
@@ -137,12 +157,14 @@ def group_quantiles(
     """Exact linear-interpolated quantiles per key, plus the row count.
 
     Rows are first collapsed to (key, value) counts with map-side combine, so what meets in one task is the set
-    of *distinct* values of a key, never its rows; the running count over it spills to disk when needed.
+    of *distinct* values of a key, never its rows; the running count over it spills to disk when needed. Where a key may
+    have a great many distinct values, or there is no key, ``split_quantiles`` gives the same.
     """
     keys = list(keys)
+    if not keys:
+        return split_quantiles(df, keys, value, probabilities, count)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    # with no key, the distinct values of the whole column meet in one ordered window
-    ordered = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    ordered = Window.partitionBy(*keys)
     running = counted.select(
         *keys,
         F.col(value).alias("__v"),
@@ -155,12 +177,52 @@ def group_quantiles(
         picks.append(F.min(F.when(F.col("__upto") > F.floor(position), F.col("__v"))).alias(f"__lo_{name}"))
         picks.append(F.min(F.when(F.col("__upto") > F.ceil(position), F.col("__v"))).alias(f"__hi_{name}"))
     picked = running.groupBy(*keys).agg(F.max("__n").alias(count), *picks)
-    out = [F.col(k) for k in keys] + [F.col(count)]
+    return picked.select(*keys, count, *_interpolated(count, probabilities))
+
+
+def split_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], count: str = "n", ranges: int = 128
+) -> DataFrame:
+    """As ``group_quantiles``, for keys with more distinct values than one task should order: distributed selection.
+
+    A digest of bounded size cuts the values of each key into ``ranges`` ranges of about equally many; counts per range tell
+    in which one a quantile lies; only those ranges are ordered, one window each. The cuts decide how much is ordered, the
+    counts are exact, so the result does not depend on them.
+    """
+    keys = list(keys)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    counted = settle(counted)
+    parts = [i / ranges for i in range(1, ranges)]
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx(F.col("__v").cast("double"), parts, 10 * ranges).alias("__cuts"))
+    placed = attach_groups(counted, cuts, keys) if keys else counted.withColumn("__cuts", cuts.scalar())
+    placed = placed.withColumn("__r", F.size(F.filter("__cuts", lambda x: x < F.col("__v").cast("double")))).drop("__cuts")
+    in_order = Window.partitionBy(*keys).orderBy("__r")
+    held = placed.groupBy(*keys, "__r").agg(F.sum("__c").alias("__in"))
+    # at most ``ranges`` rows per key
+    held = held.select("*", (F.sum("__in").over(in_order) - F.col("__in")).alias("__before"), F.sum("__in").over(Window.partitionBy(*keys)).alias("__n"))
+    places = [rounded(F.lit(float(p)) * (F.col("__n") - 1)) for p in probabilities.values() for rounded in (F.floor, F.ceil)]
+    inside = reduce(lambda a, b: a | b, [(F.col("__before") <= at) & (at < F.col("__before") + F.col("__in")) for at in places])
+    wanted = held.filter(inside).drop("__in")
+    chosen = placed.join(F.broadcast(wanted) if not keys else wanted, [*keys, "__r"])
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.select(*keys, "__v", "__n", upto.alias("__upto"))
+    picks = []
+    for name, p in probabilities.items():
+        position = F.lit(float(p)) * (F.col("__n") - 1)
+        picks.append(F.min(F.when(F.col("__upto") > F.floor(position), F.col("__v"))).alias(f"__lo_{name}"))
+        picks.append(F.min(F.when(F.col("__upto") > F.ceil(position), F.col("__v"))).alias(f"__hi_{name}"))
+    picked = chosen.groupBy(*keys).agg(F.max("__n").alias(count), *picks)
+    return picked.filter(F.col(count).isNotNull()).select(*keys, count, *_interpolated(count, probabilities))
+
+
+def _interpolated(count: str, probabilities: dict[str, float]) -> list[Column]:
+    """Quantiles between the picked values below and above their positions."""
+    out = []
     for name, p in probabilities.items():
         position = F.lit(float(p)) * (F.col(count) - 1)
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         out.append((low + (position - F.floor(position)) * (high - low)).cast("double").alias(name))
-    return picked.select(*out)
+    return out
 
 
 def scalar(df: DataFrame) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -191,18 +192,87 @@ def first_photo(photos: Column) -> Column:
     return F.try_element_at(photos, F.lit(1))
 
 
+def branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern, split at ``|`` outside groups and classes."""
+    return _parts(pattern)[0]
+
+
+def groups(branch: str) -> list[str]:
+    """The contents of the groups of a branch that every match goes through."""
+    return _parts(branch)[1]
+
+
+def _parts(pattern: str) -> tuple[list[str], list[str]]:
+    alternatives, inside, depth, start, opened, i = [], [], 0, 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = pattern.index("]", i)
+        elif c == "(":
+            opened, depth = (i if not depth else opened), depth + 1
+        elif c == ")":
+            depth -= 1
+            group = pattern[opened + 1 : i]
+            if not depth and pattern[i + 1 : i + 2] not in ("?", "*", "{") and not group.startswith(("?<", "?=", "?!")):
+                inside.append(group.removeprefix("?:"))
+        elif c == "|" and not depth:
+            alternatives.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*alternatives, pattern[start:]], inside
+
+
+def stem(branch: str) -> str:
+    """The longest run of letters or digits outside groups that every match of the branch holds, in lower case; may be empty."""
+    plain = re.sub(r"\\.", "\0", branch)
+    while plain != (inner := re.sub(r"\[[^\]]*\]|\([^()\[\]]*\)", "\0", plain)):
+        plain = inner
+    # what may be left out does not count: a letter before ?, * or {
+    plain = re.sub(r".[?*{]", "\0", plain)
+    return max(re.findall(r"[^\W_]+", plain), key=len, default="").lower()
+
+
+def stems(pattern: str) -> list[str]:
+    """Literals of which every match of the pattern holds at least one; none where a branch has no literal of two letters."""
+    found = set()
+    for branch in branches(pattern):
+        own = stem(branch)
+        some = [own] if len(own) > 1 else next((x for x in map(stems, groups(branch)) if x), [])
+        if not some:
+            return []
+        found.update(some)
+    return sorted(found)
+
+
+def folded(text: Column) -> Column:
+    """Text in which a stem is found wherever a pattern that ignores case would match it: upper and then lower case."""
+    # the dotted capital would become two characters; its replacement also keeps the two conversions from being merged into one
+    return F.lower(F.replace(F.upper(F.coalesce(text, F.lit(""))), F.lit("İ"), F.lit("I")))
+
+
+def pattern_hits(text: Column, patterns: dict[str, str]) -> dict[str, Column]:
+    """Whether each pattern occurs, Unicode-aware and in any case.
+
+    A pattern is tried only on texts that hold one of its stems; the folded text is worked out once for all patterns.
+    """
+    filled, low = F.coalesce(text, F.lit("")), folded(text)
+    hits = {}
+    for name, pattern in patterns.items():
+        hit = F.regexp_like(filled, F.lit(f"(?iuU){pattern}"))
+        hits[name] = contains_any(low, stems(pattern)) & hit if stems(pattern) else hit
+    return hits
+
+
 def keyword_flags(text: Column, patterns: dict[str, str] = fixed.KEYWORD_PATTERNS) -> dict[str, Column]:
     """One 0/1 column per pattern; Unicode-aware and case-insensitive."""
-    filled = F.coalesce(text, F.lit(""))
-    return {name: F.regexp_like(filled, F.lit(f"(?iuU){p}")).cast("int") for name, p in patterns.items()}
+    return {name: hit.cast("int") for name, hit in pattern_hits(text, patterns).items()}
 
 
 def condition_flags(text: Column, patterns: dict[str, str] = fixed.CONDITION_FLAGS) -> Column:
     """Array of the flags whose pattern occurs in the text."""
-    filled = F.coalesce(text, F.lit(""))
-    return F.array_compact(
-        F.array(*[F.when(F.regexp_like(filled, F.lit(f"(?iuU){p}")), F.lit(n)) for n, p in patterns.items()])
-    )
+    return F.array_compact(F.array(*[F.when(hit, F.lit(n)) for n, hit in pattern_hits(text, patterns).items()]))
 
 
 def tokens(text: Column, stop_words: Sequence[str] = fixed.STOP_WORDS) -> Column:

@@ -5,12 +5,14 @@ work is done on distinct profiles, never on pairs of listings:
 
 1. candidates collapse to profiles, each keeping its k cheapest members (a partial top-k before the shuffle);
 2. target profiles meet the candidate *classes* (make, model, year within two, engine volume); inside a class the
-   distance only grows with the mileage gap, so the k nearest profiles on either side contain the answer. A window
-   over the class in mileage order gives each target its position, and an equi-join on (class, position) fetches
-   just those neighbours: no cross join, no all-pairs, cost linear in the profiles even for a hot model;
+   distance only grows with the mileage gap, so the k nearest profiles on either side contain the answer. A class is cut
+   into mileage buckets as wide as the reach: a target finds all it needs in its own bucket and the two next to it, so
+   candidates enter three buckets each. A window over one such bucket in mileage order gives each target its position, and an
+   equi-join on (class, bucket, position) fetches just those neighbours: no cross join, no all-pairs, and no window beyond
+   one bucket, however many listings a model has;
 3. the nearest profiles are opened into their members until k are reached.
 
-Mileage is an integer below a million, which bounds the profiles of a class whatever the number of listings.
+Mileage is an integer, so a bucket holds at most 90 000 profiles of a class.
 """
 
 from __future__ import annotations
@@ -54,6 +56,17 @@ def _profile_columns() -> list[Column]:
     ]
 
 
+def bucket(mileage: Column) -> Column:
+    """Mileage bucket, as wide as the reach."""
+    return F.floor(mileage / MILEAGE_REACH).cast("int")
+
+
+def bucketed(candidates: DataFrame, targets: DataFrame, mileage: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``bucket``: targets in their own, candidates in their own and the two next to it."""
+    own = bucket(F.col(mileage))
+    return candidates.withColumn("bucket", F.explode(F.array(own - 1, own, own + 1))), targets.withColumn("bucket", own)
+
+
 def nearest_profiles(listings: DataFrame, candidates: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(target profile, rank, candidate profile, distance) rows covering the k nearest members, and the members."""
     cheapest = Window.partitionBy(*PROFILE).orderBy("price", "listing_id")
@@ -70,18 +83,20 @@ def nearest_profiles(listings: DataFrame, candidates: DataFrame, k: int) -> tupl
     reach = F.sequence(F.col("y") - YEAR_REACH, F.col("y") + YEAR_REACH)
     probes = targets.withColumn("cy", F.explode(reach)).join(classes, ["b", "m", "cy"])
 
-    in_class = ["b", "m", "cy", "cvol"]
+    of_class, in_class = ["b", "m", "cy", "cvol"], ["b", "m", "cy", "cvol", "bucket"]
     known = profiles.filter(F.col("km").isNotNull()).select(
         "b", "m", F.col("y").alias("cy"), F.col("vol").alias("cvol"), F.col("km").alias("ckm"), "size"
     )
+    known, near = bucketed(known.withColumnRenamed("ckm", "km"), probes, "km")
+    known = known.withColumnRenamed("km", "ckm")
     numbered = known.withColumn("pos", F.row_number().over(Window.partitionBy(*in_class).orderBy("ckm")))
 
-    # one line per class: candidates and probes together, counted in mileage order
+    # one line per class and bucket: candidates and probes together, counted in mileage order
     line = known.select(*in_class, F.col("ckm").alias("at"), F.lit(1).alias("is_candidate")).unionByName(
-        probes.select(*in_class, F.col("km").alias("at"), "y", "vol", F.lit(0).alias("is_candidate")),
+        near.select(*in_class, F.col("km").alias("at"), "y", "vol", F.lit(0).alias("is_candidate")),
         allowMissingColumns=True,
     )
-    # running counts only: frames that start at the class' first row are updated row by row, never recomputed
+    # running counts only: frames that start at the bucket's first row are updated row by row, never recomputed
     by_km = Window.partitionBy(*in_class).orderBy("at")
 
     def counted_to(shift: int) -> Column:
@@ -109,7 +124,7 @@ def nearest_profiles(listings: DataFrame, candidates: DataFrame, k: int) -> tupl
     unknown = profiles.filter(F.col("km").isNull()).select(
         "b", "m", F.col("y").alias("cy"), F.col("vol").alias("cvol"), F.col("km").alias("ckm"), "size"
     )
-    without_mileage = probes.join(unknown, in_class).select(*MODEL, "y", "km", "vol", "cy", "ckm", "cvol", "size")
+    without_mileage = probes.join(unknown, of_class).select(*MODEL, "y", "km", "vol", "cy", "ckm", "cvol", "size")
     pairs = by_mileage.unionByName(without_mileage).withColumns(
         {
             "distance": F.round(
@@ -239,7 +254,7 @@ def comparable_price(
 def comparables_join(listings: DataFrame, as_of: Column, max_age_days: int = 60, pool: DataFrame | None = None) -> DataFrame:
     """How many listings qualify as comparables of each listing (before the top-k), counted on profiles.
 
-    The range condition is answered by a windowed count in mileage order, so no pair is ever formed.
+    The range condition is answered by a windowed count in mileage order within a bucket, so no pair is ever formed.
     """
     candidates = eligible(listings if pool is None else pool, as_of, max_age_days)
     profiles = candidates.select(*_profile_columns()).groupBy("b", "m", F.col("y").alias("cy"), "km").agg(
@@ -247,10 +262,11 @@ def comparables_join(listings: DataFrame, as_of: Column, max_age_days: int = 60,
     )
     targets = listings.select(*_profile_columns()).select(*MODEL, "y", F.coalesce("km", F.lit(0)).alias("km")).distinct()
     probes = targets.withColumn("cy", F.explode(F.sequence(F.col("y") - YEAR_REACH, F.col("y") + YEAR_REACH)))
-    line = profiles.filter(F.col("km").isNotNull()).withColumnRenamed("km", "at").unionByName(
-        probes.withColumnRenamed("km", "at").withColumn("size", F.lit(0).cast("bigint")), allowMissingColumns=True
+    known, near = bucketed(profiles.filter(F.col("km").isNotNull()), probes, "km")
+    line = known.withColumnRenamed("km", "at").unionByName(
+        near.withColumnRenamed("km", "at").withColumn("size", F.lit(0).cast("bigint")), allowMissingColumns=True
     )
-    by_km = Window.partitionBy("b", "m", "cy").orderBy("at")
+    by_km = Window.partitionBy("b", "m", "cy", "bucket").orderBy("at")
 
     def sized_to(shift: int) -> Column:
         return F.coalesce(F.sum("size").over(by_km.rangeBetween(Window.unboundedPreceding, shift)), F.lit(0))
