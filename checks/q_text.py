@@ -2,6 +2,7 @@
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
@@ -319,19 +320,51 @@ HAVING count(*) >= 5 AND count(*) <= 0.8 * (SELECT count(*) FROM t)
 """,
 )
 def _(spark, sf):
-    docs = D.documents(spark, sf).withColumn("words", T.tokens(F.col("description")))
-    fitted = TF.DescriptionFeatures(TF.tfidf_pipeline(max_terms=1 << 18).fit(docs), [], [])
-    idf = fitted.model.stages[3].idf.toArray().tolist()
-    rows = list(zip(fitted.model.stages[2].vocabulary, idf, strict=True))
-    return spark.createDataFrame(rows, "term string, idf double").withColumn("idf", F.round("idf", 6))
+    terms = TF.term_statistics(D.documents(spark, sf), "description")
+    return terms.select("term", F.round("idf", 6).alias("idf"))
 
 
-@query("tfidf_svd")
+_fitted: dict = {}
+
+
+def features(spark, sf):
+    """The decomposition, once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        _fitted[key] = TF.fit_description_features(D.documents(spark, sf), "description", components=20)
+    return _fitted[key]
+
+
+@query("tfidf_svd_values")
+def _(spark, sf):
+    out = features(spark, sf).transform(D.documents(spark, sf), "description", "doc_id")
+    return out.select("doc_id", *[F.round(F.get("svd", i), 6).alias(f"tfidf_{i}") for i in range(20)])
+
+
+@query("tfidf_svd", None, "SELECT doc_id, true AS fits_in_row, true AS zero_without_terms FROM documents")
+def _(spark, sf):
+    """A row of unit length keeps at most its length in the components, and a text without known terms has none."""
+    out = features(spark, sf).transform(D.documents(spark, sf), "description", "doc_id")
+    kept = F.aggregate("svd", F.lit(0.0), lambda n, x: n + x * x)
+    return out.select("doc_id", (kept <= 1 + 1e-9).alias("fits_in_row"), (F.col("has_terms") | (kept == 0)).alias("zero_without_terms"))
+
+
+@query(
+    "svd_explained_variance",
+    None,
+    "SELECT CAST(range AS INTEGER) AS component, true AS is_share, true AS is_falling, true AS is_what_rows_keep FROM range(20)",
+)
 def _(spark, sf):
-    docs = D.documents(spark, sf)
-    fitted = TF.fit_description_features(docs, "description", components=20)
-    return fitted.transform(docs, "description", "doc_id").select(
-        "doc_id", *[F.round(F.get("svd", i), 6).alias(f"tfidf_{i}") for i in range(20)]
+    """Shares of the fitted singular values: each between 0 and 1, falling, and equal to what the projected rows hold."""
+    fitted = features(spark, sf)
+    out = fitted.transform(D.documents(spark, sf), "description", "doc_id")
+    shares = TF.cumulative_explained_variance(TF.explained_variance(fitted, out))
+    entries = F.array(*[F.struct(F.lit(c).alias("component"), F.get("svd", c).alias("x")) for c in range(20)])
+    kept = out.select("has_terms", F.inline(entries)).groupBy("component").agg((F.sum(F.col("x") * F.col("x")) / F.sum(F.col("has_terms").cast("int"))).alias("kept"))
+    before = F.lag("share").over(Window.orderBy("component"))
+    return shares.join(kept, "component").select(
+        "component", (F.col("share").between(0.0, 1.0) & (F.col("cumulative") <= 1 + 1e-6)).alias("is_share"),
+        F.coalesce(before >= F.col("share"), F.lit(True)).alias("is_falling"), (F.abs(F.col("share") - F.col("kept")) < 1e-6).alias("is_what_rows_keep"),
     )
 
 

@@ -54,11 +54,14 @@ def score_outcome(price: Column, p50: Column, confidence: Column) -> Column:
     )
 
 
-def score_prices(rows: DataFrame) -> DataFrame:
+def score_prices(rows: DataFrame, model=None) -> DataFrame:
     """Add ``market_price``, ``price_diff_pct`` and the outcome, from ``p50`` and ``confidence_level``.
 
-    Rows that already have a market price keep it; rows without a price or a plausible year are not scored.
+    With a fitted ``model`` (anything whose ``predict`` adds the two) these come from it. Rows that already have a market price keep it; rows without a price or a plausible year are not scored.
     """
+    if model is not None:
+        given = [c for c in rows.columns if c not in ("p50", "samples", "confidence_level")]
+        rows = model.predict(rows.select(*given)).select(*given, "p50", "samples", "confidence_level")
     has_before = "market_price" in rows.columns
     open_row = (F.col("price") > 0) & (F.col("year") >= 1990)
     if has_before:

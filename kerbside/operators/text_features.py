@@ -22,6 +22,19 @@ def keyword_support(rows: DataFrame, text: str, patterns: dict[str, str] = fixed
     return shares.select(F.inline(entries)).withColumn("kept", F.col("share") > 0.01)
 
 
+def term_statistics(rows: DataFrame, text: str, min_df: int = 5, max_df: float = 0.8) -> DataFrame:
+    """(term, df, idf): all one- and two-word terms found in at least ``min_df`` rows and at most a share ``max_df`` of them.
+
+    The vocabulary stays a table, however large: each row sends a term once, counts are combined before the shuffle.
+    """
+    words = rows.select(tokens(F.col(text)).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))
+    terms = words.select(F.explode(F.array_distinct(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))))).alias("term"))
+    total = words.agg(F.count("*")).scalar()
+    counted = terms.groupBy("term").agg(F.count("*").alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * total))
+    return counted.withColumn("idf", F.ln((total + 1.0) / (F.col("df") + 1.0)))
+
+
 def tfidf_pipeline(max_terms: int = 5000, min_df: int = 5, max_df: float = 0.8) -> Pipeline:
     """One- and two-word terms -> smoothed idf -> unit length."""
     return Pipeline(
@@ -47,7 +60,7 @@ class DescriptionFeatures:
         return spark.createDataFrame(list(rows), "term string, idf double, loadings array<double>")
 
     def transform(self, rows: DataFrame, text: str, key: str) -> DataFrame:
-        """Add ``svd``: the projection on each component, padded with zeros when the vocabulary is smaller.
+        """Add ``svd``, the projection on each component, padded with zeros when the vocabulary is smaller, and ``has_terms``.
 
         ``key`` identifies the rows. Term counts of a row meet their loadings by a join with the bounded vocabulary.
         """
@@ -57,8 +70,9 @@ class DescriptionFeatures:
         weighted = counted.join(F.broadcast(self.terms(rows.sparkSession)), "term").withColumn("w", F.col("n") * F.col("idf"))
         wide = range(self.components.shape[1])
         sums = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.get("loadings", c)).alias(f"c{c}") for c in wide])
-        projected = sums.select(key, F.array(*[F.coalesce(F.try_divide(f"c{c}", "norm"), F.lit(0.0)) for c in wide]).alias("svd"))
-        return rows.join(projected, key, "left").withColumn("svd", F.coalesce("svd", F.array(*[F.lit(0.0) for _ in wide])))
+        projected = sums.select(key, F.array(*[F.coalesce(F.try_divide(f"c{c}", "norm"), F.lit(0.0)) for c in wide]).alias("svd"), (F.col("norm") > 0).alias("has_terms"))
+        none = {"svd": F.coalesce("svd", F.array(*[F.lit(0.0) for _ in wide])), "has_terms": F.coalesce("has_terms", F.lit(False))}
+        return rows.join(projected, key, "left").withColumns(none)
 
 
 def fit_description_features(
@@ -77,11 +91,16 @@ def fit_description_features(
     return DescriptionFeatures(model, v, sizes)
 
 
-def explained_variance(projected: DataFrame, weighted_variance: float, components: int = 20) -> DataFrame:
-    """Variance of each projected component as a share of the total variance of the TF-IDF columns."""
-    spreads = projected.agg(*[F.var_pop(F.get("svd", c)).alias(f"c{c}") for c in range(components)])
-    entries = [F.struct(F.lit(c).alias("component"), (F.col(f"c{c}") / weighted_variance).alias("share")) for c in range(components)]
-    return spreads.select(F.inline(F.array(*entries)))
+def explained_variance(fitted: DescriptionFeatures, projected: DataFrame) -> DataFrame:
+    """(component, share): squared singular values as shares of all that the TF-IDF matrix holds.
+
+    Its rows have unit length or, without a known term, are zero; so the total is the number of rows with a term.
+    ``projected`` is what ``transform`` gives for the rows of the fit.
+    """
+    rows = [(c, float(s) ** 2) for c, s in enumerate(fitted.singular_values)]
+    energy = projected.sparkSession.createDataFrame(rows, "component int, energy double")
+    total = projected.agg(F.count_if("has_terms")).scalar()
+    return energy.select("component", F.try_divide("energy", total).alias("share"))
 
 
 def cumulative_explained_variance(components: DataFrame) -> DataFrame:

@@ -37,16 +37,20 @@ def scored_listings(
     max_age_days: int = 60,
     text_flags: DataFrame | None = None,
     rules: CleaningRules = CleaningRules(),
+    model=None,
 ) -> DataFrame:
-    """The whole batch pipeline with the SQL-expressible baseline price.
+    """The whole batch pipeline; prices come from a fitted ``model`` or else from the SQL-expressible baseline.
 
     ``text_flags`` (doc_id, red_flag, bars_training) holds what was read from the descriptions, each text once.
     """
     marked = cross_source_dedup(listings)
-    clean = clean_training_set(training_rows(marked, analysis, text_flags), as_of, replace(rules, max_age_days=max_age_days))
-    train = training_bounds(clean)
-    priced = with_sample_confidence(price_baseline(marked, target_encoding(train)), segment_sample_counts(train))
-    scored = score_prices(priced)
+    if model is None:
+        clean = clean_training_set(training_rows(marked, analysis, text_flags), as_of, replace(rules, max_age_days=max_age_days))
+        train = training_bounds(clean)
+        priced = with_sample_confidence(price_baseline(marked, target_encoding(train)), segment_sample_counts(train))
+        scored = score_prices(priced)
+    else:
+        scored = score_prices(marked, model)
     labelled = scored.join(analysis, "listing_id", "left")
     flag = red_flag_hit(F.col("url"))
     if text_flags is not None:

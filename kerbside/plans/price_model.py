@@ -1,17 +1,21 @@
-"""Price model with pyspark.ml: boosted trees and a forest on ln(price), quantile bounds from residuals, CV."""
+"""Price model with pyspark.ml: boosted trees and a forest on ln(price), stopped by validation rows, with bounds from
+the residuals of rows that a fit has not seen."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
-from kerbside.common import attach_groups, fold_of, group_quantiles, settle, union_all
-from kerbside.operators.encode import apply_target_encoding, target_encoding
+from kerbside import fixed_values as fixed
+from kerbside.common import attach_groups, fold_of, settle, split_quantiles, union_all
+from kerbside.operators.encode import LEVELS, apply_target_encoding, target_encoding, target_encoding_oof
 from kerbside.operators.features import (
     derived_features,
     fill_defaults,
@@ -32,12 +36,19 @@ MIN_TRAINING_ROWS = 200
 
 @dataclass(frozen=True)
 class TrainingOptions:
-    trees: int = 20
+    #: Most trees of a boosting; it stops before when a further tree does not help the validation rows.
+    trees: int = 60
     depth: int = 5
     step: float = 0.2
     forest_trees: int = 20
     seed: int = 42
     decay: float = 0.007
+    #: One row in so many only tells when to stop, and how much better a further tree has to be.
+    validation_every: int = 10
+    tolerance: float = 0.01
+    #: Fits of the cross-validation, and how many of them run side by side.
+    folds: int = 5
+    side_by_side: int = 5
 
 
 def prepare(rows: DataFrame) -> DataFrame:
@@ -55,6 +66,8 @@ class PriceModel:
     third: PipelineModel | None
     bounds: DataFrame | None = None
     overall_bounds: dict[str, float] = field(default_factory=dict)
+    #: (listing_id, brand, model, fold, price, p50) of every training row, from a fit that has not seen its fold
+    out_of_fold: DataFrame | None = None
 
     def _learners(self, rows: DataFrame) -> DataFrame:
         encoded = apply_target_encoding(prepare(rows), self.encodings)
@@ -90,6 +103,12 @@ class PriceModel:
             "p_first", "p_second", "p_third", "samples", "confidence_level",
         ).withColumn("price_vs_market_pct", price_vs_market(F.col("price"), F.col("p50")))
 
+    def fit_report(self, spark) -> DataFrame:
+        """(learner, trees) of each learner that was fitted: how far boosting went before it was stopped."""
+        fitted = [("boosted", self.first), ("forest", self.second), ("boosted_plain", self.third)]
+        rows = [(name, int(model.stages[-1].getNumTrees)) for name, model in fitted if model is not None]
+        return spark.createDataFrame(rows, "learner string, trees int")
+
     def feature_importance(self, spark) -> DataFrame:
         """Importance of each input of the first learner, ranked."""
         names = self.first.stages[-2].getInputCols()
@@ -124,14 +143,23 @@ def _pipeline(learner, encoded: bool) -> Pipeline:
     return Pipeline(stages=[*indexers, imputer, VectorAssembler(inputCols=inputs, outputCol="features"), learner])
 
 
+def encoded_unseen(rows: DataFrame, parts: int = 5) -> DataFrame:
+    """``te_<level>`` of every training row from the other parts of the rows, so that no row's own price is in its inputs."""
+    out = rows.withColumn("__part", F.pmod(F.xxhash64("listing_id", F.lit("encoding")), F.lit(parts)).cast("int"))
+    for level, keys in LEVELS.items():
+        out = target_encoding_oof(out, keys, "__part", fixed.ENCODING_SMOOTHING[level]).withColumnRenamed("te_oof", f"te_{level}")
+    return out.drop("__part")
+
+
 def train_price_model(
     rows: DataFrame, as_of: Column, options: TrainingOptions = TrainingOptions(), stacked: bool = True, bounds: bool = True
 ) -> PriceModel | UntrainedPriceModel:
     """Fit the model; with fewer than 200 usable rows it stays untrained and predicts NULL.
 
     Boosted trees give P50; with ``stacked`` a forest and a second boosting without brand and city encodings join
-    the blend. P10 / P90 are P50 shifted by the segment's residual quantiles of ln(price), which the tree learners
-    here cannot fit directly.
+    the blend. Boosting stops when rows set aside by their id no longer gain. P10 / P90 are P50 shifted by the segment's
+    quantiles of ln(price / P50) over out-of-fold predictions, so what a fit has learnt by heart does not narrow them; they
+    never cross P50.
     """
     usable = training_bounds(fill_defaults(rows))
     train = settle(usable)
@@ -139,43 +167,65 @@ def train_price_model(
         return UntrainedPriceModel()
     encodings = target_encoding(train)
     reference = F.col("listing_date") if "listing_date" in train.columns else F.col("created_at")
+    # other numbers than those of the folds, which are taken from the id as well
+    aside = F.pmod(F.xxhash64("listing_id"), F.lit(options.validation_every)) == 0
     ready = settle(
-        apply_target_encoding(prepare(train), encodings).withColumns(
-            {"label": F.ln("price"), "weight": time_decay_weight(as_of, reference, options.decay)}
+        encoded_unseen(prepare(train)).withColumns(
+            {"label": F.ln("price"), "weight": time_decay_weight(as_of, reference, options.decay), "aside": aside}
         )
     )
-    boosted = dict(labelCol="label", weightCol="weight", maxDepth=options.depth, seed=options.seed, maxBins=64)
-    first = _pipeline(GBTRegressor(maxIter=options.trees, stepSize=options.step, **boosted), True).fit(ready)
+    common = dict(labelCol="label", weightCol="weight", maxDepth=options.depth, seed=options.seed, maxBins=64)
+    boosting = dict(maxIter=options.trees, stepSize=options.step, validationIndicatorCol="aside", validationTol=options.tolerance, **common)
+    first = _pipeline(GBTRegressor(**boosting), True).fit(ready)
     second = third = None
     if stacked:
-        second = _pipeline(RandomForestRegressor(numTrees=options.forest_trees, **boosted), True).fit(ready)
-        third = _pipeline(GBTRegressor(maxIter=options.trees, stepSize=options.step, **boosted), False).fit(ready)
+        second = _pipeline(RandomForestRegressor(numTrees=options.forest_trees, **common), True).fit(ready)
+        third = _pipeline(GBTRegressor(**boosting), False).fit(ready)
     model = PriceModel(encodings, settle(segment_sample_counts(train)), first, second, third)
     if bounds:
-        residuals = settle(
-            model._learners(train).select(
-                "brand",
-                "model",
-                (F.ln("price") - F.ln(stacked_p50(F.col("p_first"), F.col("p_second"), F.col("p_third")))).alias("r"),
-            )
-        )
+        model.out_of_fold = settle(cross_validate(train, as_of, options.folds, options, stacked))
+        residuals = model.out_of_fold.filter("p50 > 0").select("brand", "model", (F.ln("price") - F.ln("p50")).alias("r"))
         cuts = {"q10": 0.10, "q90": 0.90}
-        model.bounds = settle(group_quantiles(residuals, ["brand", "model"], "r", cuts).filter("n >= 15"))
-        whole = residuals.agg(*[F.percentile_approx("r", p, 10_000).alias(n) for n, p in cuts.items()]).first()
-        model.overall_bounds = {n: float(whole[n]) for n in cuts}
+        both_sides = [F.least("q10", F.lit(0.0)).alias("q10"), F.greatest("q90", F.lit(0.0)).alias("q90")]
+        model.bounds = settle(split_quantiles(residuals, ["brand", "model"], "r", cuts).filter("n >= 15").select("brand", "model", "n", *both_sides))
+        whole = split_quantiles(residuals, [], "r", cuts).select(*both_sides).first()
+        # a fold whose fit stayed untrained has no residuals
+        model.overall_bounds = {n: float(whole[n]) if whole else 0.0 for n in cuts}
     return model
 
 
 def cross_validate(
-    rows: DataFrame, as_of: Column, folds: int = 5, options: TrainingOptions = TrainingOptions(), stacked: bool = False
+    rows: DataFrame, as_of: Column, folds: int | None = None, options: TrainingOptions = TrainingOptions(), stacked: bool = False
 ) -> DataFrame:
-    """Out-of-fold predictions of every usable row: k fits, one union."""
+    """Out-of-fold predictions of every usable row: one fit per fold, some side by side, and one union."""
+    folds = options.folds if folds is None else folds
     usable = settle(training_bounds(fill_defaults(rows)).withColumn("fold", fold_of(F.col("listing_id"), folds)))
-    parts = []
-    for k in range(folds):
-        model = train_price_model(usable.filter(F.col("fold") != k), as_of, options, stacked, bounds=False)
-        parts.append(model.predict(usable.filter(F.col("fold") == k)).select("listing_id", "brand", "fold", "price", "p50"))
-    return union_all(parts)
+
+    def fit(k: int) -> PriceModel | UntrainedPriceModel:
+        return train_price_model(usable.filter(F.col("fold") != k), as_of, options, stacked, bounds=False)
+
+    with ThreadPool(max(1, min(folds, options.side_by_side))) as pool:
+        models = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(folds))
+    kept = ["listing_id", "brand", "model", "fold", "price", "p50"]
+    return union_all([m.predict(usable.filter(F.col("fold") == k)).select(*kept) for k, m in enumerate(models)])
+
+
+def make_baseline(rows: DataFrame, fold: str = "fold") -> DataFrame:
+    """``baseline``: the geometric mean price of the row's make in the other folds, or of all makes there.
+
+    What a fitted model has to beat. Totals less the fold's own, so it takes no pass per fold.
+    """
+    sums = [F.sum(F.ln("price")).alias("s"), F.count("*").alias("n")]
+    own = settle(rows.groupBy("brand", fold).agg(*sums))
+    make = own.groupBy("brand").agg(F.sum("s").alias("make_s"), F.sum("n").alias("make_n"))
+    by_fold = own.groupBy(fold).agg(F.sum("s").alias("fold_s"), F.sum("n").alias("fold_n"))
+    total = own.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    all_s, all_n = total.select("all_s").scalar(), total.select("all_n").scalar()
+    others = (F.col("make_s") - F.col("s")) / (F.col("make_n") - F.col("n"))
+    rest = F.try_divide(all_s - F.col("fold_s"), all_n - F.col("fold_n"))
+    value = F.exp(F.when(F.col("make_n") > F.col("n"), others).otherwise(rest))
+    per_key = own.join(make, "brand").join(by_fold, fold).select("brand", fold, "n", value.alias("baseline"))
+    return attach_groups(rows, per_key, ["brand", fold], rows="n", spread_by=F.col("listing_id"))
 
 
 def price_calculator(model: PriceModel | UntrainedPriceModel, parameters: DataFrame) -> DataFrame:
