@@ -110,21 +110,21 @@ def spec_table(html: Column) -> Column:
 
 
 def last_wins(pairs: Column) -> Column:
-    """Array of (k, v) structs to a map; of equal keys the last stays. The array is read once."""
-    return F.aggregate(
-        pairs,
-        F.create_map().cast("map<string,string>"),
-        lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])),
-    )
+    """Array of (k, v) structs to a map; of equal keys the last stays."""
+    return _one_per_key(pairs, 1)
 
 
 def first_wins(pairs: Column) -> Column:
-    """Array of (k, v) structs to a map; of equal keys the first stays. The array is read once."""
-    return F.aggregate(
-        pairs,
-        F.create_map().cast("map<string,string>"),
-        lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))),
-    )
+    """Array of (k, v) structs to a map; of equal keys the first stays."""
+    return _one_per_key(pairs, -1)
+
+
+def _one_per_key(pairs: Column, beside: int) -> Column:
+    """Sort by key and place, and keep what has no equal key on the given side: n log n in the number of pairs."""
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v"))))
+    alone = lambda line: F.filter(line, lambda p, i: ~F.get(line, i + beside)["k"].eqNullSafe(p["k"]))
+    kept = let(placed, alone)
+    return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))))
 
 
 def jsonld_car(html: Column) -> Column:
@@ -197,18 +197,35 @@ def _engine_fields(engine: Column, power: Column) -> dict[str, Column]:
     }
 
 
+def _with_car(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """Pages with their vehicle object, which is read once."""
+    return computed(pages, [*keep, "html"], car=jsonld_car(F.col("html")))
+
+
+def _with_card_parts(pages: DataFrame, keep: list[str], **more: Column) -> DataFrame:
+    """What else a card page gives, for pages with a vehicle object."""
+    html, has = F.col("html"), F.col("car").isNotNull()
+    parts = {"specs": spec_table(html), "gallery": card_photos(html), "seller": card_seller(html), "meta_date": meta_content(html, META_DATES)}
+    return computed(pages, [*keep, "car"], **{name: F.when(has, part) for name, part in parts.items()}, **more)
+
+
 def extract_jsonld_car(pages: DataFrame, site: str = "cars.example", card_url: str = CARD_URL) -> DataFrame:
     """Card page with an embedded vehicle object -> one ad row; pages without id or brand yield nothing."""
-    html = F.col("html")
-    base = computed(
-        pages,
-        ["page_id", "url"],
-        car=jsonld_car(html),
-        specs=spec_table(html),
-        gallery=card_photos(html),
-        seller=card_seller(html),
-        meta_date=meta_content(html, META_DATES),
-    ).filter(F.col("car").isNotNull())
+    with_car = _with_car(pages, ["page_id", "url"]).filter(F.col("car").isNotNull())
+    rows = _with_card_parts(with_car, ["page_id", "url"]).select("page_id", "url", *_named(_car_fields(site, card_url)))
+    return _cards(rows)
+
+
+def _named(fields: dict[str, Column]) -> list[Column]:
+    return [value.alias(name) for name, value in fields.items()]
+
+
+def _cards(rows: DataFrame) -> DataFrame:
+    """Ads with an id and a make; pages without yield nothing."""
+    return rows.filter(F.col("external_id").isNotNull() & F.col("brand").isNotNull()).withColumn("photo_count", F.array_size("photos"))
+
+
+def _car_fields(site: str, card_url: str) -> dict[str, Column]:
     car, specs = F.col("car"), F.col("specs")
 
     def spec(*keys: str) -> Column:
@@ -224,65 +241,62 @@ def extract_jsonld_car(pages: DataFrame, site: str = "cars.example", card_url: s
     photos = F.when(F.size("gallery") > 0, F.col("gallery")).otherwise(F.array_compact(F.array(image)))
     customs = spec("Растаможен", "Таможня")
     engine = _engine_fields(spec("Двигатель"), spec("Мощность"))
-    rows = base.select(
-        "page_id",
-        T.found(F.col("url"), card_url).alias("external_id"),
-        "url",
-        blank_to_null(brand).alias("brand"),
-        F.coalesce(car["model"], F.lit("")).alias("model"),
-        F.coalesce(car["vehicleModelDate"].try_cast("int"), F.lit(0)).alias("year"),
-        F.coalesce(
-            F.get_json_object(car["offers"], "$.price").try_cast("double").cast("int"), F.lit(0)
-        ).alias("price"),
-        T.digits(F.get_json_object(car["mileageFromOdometer"], "$.value")).cast("int").alias("mileage"),
-        car["vehicleIdentificationNumber"].alias("vin"),
-        car["description"].alias("description"),
-        photos.alias("photos"),
-        T.city_from_url(F.col("url"), site).alias("city"),
-        T.region_from_url(F.col("url"), site).alias("region"),
-        engine["engine_type"].alias("engine_type"),
-        engine["engine_volume"].alias("engine_volume"),
-        engine["power_hp"].alias("power_hp"),
-        spec("Коробка передач").alias("transmission"),
-        spec("Привод").alias("drive_type"),
-        spec("Тип кузова").alias("body_type"),
-        spec("Цвет").alias("color"),
-        spec("Руль").alias("steering_wheel"),
-        T.digits(spec("Владельцы")).cast("int").alias("owners_count"),
-        spec("Поколение").alias("generation"),
-        spec("Комплектация").alias("modification"),
-        spec("ПТС").alias("pts_type"),
-        spec("Состояние").alias("condition"),
-        T.yes_no_short(customs).alias("customs_cleared"),
-        F.col("seller.seller_type").alias("seller_type"),
-        F.col("seller.seller_name").alias("seller_name"),
-        F.col("seller.is_dealer").alias("is_dealer"),
-        card_date(car, F.col("meta_date")).alias("listing_date"),
-        specs.alias("attrs"),
-    )
-    return rows.filter(F.col("external_id").isNotNull() & F.col("brand").isNotNull()).withColumn(
-        "photo_count", F.array_size("photos")
-    )
+    return {
+        "external_id": T.found(F.col("url"), card_url),
+        "brand": blank_to_null(brand),
+        "model": F.coalesce(car["model"], F.lit("")),
+        "year": F.coalesce(car["vehicleModelDate"].try_cast("int"), F.lit(0)),
+        "price": F.coalesce(F.get_json_object(car["offers"], "$.price").try_cast("double").cast("int"), F.lit(0)),
+        "mileage": T.digits(F.get_json_object(car["mileageFromOdometer"], "$.value")).cast("int"),
+        "vin": car["vehicleIdentificationNumber"],
+        "description": car["description"],
+        "photos": photos,
+        "city": T.city_from_url(F.col("url"), site),
+        "region": T.region_from_url(F.col("url"), site),
+        "engine_type": engine["engine_type"],
+        "engine_volume": engine["engine_volume"],
+        "power_hp": engine["power_hp"],
+        "transmission": spec("Коробка передач"),
+        "drive_type": spec("Привод"),
+        "body_type": spec("Тип кузова"),
+        "color": spec("Цвет"),
+        "steering_wheel": spec("Руль"),
+        "owners_count": T.digits(spec("Владельцы")).cast("int"),
+        "generation": spec("Поколение"),
+        "modification": spec("Комплектация"),
+        "pts_type": spec("ПТС"),
+        "condition": spec("Состояние"),
+        "customs_cleared": T.yes_no_short(customs),
+        "seller_type": F.col("seller.seller_type"),
+        "seller_name": F.col("seller.seller_name"),
+        "is_dealer": F.col("seller.is_dealer"),
+        "listing_date": card_date(car, F.col("meta_date")),
+        "attrs": specs,
+    }
+
+
+def _state(html: Column, variable: str) -> Column:
+    """The state object of a page's script."""
+    return let(F.regexp_extract(html, rf"(?s)window\.{variable}\s*=\s*(\{{.*?\}});", 1), lambda b: F.from_json(blank_to_null(b), STATE_JSON))
+
+
+def _with_state_fields(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """Pages with the named fields of their state object ``s``."""
+    stated = F.coalesce(F.col("s.bullDescription.fields"), F.array().cast("array<struct<title:string,value:string>>"))
+    pairs = F.transform(stated, lambda f: F.struct(F.coalesce(f["title"], F.lit("")).alias("k"), F.coalesce(f["value"], F.lit("")).alias("v")))
+    return computed(pages, [*keep, "s"], fields=last_wins(pairs))
 
 
 def extract_preloaded_state(
     pages: DataFrame, site: str = "cars.example", card_url: str = CARD_URL, variable: str = STATE_VARIABLE
 ) -> DataFrame:
     """Fallback carrier: a state object in a script -> one ad row."""
-    body = F.regexp_extract("html", rf"(?s)window\.{variable}\s*=\s*(\{{.*?\}});", 1)
-    base = computed(pages, ["page_id", "url"], s=let(body, lambda b: F.from_json(blank_to_null(b), STATE_JSON))).filter(
-        F.col("s").isNotNull()
-    )
+    base = computed(pages, ["page_id", "url"], s=_state(F.col("html"), variable)).filter(F.col("s").isNotNull())
+    return _cards(_with_state_fields(base, ["page_id", "url"]).select("page_id", "url", *_named(_state_fields(site, card_url))))
+
+
+def _state_fields(site: str, card_url: str) -> dict[str, Column]:
     desc, seller = F.col("s.bullDescription"), F.col("s.seller")
-    fields = last_wins(
-        F.transform(
-            F.coalesce(desc["fields"], F.array().cast("array<struct<title:string,value:string>>")),
-            lambda f: F.struct(
-                F.coalesce(f["title"], F.lit("")).alias("k"), F.coalesce(f["value"], F.lit("")).alias("v")
-            ),
-        )
-    )
-    base = computed(base, ["page_id", "url", "s"], fields=fields)
 
     def field(*keys: str) -> Column:
         return F.coalesce(*[blank_to_null(F.try_element_at(F.col("fields"), F.lit(k))) for k in keys])
@@ -299,51 +313,50 @@ def extract_preloaded_state(
         ),
         lambda u: F.coalesce(u, F.lit("")) != "",
     )
-    rows = base.select(
-        "page_id",
-        T.found(F.col("url"), card_url).alias("external_id"),
-        "url",
-        blank_to_null(brand).alias("brand"),
-        model.alias("model"),
-        T.title_year(F.coalesce(desc["title"], F.lit(""))).alias("year"),
-        F.coalesce(desc["price"], F.lit(0.0)).cast("int").alias("price"),
-        T.digits(field("Пробег")).cast("int").alias("mileage"),
-        F.coalesce(blank_to_null(desc["vin"]), F.col("s.vin")).alias("vin"),
-        F.coalesce(blank_to_null(desc["description"]), desc["text"]).alias("description"),
-        photos.alias("photos"),
-        T.city_from_url(F.col("url"), site).alias("city"),
-        T.region_from_url(F.col("url"), site).alias("region"),
-        engine["engine_type"].alias("engine_type"),
-        engine["engine_volume"].alias("engine_volume"),
-        engine["power_hp"].alias("power_hp"),
-        field("Коробка передач", "КПП").alias("transmission"),
-        field("Привод").alias("drive_type"),
-        field("Кузов", "Тип кузова").alias("body_type"),
-        field("Цвет").alias("color"),
-        field("Руль").alias("steering_wheel"),
-        T.digits(field("Владельцы", "Владельцев по ПТС")).cast("int").alias("owners_count"),
-        field("Поколение").alias("generation"),
-        field("Комплектация").alias("modification"),
-        field("ПТС").alias("pts_type"),
-        field("Состояние").alias("condition"),
-        T.yes_no_short(customs).alias("customs_cleared"),
-        F.coalesce(blank_to_null(seller["type"]), F.when(dealer, "дилер")).alias("seller_type"),
-        F.coalesce(blank_to_null(seller["name"]), seller["title"]).alias("seller_name"),
-        dealer.alias("is_dealer"),
-        F.coalesce(blank_to_null(desc["date"]), desc["datePublished"]).alias("listing_date"),
-        F.col("fields").alias("attrs"),
-    )
-    return rows.filter(F.col("external_id").isNotNull() & F.col("brand").isNotNull()).withColumn(
-        "photo_count", F.array_size("photos")
-    )
+    return {
+        "external_id": T.found(F.col("url"), card_url),
+        "brand": blank_to_null(brand),
+        "model": model,
+        "year": T.title_year(F.coalesce(desc["title"], F.lit(""))),
+        "price": F.coalesce(desc["price"], F.lit(0.0)).cast("int"),
+        "mileage": T.digits(field("Пробег")).cast("int"),
+        "vin": F.coalesce(blank_to_null(desc["vin"]), F.col("s.vin")),
+        "description": F.coalesce(blank_to_null(desc["description"]), desc["text"]),
+        "photos": photos,
+        "city": T.city_from_url(F.col("url"), site),
+        "region": T.region_from_url(F.col("url"), site),
+        "engine_type": engine["engine_type"],
+        "engine_volume": engine["engine_volume"],
+        "power_hp": engine["power_hp"],
+        "transmission": field("Коробка передач", "КПП"),
+        "drive_type": field("Привод"),
+        "body_type": field("Кузов", "Тип кузова"),
+        "color": field("Цвет"),
+        "steering_wheel": field("Руль"),
+        "owners_count": T.digits(field("Владельцы", "Владельцев по ПТС")).cast("int"),
+        "generation": field("Поколение"),
+        "modification": field("Комплектация"),
+        "pts_type": field("ПТС"),
+        "condition": field("Состояние"),
+        "customs_cleared": T.yes_no_short(customs),
+        "seller_type": F.coalesce(blank_to_null(seller["type"]), F.when(dealer, "дилер")),
+        "seller_name": F.coalesce(blank_to_null(seller["name"]), seller["title"]),
+        "is_dealer": dealer,
+        "listing_date": F.coalesce(blank_to_null(desc["date"]), desc["datePublished"]),
+        "attrs": F.col("fields"),
+    }
 
 
-def extract_cards(pages: DataFrame, site: str = "cars.example", card_url: str = CARD_URL) -> DataFrame:
-    """Vehicle object when the page has one, state object otherwise."""
-    has_car = jsonld_car(F.col("html")).isNotNull()
-    return extract_jsonld_car(pages.filter(has_car), site, card_url).unionByName(
-        extract_preloaded_state(pages.filter(~has_car), site, card_url)
-    )
+def extract_cards(pages: DataFrame, site: str = "cars.example", card_url: str = CARD_URL, variable: str = STATE_VARIABLE) -> DataFrame:
+    """Vehicle object when the page has one, state object otherwise. A page is read once, and only for what it needs."""
+    keep = ["page_id", "url"]
+    state = F.when(F.col("car").isNull(), _state(F.col("html"), variable))
+    base = _with_state_fields(_with_card_parts(_with_car(pages, keep), keep, s=state), [*keep, "car", "specs", "gallery", "seller", "meta_date"])
+    kinds = dict(extract_jsonld_car(pages, site, card_url).dtypes)
+    car, stated = _car_fields(site, card_url), _state_fields(site, card_url)
+    row = F.when(F.col("car").isNotNull(), F.struct(*[car[c].cast(kinds[c]).alias(c) for c in car]))
+    row = row.when(F.col("s").isNotNull(), F.struct(*[stated[c].cast(kinds[c]).alias(c) for c in car]))
+    return _cards(computed(base, keep, row=row).filter(F.col("row").isNotNull()).select(*keep, "row.*"))
 
 
 # ------------------------------------------------------------------ detail pages
