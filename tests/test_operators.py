@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from kerbside import common
 from kerbside.operators import alerts, clean, comparables, dedup, encode, pricing, scoring, upsert
-from kerbside.sources.writers import SnapshotTable
 
 NOW = dt.datetime(2026, 1, 31)
 
@@ -93,16 +92,6 @@ def test_upsert(spark):
     assert [h.price for h in changed_back.filter("source = 'a' and external_id = '1'").first().price_history] == [100, 90]
 
 
-def test_snapshot_table(spark, tmp_path):
-    table = SnapshotTable(spark, f"{tmp_path}/t")
-    assert table.version() == -1
-    table.write(spark.range(3))
-    table.write(table.read().filter("id > 0"))
-    assert (table.version(), table.read().count()) == (1, 2)
-    table.write(spark.range(9), 1)
-    assert (table.version(), table.read().count()) == (1, 9)
-
-
 DEAL = dict(price_diff_pct=0.0, year=2020, category=None, mileage=60_000, photo_count=0, body_type="sedan", created_at=NOW - dt.timedelta(hours=48), owners_count=2, price=500_000, description="", url="")
 
 
