@@ -88,21 +88,25 @@ def render(messages: DataFrame, learn_from: str = "assistant") -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, learnt) from what ``render`` wrote: roles and texts in order, and the texts under the loss mask."""
+    """(conv_id, turns, learnt, formatted_chars) from what ``render`` wrote: roles and texts in order, and the texts under the
+    loss mask. Turns come from the marks alone; what is learnt is what stands from ``start`` to ``end`` of a mask entry,
+    wherever that is, so a mask that is off shows. Conversations are told apart by ``conv_id``."""
     mark = BEGIN.replace("|", r"\|")
-    pieces = F.slice(F.split("formatted", mark), F.lit(2), F.size("loss"))
-    rows = formatted.withColumn("pieces", pieces)
-
-    def turn(piece: Column) -> Column:
-        line = F.substring_index(piece, BREAK, 1)
-        body = F.substring(piece, F.char_length(line) + 2, F.char_length(piece))
-        return F.struct(unescape_role(line).alias("role"), F.substring_index(body, END, 1).alias("raw"))
-
-    rows = rows.withColumn("read", F.arrays_zip(F.transform("pieces", turn).alias("turn"), F.col("loss")))
-    masked = F.filter("read", lambda r: r["loss"]["learn"])
+    pieces = F.transform(F.slice(F.split("formatted", mark), F.lit(2), F.size("loss")), lambda p: F.concat(F.lit(BEGIN), p))
+    rows = formatted.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"), F.arrays_zip(pieces.alias("piece"), F.col("loss")).alias("zipped"))
+    rows = rows.select("conv_id", "formatted_chars", F.posexplode("zipped").alias("nth", "z")).select("conv_id", "formatted_chars", "nth", "z.piece", "z.loss")
+    # where each piece begins; a mask entry is read from its piece, so that long conversations are not walked for every turn
+    upto = Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("begin", F.coalesce(F.sum(F.char_length("piece").cast("long")).over(upto), F.lit(0)))
+    line = F.substring_index("piece", BREAK, 1)
+    body = F.substring(F.col("piece"), F.char_length(line) + 2, F.char_length("piece"))
+    inside = F.substring(F.col("piece"), (F.col("loss.start") - F.col("begin") + 1).cast("int"), (F.col("loss.end") - F.col("loss.start")).cast("int"))
+    read = F.struct(
+        "nth", unescape_role(F.substring(line, len(BEGIN) + 1, 1 << 30)).alias("role"), unescape(F.substring_index(body, END, 1)).alias("text"),
+        F.when(F.col("loss.learn"), unescape(inside)).alias("learnt"),
+    )
+    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(read)).alias("read"), F.max("formatted_chars").alias("formatted_chars"))
     return rows.select(
-        "conv_id",
-        F.transform("read", lambda r: F.struct(r["turn"]["role"].alias("role"), unescape(r["turn"]["raw"]).alias("text"))).alias("turns"),
-        F.transform(masked, lambda r: unescape(F.substring(r["turn"]["raw"], F.lit(1), (r["loss"]["end"] - r["loss"]["start"]).cast("int")))).alias("learnt"),
-        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "conv_id", F.transform("read", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"),
+        F.transform(F.filter("read", lambda r: r["learnt"].isNotNull()), lambda r: r["learnt"]).alias("learnt"), "formatted_chars",
     )

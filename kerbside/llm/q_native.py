@@ -1,6 +1,6 @@
 """Queries of mixing and chat formatting."""
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.llm import chat_format
@@ -81,16 +81,34 @@ FROM e GROUP BY conv_id
 """
 
 
+def event_log(messages: DataFrame) -> DataFrame:
+    """A log whose folding gives ``messages`` (conv_id, message, role, text): every text arrives as a beginning and a
+    streamed delta. Two of three messages were drafted first, with the text backwards, and then edited or regenerated;
+    the draft's answer, already begun, is void by that."""
+    text, drafted = F.coalesce("text", F.lit("")), F.col("message") % 3 != 0
+    at, half = F.col("message").cast("long") * 4, (F.char_length(text) / 2).cast("int")
+    event = lambda message, seq, kind, role, said: F.struct(
+        message.alias("message"), seq.alias("seq"), kind.alias("kind"), role.alias("role"), said.alias("text")
+    )
+    role, none = F.col("role"), F.lit(None).cast("string")
+    start = F.when(drafted, F.when(F.col("message") % 3 == 1, "edit").otherwise("regenerate")).otherwise("message")
+    events = F.array(
+        event(F.col("message"), at + 2, start, role, F.substring(text, F.lit(1), half)),
+        event(F.col("message"), at + 3, F.lit("delta"), none, F.substring(text, half + 1, F.char_length(text))),
+        event(F.when(drafted, F.col("message")), at, F.lit("message"), role, F.reverse(text)),
+        event(F.when(drafted, F.col("message") + 1), at + 1, F.lit("message"), none, F.lit("void")),
+    )
+    return messages.select("conv_id", F.inline(F.filter(events, lambda e: e["message"].isNotNull())))
+
+
 @query("op9_chat_format", sql=CHAT_SQL)
 def _(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     rows = rows.union(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
     in_turn = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    events = rows.select(
-        "conv_id", F.row_number().over(in_turn).alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text"
-    )
-    read = chat_format.read_back(chat_format.render(chat_format.fold(events)))
+    messages = rows.select("conv_id", F.row_number().over(in_turn).alias("message"), "role", "text")
+    read = chat_format.read_back(chat_format.render(chat_format.fold(event_log(messages))))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join("learnt", "")
     return read.select(
