@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,13 @@ _LOWER[65:91] += 32
 _POWERS = np.ones(1, np.uint64)
 
 
+def released() -> None:
+    """Give freed memory back to the system: a reused worker would hold what an earlier stage has needed."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values over the whole word."""
     h = h ^ (h >> np.uint64(30))

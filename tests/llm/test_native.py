@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kerbside.llm import chat_format, mixing
+from kerbside.llm.q_native import event_log
 from kerbside.llm.storage import stage
 from tests.llm import brute
 
@@ -169,3 +170,39 @@ def test_pipeline_on_edges(spark, sf, tmp_path):
     out = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
     assert {r.doc_id for r in out} and None not in {r.doc_id for r in out}
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_cut_characters_go_and_others_stay(spark):
+    text = "é€😀a�b\u0085"
+    data = text.encode()
+    rows, want = [], []
+    for a in range(len(data) + 1):
+        for b in range(a + 1, len(data) + 1):
+            spans = [(a, b)] if (a + b) % 3 else [(a, a + 1), (b, len(data))] if a + 1 < b < len(data) else [(a, b)]
+            gone = {i for x, y in spans for i in range(x, y)}
+            lost = [sum(y - x for x, y in spans[:i]) for i in range(len(spans))]
+            rows.append((len(rows), [x - n for (x, _), n in zip(spans, lost, strict=True)], bytes(c for i, c in enumerate(data) if i not in gone)))
+            at, whole = 0, ""
+            for c in text:
+                size = len(c.encode())
+                whole += "" if gone & set(range(at, at + size)) else c
+                at += size
+            want.append(whole)
+    df = spark.createDataFrame(rows, "i int, edges array<long>, kept binary")
+    got = df.select("i", corpus_pipeline.whole_characters("kept", "edges").alias("text")).orderBy("i").collect()
+    assert [r.text for r in got] == want
+
+
+def test_a_mask_that_is_off_shows(spark):
+    table = spark.createDataFrame([(1, 1, "user", "ab"), (1, 2, "assistant", "cdef")], "conv_id long, message long, role string, text string")
+    off = F.transform("loss", lambda m: F.struct((m["start"] + 1).alias("start"), m["end"].alias("end"), m["learn"].alias("learn")))
+    got = chat_format.read_back(chat_format.render(table).withColumn("loss", off)).first()
+    assert [t.text for t in got.turns] == ["ab", "cdef"] and list(got.learnt) == ["def"]
+
+
+def test_event_log_needs_the_fold(spark):
+    messages = spark.createDataFrame([(c, m, "user" if m % 2 else None, f"text {m} é😀" * (m % 4)) for c in (1, None) for m in range(1, 8)], "conv_id long, message int, role string, text string")
+    log = event_log(messages)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat_format.KINDS)
+    got = sorted((r.conv_id or 0, r.message, r.role, r.text) for r in chat_format.fold(log).collect())
+    assert got == sorted((r.conv_id or 0, r.message, r.role or "", r.text) for r in messages.collect())
