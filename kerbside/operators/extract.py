@@ -628,10 +628,14 @@ def detail_fields(pages: DataFrame) -> DataFrame:
 
 
 def enrich_from_detail(ads: DataFrame, pages: DataFrame) -> DataFrame:
-    """Fill only what an ad lacks from its detail page (joined on ``page_id``); new columns are added as they are."""
+    """Fill only what an ad lacks from its detail page (joined on ``page_id``); new columns are added as they are.
+
+    The parsed pages grow with the ads and take far more than the files they come from, by which Spark would judge whether
+    to broadcast them: the join is told to merge.
+    """
     detail = detail_fields(pages)
     renamed = detail.select("page_id", *[F.col(c).alias(f"d_{c}") for c in detail.columns if c != "page_id"])
-    joined = ads.join(renamed, "page_id", "left")
+    joined = ads.join(renamed.hint("merge"), "page_id", "left")
     types = dict(ads.dtypes)
     filled: dict[str, Column] = {}
     for c in detail.columns:
