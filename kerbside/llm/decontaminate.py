@@ -2,8 +2,8 @@
 
 1. Words are hashed to ``DIMENSIONS`` columns; document frequencies come from all distinct texts. A word weighs its
    inverse document frequency, which falls smoothly to ``COMMON`` of it where the word is in more than ``MOST_SHARE`` of the texts.
-2. A randomised SVD of TF-IDF passages (those of the benchmark, ``GROUP`` at a time, and a bounded sample of the corpus)
-   gives a latent space. The products A'(A Q) are summed over the tasks that hold the passages; only a matrix of words x components
+2. A randomised SVD of TF-IDF passages (those of the benchmark, ``GROUP`` at a time, and all of the corpus, folded into
+   ``FIT_ROWS`` rows with random signs) gives a latent space. The products A'(A Q) are summed over the tasks that hold the passages; only a matrix of words x components
    reaches the driver, which orthonormalises it.
 3. Every document is cut into overlapping windows of several lengths. Each window's cosine with the benchmark passages of
    fitting length is taken in the latent space, and the share of the passage that the window holds, which does not depend on
@@ -31,14 +31,18 @@ MOST_SHARE, COMMON = 0.05, 0.1
 #: Words of a run that is looked up as it is, and bits of the table that most runs of a text fail at.
 GRAM, GRAM_BITS = 8, 20
 COMPONENTS, EXTRA, ROUNDS, SEED = 256, 16, 2, 5
-#: Corpus passages in the fit, at most, from so many documents (by hash).
-FIT_PASSAGES, FIT_DOCS = 4_000, 1_000
+#: Rows that all corpus passages, of so many words, are folded into for the fit.
+FIT_ROWS, FIT_WORDS = 512, 64
 #: Words of a benchmark passage at most; longer items are several passages.
 PASSAGE = 96
 #: (window, step) in words; a passage of m words is sought in the first window of at least m + step words.
 WINDOWS = ((16, 4), (32, 8), (64, 16), (128, 32))
 #: Words that are added up once for all windows (the shortest step), and words of a text that are taken at a time.
 UNIT, SEGMENT = 4, 1 << 14
+#: Passages of the fit that are multiplied at a time.
+AT_ONCE = 32
+#: Tasks that hold the rows of the fit, whose number does not grow: each hands on a matrix of words x components a round.
+FIT_TASKS = 8
 COSINE = 0.3
 #: Share of a passage's squared weight that a window may hold instead: other words of the window do not count.
 HELD = 0.5
@@ -46,12 +50,13 @@ HELD = 0.5
 LEAK, LEAK_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.5
 #: Passages that share one latent space: no more than it has components, so that rare words are not lost.
 GROUP = 240
-#: Length of a corpus passage's row in the fit; a benchmark passage has 1.
+#: Length of a row of corpus passages in the fit; a benchmark passage has 1.
 CORPUS_WEIGHT = 0.25
 #: Bytes of benchmark text that are sought in one pass over the corpus.
 BLOCK_BYTES = 1 << 20
 FREQUENCY_SLICES = 16
 
+PASSAGES = "columns array<int>, values array<double>"
 LEAKS = "array<struct<item_id: long, cosine: double, common: double, answer: double>>"
 
 
@@ -77,7 +82,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
             for a, b in A.portions(starts):
                 h, first = hashed_words(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
                 owner = np.repeat(np.arange(b - a), np.diff(first))
-                both = np.unique(owner * DIMENSIONS + column_of(h))
+                both = A.distinct(owner * DIMENSIONS + column_of(h))
                 total += np.bincount(both % DIMENSIONS, minlength=DIMENSIONS)
                 texts += b - a
         for i in range(FREQUENCY_SLICES):
@@ -191,7 +196,7 @@ def latent_space(passages: DataFrame, dims: int, components: int) -> np.ndarray:
     """Right singular vectors (dims x components) of the passages (columns array<int>, values array<double>)."""
     wide = min(components + EXTRA, dims)
     q = np.random.default_rng(SEED).standard_normal((dims, wide))
-    step = max(1, (1 << 21) // wide)
+    step = max(1, (1 << 18) // wide)
 
     def product(q: np.ndarray) -> np.ndarray:
         def run(batches):
@@ -201,10 +206,13 @@ def latent_space(passages: DataFrame, dims: int, components: int) -> np.ndarray:
                 starts = np.append(0, np.cumsum([len(x) for x in batch.column(0)]))
                 columns = batch.column(0).flatten().to_numpy(zero_copy_only=False)
                 values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                # one passage at a time: its columns are distinct, and its part of q is all that is held beside q
-                for a, b in zip(starts[:-1], starts[1:], strict=True):
-                    own, value = columns[a:b], values[a:b]
-                    out[own] += value[:, None] * (value @ q[own])
+                # a few passages at a time: their part of q is all that is held beside q
+                for first in range(0, len(starts) - 1, AT_ONCE):
+                    cut = starts[first : first + AT_ONCE + 1]
+                    own, at = np.unique(columns[cut[0] : cut[-1]], return_inverse=True)
+                    some = np.zeros((len(cut) - 1, len(own)))
+                    some[np.repeat(np.arange(len(cut) - 1), np.diff(cut)), at] = values[cut[0] : cut[-1]]
+                    out[own] += some.T @ (some @ q[own])
             for i in range(0, len(out), step):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([out[i : i + step].tobytes()])], names=["at", "part"])
 
@@ -240,6 +248,10 @@ class Search:
         #: What each word adds to a window's product with each passage of length 1.
         self.product = weighted @ (latent / np.maximum(self.length, 1e-12)[:, None]).T
         self.length[self.length < 1e-9] = np.inf
+        #: Place of each column in ``columns``; those of other words come last, where the product is nothing.
+        self.place = np.full(DIMENSIONS, len(columns), np.int32)
+        self.place[columns] = np.arange(len(columns))
+        self.product = np.concatenate([self.product, np.zeros((1, len(items)), np.float32)])
 
     def _known(self, words: np.ndarray) -> np.ndarray:
         column = column_of(words)
@@ -284,8 +296,8 @@ class Search:
             return
         column = column_of(words)
         w = self.weight[column]
-        at = np.minimum(np.searchsorted(self.columns, column), len(self.columns) - 1)
-        hit = np.flatnonzero((self.columns[at] == column) & (w > 0))
+        at = self.place[column]
+        hit = np.flatnonzero(at < len(self.columns))
         if not len(hit):
             return
         square = np.concatenate([[0.0], np.cumsum(w * w)])
@@ -294,7 +306,7 @@ class Search:
         inside = np.concatenate([[0.0], np.cumsum(inside)])
         for start in range(0, len(words), SEGMENT):
             passing = []
-            reach = np.zeros((SEGMENT + 2 * WINDOWS[-1][0]) // UNIT, np.int64)
+            reach = np.zeros((min(SEGMENT, len(words) - start) + 2 * WINDOWS[-1][0]) // UNIT, np.int64)
             for (window, step), (low, high) in zip(WINDOWS, self.kinds, strict=True):
                 if low == high:
                     continue
@@ -312,21 +324,32 @@ class Search:
             if not passing:
                 continue
             # all windows begin at multiples of a unit: the words of each are added up once
-            near = hit[slice(*np.searchsorted(hit, [start, start + SEGMENT + WINDOWS[-1][0]]))]
-            unit = (near - start) // UNIT
-            kept = np.cumsum(reach)[unit] > 0
-            near, unit = near[kept], unit[kept]
-            first = np.flatnonzero(np.diff(unit, prepend=-1))
-            longest = WINDOWS[-1][1] // UNIT
-            units = np.zeros(((int(unit[-1]) // longest + 1 + WINDOWS[-1][0] // WINDOWS[-1][1]) * longest, len(self.items)), np.float32)
-            units[unit[first]] = np.add.reduceat(self.product[at[near]], first, axis=0)
+            longest, wide = WINDOWS[-1][1] // UNIT, WINDOWS[-1][0] // UNIT
+            in_units = np.full((len(reach), UNIT), len(self.columns), np.int32)
+            near = at[start : start + in_units.size]
+            in_units.ravel()[: len(near)] = near
+            in_units[np.cumsum(reach) == 0] = len(self.columns)
+            used = np.flatnonzero(in_units.min(axis=1) < len(self.columns))
+            units = np.zeros(((int(used[-1]) // longest + 1) * longest + wide, len(self.items)), np.float32)
+            in_units = in_units[used]
+            added = self.product.take(in_units[:, 0], axis=0)
+            for i in range(1, UNIT):
+                added += self.product.take(in_units[:, i], axis=0)
+            units[used] = added
             for window, step, low, high, held, full, begin, end, norm in passing:
-                steps = units[:, low:high].reshape(-1, step // UNIT, high - low).sum(axis=1)
-                score = sum(steps[full + i] for i in range(window // step))
-                cosine = score / norm[:, None]
+                steps = units[:: step // UNIT, low:high].copy()
+                for i in range(1, step // UNIT):
+                    steps += units[i :: step // UNIT, low:high]
+                score = steps.take(full, axis=0)
+                for i in range(1, window // step):
+                    score += steps.take(full + i, axis=0)
+                # most windows are far from every passage; the few others are compared exactly
+                close = np.flatnonzero(score.max(axis=1) >= np.minimum(COSINE * norm, held.min()) * (1 - 1e-6))
+                score = score[close]
+                cosine = score / norm[close][:, None]
                 for i, j in zip(*np.nonzero((cosine >= COSINE) | (score >= held)), strict=True):
-                    item = self.items[low + j]
-                    if shares := self._shares(item, words[begin[i] : end[i]].tolist()):
+                    item, k = self.items[low + j], close[i]
+                    if shares := self._shares(item, words[begin[k] : end[k]].tolist()):
                         _keep(best, item.item_id, float(cosine[i, j]), *shares)
 
 
@@ -346,37 +369,78 @@ def merged(found: list[list[dict]]) -> list[dict]:
     return [best[i] for i in sorted(best)]
 
 
-def fitted_search(passages: list[Item], weight: np.ndarray, sample: DataFrame) -> Search:
-    """Latent space of the passages and the sampled texts, and the search in it; an empty space if no word has a weight."""
-    columns = np.unique(np.concatenate([column_of(i.words) for i in passages] + [np.empty(0, np.int64)]))
+def folded(texts: DataFrame, columns: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """All passages of all texts as at most ``FIT_ROWS`` rows (columns, values) of length ``CORPUS_WEIGHT``.
+
+    Each passage of length 1 is added to one row, with a sign; both are hashes of its text and its place there. The products
+    of different passages of a row cancel out on average, so the rows stand for the whole corpus as its passages would.
+    """
+    place = np.full(DIMENSIONS, -1, np.int64)
+    place[columns] = np.arange(len(columns))
+    own_weight, width = weight[columns], len(columns)
+
+    def fold(batches):
+        A.released()
+        rows = np.zeros(FIT_ROWS * width, np.float32)
+        for batch in batches:
+            data, starts = A.text_bytes(batch.column(0))
+            for a, b in A.portions(starts):
+                h, first = hashed_words(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+                count = np.diff(first)
+                # passages of each text, the texts one after the other
+                pieces = -(-count // FIT_WORDS)
+                before = np.cumsum(pieces) - pieces
+                owner = np.repeat(np.arange(len(count)), count)
+                within = np.arange(len(h)) - first[owner]
+                passage = before[owner] + within // FIT_WORDS
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * (within.astype(np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
+                text = np.repeat(sums[first[1:]] - sums[first[:-1]], pieces)
+                deal = A.mix(text + (np.arange(len(text)) - np.repeat(before, pieces)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                at = place[column_of(h)]
+                key = np.sort(passage[at >= 0] * width + at[at >= 0])
+                begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                key, times = key[begin], np.diff(np.append(begin, len(key)))
+                passage, at = key // width, key % width
+                value = own_weight[at] * times
+                length = np.sqrt(np.bincount(passage, value * value, len(deal)))
+                sign = np.where(deal >> np.uint64(63), -1.0, 1.0)
+                value *= (sign / np.maximum(length, 1e-12))[passage]
+                cell = (deal % np.uint64(FIT_ROWS)).astype(np.int64)[passage] * width + at
+                np.add.at(rows, cell, value.astype(np.float32))
+        for i in range(FIT_ROWS):
+            row = rows[i * width : (i + 1) * width]
+            some = np.flatnonzero(row)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([row[some]], pa.list_(pa.float32()))], names=["at", "columns", "values"])
+
+    def add(table: pa.Table) -> pa.Table:
+        flat = [table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False) for name in ("columns", "values")]
+        row = np.bincount(flat[0], flat[1], width)
+        row *= CORPUS_WEIGHT / max(float(np.linalg.norm(row)), 1e-12)
+        some = np.flatnonzero(row)
+        return pa.table({"columns": pa.array([some.astype(np.int32)], pa.list_(pa.int32())), "values": pa.array([row[some]], pa.list_(pa.float64()))})
+
+    return texts.mapInArrow(fold, "at int, columns array<int>, values array<float>").groupBy("at").applyInArrow(add, PASSAGES)
+
+
+def fitted_search(passages: list[Item], weight: np.ndarray, texts: DataFrame) -> Search:
+    """Latent space of the passages and of all texts, and the search in it; an empty space if no word has a weight."""
+    columns = A.distinct(np.concatenate([column_of(i.words) for i in passages] + [np.empty(0, np.int64)]))
     columns = columns[weight[columns] > 0]
     if not len(columns):
         return Search(passages, weight, columns, np.zeros((0, 1)))
 
-    def sparse(words: np.ndarray, length: float) -> tuple[list[int], list[float]]:
+    def sparse(words: np.ndarray) -> tuple[list[int], list[float]]:
         column = column_of(words)
         kept = np.searchsorted(columns, column)
         kept = kept[(kept < len(columns)) & (columns[np.minimum(kept, len(columns) - 1)] == column)]
         kinds, n = np.unique(kept, return_counts=True)
         value = weight[columns[kinds]] * n
-        return kinds.tolist(), (value * (length / max(float(np.linalg.norm(value)), 1e-12))).tolist()
+        return kinds.tolist(), (value / max(float(np.linalg.norm(value)), 1e-12)).tolist()
 
-    def corpus(batches):
-        A.released()
-        for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                data = np.frombuffer(text.encode(), np.uint8)
-                words, _ = hashed_words(data, np.array([0, len(data)]))
-                # whole texts, long ones in fewer and longer passages
-                size = max(64, -(-len(words) * FIT_DOCS // FIT_PASSAGES))
-                rows += [sparse(words[i : i + size], CORPUS_WEIGHT) for i in range(0, len(words), size)]
-            columns_of = pa.array([r[0] for r in rows], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([columns_of, pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["columns", "values"])
-
-    schema = "columns array<int>, values array<double>"
-    fit = sample.sparkSession.createDataFrame([sparse(i.words, 1.0) for i in passages], schema).union(sample.mapInArrow(corpus, schema))
-    space = latent_space(stage(fit.filter("size(columns) > 0"), "passages"), len(columns), COMPONENTS)
+    fit = texts.sparkSession.createDataFrame([sparse(i.words) for i in passages], PASSAGES).union(folded(texts, columns, weight))
+    space = latent_space(stage(fit.filter("size(columns) > 0").repartition(FIT_TASKS), "passages"), len(columns), COMPONENTS)
+    A.released()
     return Search(passages, weight, columns, space)
 
 
@@ -398,17 +462,13 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
         return out
     frequencies, documents = document_frequencies(docs, text_col)
     weight = inverse_frequencies(frequencies, documents)
-    sample = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    # twice the share that is needed, so that tasks pass few texts on
-    share = min(1.0, 2 * FIT_DOCS / max(documents, 1))
-    sample = sample.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    sample = stage(sample.orderBy(F.xxhash64("text"), "text").limit(FIT_DOCS), "fit-texts")
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
 
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         passages = passages_of([(r[0], r[1]) for r in own])
         groups = [passages[i : i + GROUP] for i in range(0, len(passages), GROUP)]
-        searches = [fitted_search(group, weight, sample) for group in groups]
+        searches = [fitted_search(group, weight, texts) for group in groups]
         shared = spark.sparkContext.broadcast(searches)
         fields, at = out.columns, out.columns.index(text_col)
 
