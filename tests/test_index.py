@@ -194,3 +194,42 @@ def test_broadcast_is_decided_by_bytes(spark):
     wide = common.settle(spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("s"), F.array(F.struct("id", F.lit("yy").alias("t"))).alias("a")))
     assert 100_000 < common.table_bytes(wide) < 130_000
     assert common.table_bytes(wide.select("id")) < 4_000
+
+
+def exchanged_pairs(frame):
+    """Columns of the exchanges above the join of listings and filters."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan[: plan.index("Join")].count("Exchange")
+
+
+def test_pairs_of_users_with_few_filters_are_not_shuffled(spark):
+    rows, asked = market(5)
+    listings, filters = spark.createDataFrame(rows, LISTING), spark.createDataFrame(asked, FILTER)
+    muted = spark.createDataFrame([(1, "audi")], "user_id long, brand string")
+    sent = spark.createDataFrame([(2, "u1"), (2, "u2"), (None, "u3"), (3, None)], "user_id long, url string")
+    assert exchanged_pairs(A.filter_match_join(listings, filters)) == 0
+    assert exchanged_pairs(A.alerts(listings, filters, muted, sent)) == 0
+
+
+@pytest.mark.parametrize("few,told", [(8, 1000), (1, 1)])
+def test_repeated_listings_addresses_and_filters_match_once(spark, monkeypatch, few, told):
+    """Users with many filters, addresses sent to many, listings twice and two listings at one address."""
+    monkeypatch.setattr(A, "FEW_FILTERS", few)
+    monkeypatch.setattr(A, "FEW_TOLD", told)
+    rows, asked = market(6, 200, 120)
+    rows = [(*r[:1], f"u{r[0] // 2}" if r[0] < 40 else None if r[0] < 44 else r[1], *r[2:]) for r in rows]
+    asked += asked[:20]
+    listings, filters = spark.createDataFrame(rows + rows[10:50], LISTING), spark.createDataFrame(asked, FILTER)
+    log = [(u, f"u{i}") for i in range(0, 200, 3) for u in range(i % 4)] + [(None, "u50"), (5, None)]
+    sent = spark.createDataFrame(log, "user_id long, url string")
+    muted = spark.createDataFrame([(u, "audi") for u in range(0, 90, 2)], "user_id long, brand string")
+    found = {(f[0], r) for r in rows for f in asked if matches(r, f)}
+    assert sorted(map(tuple, A.filter_match_join(listings, filters).select("user_id", "listing_id").collect())) == sorted((u, r[0]) for u, r in found)
+    unsent = {(u, r) for u, r in found if (u, r[1]) not in set(log) or r[1] is None}
+    assert sorted(map(tuple, A.unsent_matches(listings, filters, sent).select("user_id", "listing_id").collect())) == sorted((u, r[0]) for u, r in unsent)
+    first = {}
+    for u, r in unsent:
+        if u % 2 or (r[2] or "").lower() != "audi":
+            first[u, r[1]] = min(first.get((u, r[1]), r[0]), r[0])
+    got = {(r.user_id, r.url): r.listing_id for r in A.alerts(listings, filters, muted, sent).collect()}
+    assert got == first
