@@ -256,3 +256,48 @@ def test_price_model_quality(spark, sf):
     assert inside >= 0.75
     trees = {r.learner: r.trees for r in fitted.fit_report(spark).collect()}
     assert set(trees) == {"boosted", "forest", "boosted_plain"} and trees["boosted"] <= M.TrainingOptions().trees
+
+
+def test_analysis_per_text_gives_what_analysis_per_listing_gives(spark):
+    from kerbside.plans import pipeline
+
+    rows = [(i, f"s{i % 2}", "b", f"m{i % 3}", 2015, 60_000 + 10_000 * (i % 9), 1000, "x", i % 5 if i % 7 else None) for i in range(200)]
+    listings = spark.createDataFrame(rows, "listing_id long, source string, brand string, model string, year int, price int, mileage int, city string, doc_id long").withColumns(
+        {"created_at": F.to_timestamp(F.lit("2024-01-01")), "url": F.lit("u"), "photo_count": F.lit(1), "body_type": F.lit("suv"), "owners_count": F.lit(1)}
+    )
+    known = spark.createDataFrame([(0, "clean", 0.5), (1, "debtor", 0.5), (1, "clean", 1.0), (9, "clean", 0.1), (None, "clean", 0.2)], "doc_id long, category string, confidence double")
+    flags = spark.createDataFrame([(0, True, False), (2, False, True), (None, True, True)], "doc_id long, red_flag boolean, bars_training boolean")
+    by_listing = listings.join(known, "doc_id").select("listing_id", "category", "confidence")
+    now = F.to_timestamp(F.lit("2024-01-02"))
+    one = pipeline.scored_listings(listings, known, now, 60, flags)
+    two = pipeline.scored_listings(listings, by_listing, now, 60, flags)
+    assert one.columns == two.columns
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    assert one.count() == 200 + sum(r[-1] == 1 for r in rows)
+
+
+@pytest.mark.parametrize("line,part", [(1, 1), (1, 2), (11, 1)])
+def test_listings_from_keyed_tables_equal_those_from_any(spark, tmp_path, line, part):
+    """Also where a part is there twice, and where order and line number do not tell an ad."""
+    from kerbside.sources import driver_tables as D
+
+    tables = {
+        "nation": ([(0, "n0"), (1, "n1")], "n_nationkey int, n_name string"),
+        "customer": ([(1, 0, "MACHINERY"), (2, 1, None), (3, 9, "x")], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        "orders": ([(i, i % 4, f"2000-01-{i + 1:02d}") for i in range(9)] + [(None, 1, None)], "o_orderkey long, o_custkey long, o_orderdate string"),
+        "part": ([(1, "b1", "t1", 7), (2, "b2", None, None)] + [(1, "b0", "t3", 20)] * (part - 1), "p_partkey long, p_brand string, p_type string, p_size int"),
+        "documents": ([(i,) for i in range(3)], "doc_id long"),
+        "lineitem": (
+            [(i % 10, line if i % 3 else 1, 1 + i % 3, i % 4 or None, float(i % 5) if i % 6 else None, 10_000.0 * i if i % 7 else None, f"2001-01-{1 + i % 4:02d}") for i in range(60)],
+            "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate string",
+        ),
+    }
+    for name, (rows, schema) in tables.items():
+        frame = spark.createDataFrame(rows, schema)
+        for c in ("o_orderdate", "l_shipdate"):
+            frame = frame.withColumn(c, F.to_timestamp(c)) if c in frame.columns else frame
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert D._ads_have_keys(spark, str(tmp_path)) == (line < 10 and part == 1)
+    new, old = D._build_listings(spark, str(tmp_path)), D._build_listings_of_any_keys(spark, str(tmp_path))
+    assert new.dtypes == old.dtypes and new.count() >= 4
+    assert sorted(map(repr, new.collect())) == sorted(map(repr, old.collect()))
