@@ -258,6 +258,23 @@ def test_price_model_quality(spark, sf):
     assert set(trees) == {"boosted", "forest", "boosted_plain"} and trees["boosted"] <= M.TrainingOptions().trees
 
 
+def test_answers_of_the_ad_filters_are_shuffled_not_texts(spark):
+    from kerbside.operators import ad_filters
+
+    ads = spark.createDataFrame(
+        [(1, 100, "a bad car", "x"), (2, 100, None, "x"), (2, 100, "fine", None), (None, 100, "fine", "x")], "listing_id long, price int, description string, address string"
+    ).withColumns({"title": F.lit("t"), "seller_id": F.lit("s"), "published": F.to_timestamp(F.lit("2024-01-01")), "is_reserved": F.lit(None).cast("boolean"), "is_promoted": F.lit(False)})
+    settings = ad_filters.AdFilter(black_words=["bad"], geo="x")
+    seen = spark.createDataFrame([(2, 100), (2, 100), (3, 100)], "listing_id long, price int")
+    found = ad_filters.ads_filter_counts(ads, settings, F.current_timestamp(), seen)
+    row = found.first()
+    assert (row.fetched, row.after_viewed, row.after_black_words, row.after_address) == (4, 2, 1, 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "description" not in plan[: plan.index("Join LeftOuter")]
+    join = plan[plan.index("Join LeftOuter") :].splitlines()[1]
+    assert "Project" in join and "description" in join and " AS __black_words" in join
+
+
 def test_analysis_per_text_gives_what_analysis_per_listing_gives(spark):
     from kerbside.plans import pipeline
 
