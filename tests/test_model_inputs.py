@@ -12,7 +12,7 @@ def test_learners_share_their_inputs(spark, monkeypatch):
         F.col("id").alias("listing_id"), F.concat(F.lit("b"), F.col("id") % 3).alias("brand"), F.concat(F.lit("m"), F.col("id") % 7).alias("model"),
         (F.lit(2000) + F.col("id") % 20).cast("int").alias("year"), (F.lit(100_000) + F.col("id") % 20 * 10_000).cast("int").alias("price"),
         F.when(F.col("id") % 5 > 0, F.col("id") * 100).alias("mileage"), F.when(F.col("id") % 4 > 0, "petrol").alias("engine_type"),
-        F.lit("x").alias("title"), F.timestamp_seconds(F.lit(10**9) + F.col("id")).alias("created_at"),
+        (F.lit(1.0) + F.col("id") % 3).alias("engine_volume"), F.lit(90).alias("power_hp"), F.lit(1).alias("owners_count"), F.lit("x").alias("title"), F.timestamp_seconds(F.lit(10**9) + F.col("id")).alias("created_at"),
     )
     fits = []
     fit = Pipeline._fit
