@@ -420,8 +420,18 @@ def extract_description(html: Column) -> Column:
 
 
 def extract_photos(html: Column) -> Column:
-    """Photo addresses: sized image objects, then full-image fields, then image-server links; no repeats."""
-    return let(unescape(html), _extract_photos)
+    """Photo addresses: sized image objects, then full-image fields, then image-server links; no repeats.
+
+    A match reaches over an opening brace only by an address that holds one. So the page is cut at its opening braces and
+    only its head and the pieces with a quoted address are unescaped and searched; where such a piece ends inside an address,
+    the page is searched whole.
+    """
+
+    def searched(pieces: Column) -> Column:
+        reaches_over = F.exists(pieces, lambda p: F.regexp_like(p, F.lit(r'"https?://[^"]*+\z')))
+        return let(unescape(F.when(reaches_over, html).otherwise(F.array_join(pieces, "{"))), _extract_photos)
+
+    return let(F.filter(F.split(html, r"\{"), lambda p, i: (i == 0) | F.contains(p, F.lit('"http'))), searched)
 
 
 def _extract_photos(page: Column) -> Column:
