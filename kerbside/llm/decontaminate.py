@@ -2,9 +2,10 @@
 
 1. Words are hashed to ``DIMENSIONS`` columns; document frequencies come from all distinct texts. A word weighs its
    inverse document frequency, which falls smoothly to ``COMMON`` of it where the word is in more than ``MOST_SHARE`` of the texts.
-2. A randomised SVD of TF-IDF passages (those of the benchmark, ``GROUP`` at a time, and all of the corpus, folded into
-   ``FIT_ROWS`` rows with random signs) gives a latent space. The products A'(A Q) are summed over the tasks that hold the passages; only a matrix of words x components
-   reaches the driver, which orthonormalises it.
+2. A randomised SVD of TF-IDF passages (those of the benchmark, ``GROUP`` at a time, and all of the corpus) gives a latent
+   space. The products A'(A Q) are summed over the tasks that hold the passages; only a matrix of words x components
+   reaches the driver, which orthonormalises it. It begins with the space of the corpus passages folded into ``FIT_ROWS`` rows with
+   random signs, which saves a round over all of them.
 3. Every document is cut into overlapping windows of several lengths. Each window's cosine with the benchmark passages of
    fitting length is taken in the latent space, and the share of the passage that the window holds, which does not depend on
    how rare its other words are; one of the two must be large enough. Windows with too little weight on benchmark words
@@ -20,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ MOST_SHARE, COMMON = 0.05, 0.1
 #: Words of a run that is looked up as it is, and bits of the table that most runs of a text fail at.
 GRAM, GRAM_BITS = 8, 20
 COMPONENTS, EXTRA, ROUNDS, SEED = 256, 16, 2, 5
-#: Rows that all corpus passages, of so many words, are folded into for the fit.
+#: Rows that all corpus passages, of so many words, are folded into for the space that the fit begins with.
 FIT_ROWS, FIT_WORDS = 512, 64
 #: Words of a benchmark passage at most; longer items are several passages.
 PASSAGE = 96
@@ -41,8 +43,8 @@ WINDOWS = ((16, 4), (32, 8), (64, 16), (128, 32))
 UNIT, SEGMENT = 4, 1 << 14
 #: Passages of the fit that are multiplied at a time.
 AT_ONCE = 32
-#: Tasks that hold the rows of the fit, whose number does not grow: each hands on a matrix of words x components a round.
-FIT_TASKS = 8
+#: Tasks that hold the folded rows, whose number does not grow. Numbers of a product that a task hands on at a time.
+FIT_TASKS, SLICE = 8, 1 << 16
 COSINE = 0.3
 #: Share of a passage's squared weight that a window may hold instead: other words of the window do not count.
 HELD = 0.5
@@ -50,7 +52,7 @@ HELD = 0.5
 LEAK, LEAK_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.5
 #: Passages that share one latent space: no more than it has components, so that rare words are not lost.
 GROUP = 240
-#: Length of a row of corpus passages in the fit; a benchmark passage has 1.
+#: Length of a folded row of corpus passages; a benchmark passage has 1. All passages together weigh as much as all such rows.
 CORPUS_WEIGHT = 0.25
 #: Bytes of benchmark text that are sought in one pass over the corpus.
 BLOCK_BYTES = 1 << 20
@@ -192,38 +194,61 @@ def passages_of(items: list[tuple[int, str]]) -> list[Item]:
     return out
 
 
-def latent_space(passages: DataFrame, dims: int, components: int) -> np.ndarray:
-    """Right singular vectors (dims x components) of the passages (columns array<int>, values array<double>)."""
+def latent_space(passages: DataFrame, dims: int, components: int, start: np.ndarray | None = None) -> np.ndarray:
+    """Right singular vectors (dims x components) of the passages (columns array<int>, values array<double>).
+
+    Every round multiplies all passages, however many they are. ``start`` (dims x any) is a space to begin with, from which one
+    round less is enough.
+    """
     wide = min(components + EXTRA, dims)
     q = np.random.default_rng(SEED).standard_normal((dims, wide))
-    step = max(1, (1 << 18) // wide)
+    if start is not None:
+        q[:, : min(start.shape[1], wide)] = start[:, :wide]
+    step = max(1, SLICE // wide)
 
     def product(q: np.ndarray) -> np.ndarray:
+        q = q.astype(np.float32)
+
         def run(batches):
             A.released()
-            out = np.zeros_like(q)
+            out, place = np.zeros(q.shape), np.empty(dims, np.int64)
             for batch in batches:
-                starts = np.append(0, np.cumsum([len(x) for x in batch.column(0)]))
+                starts = np.append(0, np.cumsum(batch.column(0).value_lengths().to_numpy(zero_copy_only=False)))
                 columns = batch.column(0).flatten().to_numpy(zero_copy_only=False)
                 values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                 # a few passages at a time: their part of q is all that is held beside q
                 for first in range(0, len(starts) - 1, AT_ONCE):
                     cut = starts[first : first + AT_ONCE + 1]
-                    own, at = np.unique(columns[cut[0] : cut[-1]], return_inverse=True)
-                    some = np.zeros((len(cut) - 1, len(own)))
-                    some[np.repeat(np.arange(len(cut) - 1), np.diff(cut)), at] = values[cut[0] : cut[-1]]
+                    near = columns[cut[0] : cut[-1]]
+                    own = A.distinct(near)
+                    place[own] = np.arange(len(own))
+                    some = np.zeros((len(cut) - 1, len(own)), np.float32)
+                    some[np.repeat(np.arange(len(cut) - 1), np.diff(cut)), place[near]] = values[cut[0] : cut[-1]]
                     out[own] += some.T @ (some @ q[own])
+            part = TaskContext.get().partitionId()
             for i in range(0, len(out), step):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([out[i : i + step].tobytes()])], names=["at", "part"])
-
-        def add(table: pa.Table) -> pa.Table:
-            return pa.table({"at": table["at"][:1], "part": [np.sum([np.frombuffer(x) for x in table["part"].to_pylist()], axis=0).tobytes()]})
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([out[i : i + step].tobytes()])], names=["at", "task", "part"])
 
-        parts = passages.mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").collect()
-        found = {r["at"]: np.frombuffer(r["part"]) for r in parts}
-        return np.concatenate([found[i] for i in sorted(found)]).reshape(q.shape) if found else np.zeros_like(q)
-
-    for _ in range(ROUNDS):
+        def add(batches):
+            at, total = None, None
+            for batch in batches:
+                for i, part in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                    own = np.frombuffer(part.as_buffer())
+                    if i == at:
+                        total += own
+                        continue
+                    if at is not None:
+                        yield _slice(at, total)
+                    at, total = i, own.copy()
+            if at is not None:
+                yield _slice(at, total)
+
+        # slices of the tasks are added up one after the other, in the order of the tasks: sums of any number of tasks agree
+        parts = passages.mapInArrow(run, "at int, task int, part binary").repartition("at").sortWithinPartitions("at", "task")
+        found = {r["at"]: np.frombuffer(r["part"]) for r in parts.mapInArrow(add, "at int, part binary").collect()}
+        return np.concatenate([found[i] for i in sorted(found)]).reshape(q.shape) if found else np.zeros(q.shape)
+
+    for _ in range(ROUNDS if start is None else ROUNDS - 1):
         q = np.linalg.qr(product(q))[0]
     square = q.T @ product(q)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
@@ -231,6 +256,10 @@ def latent_space(passages: DataFrame, dims: int, components: int) -> np.ndarray:
     return q @ vectors[:, best]
 
 
+def _slice(at: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()])], names=["at", "part"])
+
+
 class Search:
     """Windows of texts against one block of benchmark passages."""
 
@@ -369,19 +398,14 @@ def merged(found: list[list[dict]]) -> list[dict]:
     return [best[i] for i in sorted(best)]
 
 
-def folded(texts: DataFrame, columns: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """All passages of all texts as at most ``FIT_ROWS`` rows (columns, values) of length ``CORPUS_WEIGHT``.
-
-    Each passage of length 1 is added to one row, with a sign; both are hashes of its text and its place there. The products
-    of different passages of a row cancel out on average, so the rows stand for the whole corpus as its passages would.
-    """
+def text_passages(texts: DataFrame, columns: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """All passages of all texts that hold one of ``columns``: rows (columns, values) of length 1, and a hash of text and place."""
     place = np.full(DIMENSIONS, -1, np.int64)
     place[columns] = np.arange(len(columns))
     own_weight, width = weight[columns], len(columns)
 
-    def fold(batches):
+    def cut(batches):
         A.released()
-        rows = np.zeros(FIT_ROWS * width, np.float32)
         for batch in batches:
             data, starts = A.text_bytes(batch.column(0))
             for a, b in A.portions(starts):
@@ -402,11 +426,35 @@ def folded(texts: DataFrame, columns: np.ndarray, weight: np.ndarray) -> DataFra
                 key, times = key[begin], np.diff(np.append(begin, len(key)))
                 passage, at = key // width, key % width
                 value = own_weight[at] * times
-                length = np.sqrt(np.bincount(passage, value * value, len(deal)))
-                sign = np.where(deal >> np.uint64(63), -1.0, 1.0)
-                value *= (sign / np.maximum(length, 1e-12))[passage]
-                cell = (deal % np.uint64(FIT_ROWS)).astype(np.int64)[passage] * width + at
-                np.add.at(rows, cell, value.astype(np.float32))
+                value /= np.sqrt(np.bincount(passage, value * value, len(deal)))[passage]
+                held = np.bincount(passage, minlength=len(deal))
+                ends = pa.array(np.append(0, np.cumsum(held[held > 0])), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(at.astype(np.int32)), pa.array(value.astype(np.float32)))]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array(deal[held > 0].view(np.int64))], names=["columns", "values", "deal"])
+
+    return texts.mapInArrow(cut, "columns array<int>, values array<float>, deal long")
+
+
+def folded(texts: DataFrame, columns: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """All passages of all texts as at most ``FIT_ROWS`` rows (columns, values) of length ``CORPUS_WEIGHT``."""
+    return folded_rows(text_passages(texts, columns, weight), len(columns))
+
+
+def folded_rows(passages: DataFrame, width: int) -> DataFrame:
+    """``text_passages`` as at most ``FIT_ROWS`` rows of length ``CORPUS_WEIGHT``: a first sight of the space to begin with.
+
+    Each passage of length 1 is added to one row, with a sign; both are hashes of its text and its place there. The products
+    of different passages of a row cancel out on average.
+    """
+
+    def fold(batches):
+        A.released()
+        rows = np.zeros(FIT_ROWS * width, np.float32)
+        for batch in batches:
+            at = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            value = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            deal = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(0).value_lengths().to_numpy(zero_copy_only=False))
+            np.add.at(rows, (deal % np.uint64(FIT_ROWS)).astype(np.int64) * width + at, np.where(deal >> np.uint64(63), -value, value))
         for i in range(FIT_ROWS):
             row = rows[i * width : (i + 1) * width]
             some = np.flatnonzero(row)
@@ -420,7 +468,7 @@ def folded(texts: DataFrame, columns: np.ndarray, weight: np.ndarray) -> DataFra
         some = np.flatnonzero(row)
         return pa.table({"columns": pa.array([some.astype(np.int32)], pa.list_(pa.int32())), "values": pa.array([row[some]], pa.list_(pa.float64()))})
 
-    return texts.mapInArrow(fold, "at int, columns array<int>, values array<float>").groupBy("at").applyInArrow(add, PASSAGES)
+    return passages.mapInArrow(fold, "at int, columns array<int>, values array<float>").groupBy("at").applyInArrow(add, PASSAGES)
 
 
 def fitted_search(passages: list[Item], weight: np.ndarray, texts: DataFrame) -> Search:
@@ -438,8 +486,20 @@ def fitted_search(passages: list[Item], weight: np.ndarray, texts: DataFrame) ->
         value = weight[columns[kinds]] * n
         return kinds.tolist(), (value / max(float(np.linalg.norm(value)), 1e-12)).tolist()
 
-    fit = texts.sparkSession.createDataFrame([sparse(i.words) for i in passages], PASSAGES).union(folded(texts, columns, weight))
-    space = latent_space(stage(fit.filter("size(columns) > 0").repartition(FIT_TASKS), "passages"), len(columns), COMPONENTS)
+    spark, own = texts.sparkSession, [sparse(i.words) for i in passages]
+
+    def with_own(rows: DataFrame, length: float) -> DataFrame:
+        scaled = spark.createDataFrame([(at, [length * v for v in values]) for at, values in own if at], PASSAGES).coalesce(1)
+        rows = rows.select("columns", "values")
+        return scaled.select("columns", F.col("values").cast(rows.schema["values"].dataType)).union(rows)
+
+    corpus = stage(text_passages(texts, columns, weight), "corpus_passages")
+    first = with_own(folded_rows(corpus, len(columns)).repartition(FIT_TASKS), 1.0)
+    start = latent_space(stage(first, "passages"), len(columns), COMPONENTS)
+    # all passages of the corpus, of length 1, weigh together as much as their rows above
+    number = max(corpus.count(), 1)
+    length = math.sqrt(number / min(number, FIT_ROWS)) / CORPUS_WEIGHT
+    space = latent_space(with_own(corpus, length), len(columns), COMPONENTS, start)
     A.released()
     return Search(passages, weight, columns, space)
 
