@@ -18,11 +18,13 @@ def first_per_key(ads: DataFrame, keys: Sequence[str], order: Sequence[Column] =
     Ties go to the smallest row; columns with maps, which have no order, come along without deciding anything.
     """
     values = [c for c in ads.columns if c not in keys]
-    comparable = [c for c, kind in ads.dtypes if c in values and "map<" not in kind]
+    maps = [c for c, kind in ads.dtypes if c in values and "map<" in kind]
     ranked = [o.alias(f"__o{i}") for i, o in enumerate(order)]
-    first = F.struct(F.lit(0).alias("__any"), *ranked, *[F.col(c).alias(f"__t{i}") for i, c in enumerate(comparable)])
-    best = F.min_by(F.struct(F.lit(0).alias("__any"), *values), first)
-    return ads.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*").select(*ads.columns)
+    first = F.struct(F.lit(0).alias("__any"), *ranked, *[F.col(c).alias(f"__t{i}") for i, c in enumerate(values) if c not in maps])
+    # a row goes to its key once: what decides is what is kept, and only maps come beside it
+    best = F.min_by(F.struct(first.alias("b"), *maps), first) if maps else F.min(F.struct(first.alias("b")))
+    kept = {c: F.col(f"b.{c}" if c in maps else f"b.b.__t{i}").alias(c) for i, c in enumerate(values)}
+    return ads.groupBy(*keys).agg(best.alias("b")).select(*[kept.get(c, F.col(c)) for c in ads.columns])
 
 
 def upsert_classify(incoming: DataFrame, stored: DataFrame) -> DataFrame:

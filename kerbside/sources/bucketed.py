@@ -16,7 +16,9 @@ left as it is, so a replayed batch changes nothing.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+import math
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -24,10 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kerbside.common import shuffles_dropped, write_table
+
 #: Copies of a bucket: the current one, the one before, and the one that is being written.
 SLOTS = 3
 #: A bucket should hold some hundred megabytes; the number is fixed when the table is made.
 BUCKETS = 64
+#: Stored rows that a merge takes at a time: what it shuffles is a part of a large table.
+ROUND_ROWS = 8_000_000
 _MANIFEST = "version long, keys array<string>, schema string, slots array<int>"
 
 
@@ -87,7 +93,8 @@ class BucketTable:
     def _write(self, rows: DataFrame, keys: list[str], slots: list[int], mode: str) -> None:
         placed = self._located(rows, keys, len(slots)).withColumn("slot", F.get(F.lit(slots), F.col("bucket")))
         writer = placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", mode)
-        writer.partitionBy("bucket", "slot").parquet(f"{self.path}/data")
+        with shuffles_dropped(self.spark):
+            writer.option("compression", "zstd").partitionBy("bucket", "slot").parquet(f"{self.path}/data")
 
     def _swap(self, at: Version) -> int:
         row = [(at.number, at.keys, at.schema.json(), at.slots)]
@@ -99,12 +106,20 @@ class BucketTable:
         """Version 0. What a failed attempt left behind is replaced; a table that exists is not."""
         if self.current() is not None:
             raise ValueError(f"{self.path} is a table already")
-        self._write(rows, keys, [0] * buckets, "static")
+        with self._at_hand(rows) as kept:
+            self._write(kept, keys, [0] * buckets, "static")
         slots = [-1] * buckets
-        for b in self._buckets(self.spark.read.parquet(f"{self.path}/data")) if rows.limit(1).count() else []:
+        for b in self._buckets(self.spark.read.schema("bucket int, slot int").parquet(f"{self.path}/data")):
             slots[b] = 0
         return self._swap(Version(0, list(keys), rows.schema, slots))
 
+    @contextmanager
+    def _at_hand(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """Rows that are worked out once, and what that has shuffled removed; their copy goes when they are done with."""
+        path = f"{self.path}/incoming"
+        yield write_table(rows, path, "overwrite")
+        write_table(rows.limit(0), path, "overwrite")
+
     @staticmethod
     def _buckets(rows: DataFrame) -> list[int]:
         """The distinct buckets of some rows: at most as many numbers as the table has buckets."""
@@ -115,7 +130,8 @@ class BucketTable:
 
         ``stored`` holds the rows of those buckets only. ``combine`` gives rows of the same buckets back, every stored key
         among them; it may add columns, which are NULL in buckets that no merge has touched since. ``incoming`` is read
-        twice. Without rows in it, the version moves on and no data does.
+        twice. Without rows in it, the version moves on and no data does. Where more than ``ROUND_ROWS`` rows are stored in those
+        buckets, ``combine`` is called for some buckets after the others.
         """
         now = self.current()
         if now is None:
@@ -130,7 +146,14 @@ class BucketTable:
         if touched:
             for b in touched:
                 slots[b] = (slots[b] + 1) % SLOTS
-            merged = combine(incoming, self._rows(now, touched))
-            self._write(merged, now.keys, slots, "dynamic")
+            rounds = min(len(touched), math.ceil(self._rows(now, touched).count() / ROUND_ROWS))
+            if rounds > 1:
+                with self._at_hand(self._located(incoming, now.keys, len(slots))) as kept:
+                    for own in (touched[i::rounds] for i in range(rounds)):
+                        merged = combine(kept.filter(F.col("bucket").isin(own)).drop("bucket"), self._rows(now, own))
+                        self._write(merged, now.keys, slots, "dynamic")
+            else:
+                merged = combine(incoming, self._rows(now, touched))
+                self._write(merged, now.keys, slots, "dynamic")
             schema = merged.schema
         return self._swap(Version(number, now.keys, schema, slots))

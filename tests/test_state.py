@@ -277,3 +277,55 @@ def test_alert_stream_starts_from_a_sent_log(spark, tmp_path):
         jobs.stream_alerts(stream, filters, muted, f"{tmp_path}/out", f"{tmp_path}/ckpt", None, sent).awaitTermination()
     got = sorted((r.user_id, r.url, r.listing_id) for r in jobs.read_batches(spark, f"{tmp_path}/out").collect())
     assert got == [(1, "u1", 1), (2, "u1", 4), (2, "u5", 5), (3, "u5", 5)]
+
+
+def test_merge_in_rounds(spark, tmp_path, monkeypatch):
+    """A large merge takes some buckets after the others, with the same rows; nothing stays beside the table."""
+    from kerbside.sources import bucketed
+
+    old = spark.range(500).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
+    new = spark.range(400, 700).select(F.col("id").cast("string").alias("k"), F.lit(2).alias("v"))
+    calls = []
+
+    def combine(incoming, stored):
+        calls.append(1)
+        both = stored.withColumnRenamed("v", "was").join(incoming, "k", "full")
+        return both.select("k", F.coalesce("v", "was").alias("v"))
+
+    monkeypatch.setattr(bucketed, "ROUND_ROWS", 60)
+    table = bucketed.BucketTable(spark, str(tmp_path / "t"))
+    table.create(old, ["k"], 16)
+    assert table.merge(new, combine) == 1 and len(calls) == 9
+    assert sorted((int(r.k), r.v) for r in table.read().collect()) == [(i, 1 if i < 400 else 2) for i in range(700)]
+    assert spark.read.schema(new.schema).parquet(f"{table.path}/incoming").count() == 0
+    empty = bucketed.BucketTable(spark, str(tmp_path / "e"))
+    empty.create(old.limit(0), ["k"], 4)
+    assert empty.read().count() == 0
+
+
+def test_first_of_a_key_goes_there_once(spark):
+    """The row that is chosen is not carried a second time beside what it is chosen by; maps come along."""
+    from kerbside.operators import upsert
+
+    rows = spark.createDataFrame([(1, 5, "b" * 40, {"x": 1}), (1, 4, None, {"x": 2}), (1, 4, "a" * 40, {"x": 3}), (2, None, "c" * 40, None)], "k int, t int, s string, m map<string,int>")
+    got = sorted((r.k, r.t, r.s, r.m) for r in upsert.first_per_key(rows, ["k"], [F.col("t")]).collect())
+    assert got == [(1, 4, None, {"x": 2}), (2, None, "c" * 40, None)]
+    plain = upsert.first_per_key(rows.drop("m"), ["k"], [F.col("t")])
+    assert sorted(tuple(r) for r in plain.collect()) == [(1, 4, None), (2, None, "c" * 40)] and plain.columns == ["k", "t", "s"]
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan
+
+
+def test_settled_tables_and_their_shuffles(spark):
+    """What is settled is a table, compressed, and its shuffle files do not wait for the driver's garbage collection."""
+    from kerbside import common
+
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(key, "false")
+    rows = spark.range(2_000).groupBy((F.col("id") % 7).alias("k")).count()
+    settled = common.settle(rows)
+    assert settled.inputFiles() and all("settled" in f and f.endswith(".zstd.parquet") for f in settled.inputFiles())
+    assert settled.dtypes == rows.dtypes and sorted(settled.collect()) == sorted(rows.collect())
+    with common.shuffles_dropped(spark), common.shuffles_dropped(spark):
+        seen.append(spark.conf.get(key))
+    assert seen == ["true"] and spark.conf.get(key, "false") == before
