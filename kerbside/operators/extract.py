@@ -697,14 +697,12 @@ def flatten_offer_json(offers: DataFrame, column: str = "offer", page_url: str =
         F.lit(""),
     )
     listed = F.when(F.size(o["state"]["image_urls"]) > 0, o["state"]["image_urls"]).otherwise(o["photos"])
-    sizes = lambda p: F.from_json(p, PHOTO_SIZES)["sizes"]
+    by_size = lambda sizes: F.coalesce(*[blank_to_null(F.try_element_at(sizes, F.lit(s))) for s in ("1200x900", "456x342", "320x240")])
     photos = F.filter(
         F.transform(
             F.slice(F.coalesce(listed, F.array().cast("array<string>")), 1, 5),
-            lambda p: F.when(
-                F.startswith(p, F.lit("{")),
-                F.coalesce(*[blank_to_null(F.try_element_at(sizes(p), F.lit(s))) for s in ("1200x900", "456x342", "320x240")]),
-            ).otherwise(p),
+            # a photo is parsed once, however many sizes are asked for
+            lambda p: F.when(F.startswith(p, F.lit("{")), let(F.from_json(p, PHOTO_SIZES)["sizes"], by_size)).otherwise(p),
         ),
         lambda u: F.coalesce(u, F.lit("")) != "",
     )

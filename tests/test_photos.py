@@ -29,3 +29,20 @@ def test_same_as_whole_page(spark):
     out = rows.select(whole.alias("whole"), cut.alias("cut")).collect()
     assert sum(bool(r.whole) for r in out) > 1000
     assert all(r.whole == r.cut for r in out)
+
+
+def test_an_offers_photo_is_parsed_once(spark):
+    import json
+
+    from kerbside.operators import extract as X
+
+    def offer(*photos):
+        vehicle = {"mark_info": {"name": "B"}, "model_info": {"name": "m"}}
+        return json.dumps({"id": "1", "price_info": {"RUR": 5}, "photos": list(photos), "vehicle_info": vehicle})
+
+    sized = {"sizes": {"320x240": "s", "456x342": "m"}}
+    given = [offer(sized, "plain", {"sizes": {"456x342": "", "320x240": "t"}}, {"sizes": {"9x9": "no"}}, {"x": 1}, "sixth"), offer(), offer({"sizes": {"1200x900": "l", "456x342": "m"}})]
+    out = X.flatten_offer_json(spark.createDataFrame([(g,) for g in given], "offer string"))
+    assert sorted(r["photos"] for r in out.select("photos").collect()) == [[], ["l"], ["m", "plain", "t"]]
+    plan = out.select("photos")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(sizes") == 1
